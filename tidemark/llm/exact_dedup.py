@@ -7,9 +7,11 @@ bucket may then hold more; results do not change). Buckets are contiguous key
 ranges; entries are written to the shared folder laid out by bucket, one owner
 task per run of buckets. Keys that more than one row has are chained: their
 texts are grouped by key and by their bytes, so that different texts under one
-key become different links of the chain. Only such texts are shuffled, copies
-are combined before the shuffle, and the joins that follow a hot text are on
-staged tables, which adaptive execution can split.
+key become different links of the chain. Texts are shuffled once, by key, to find those;
+the join is asked for as a shuffled hash join at every size, because a plan that
+broadcasts small indexes would hide the cost of large ones. Copies are combined
+before the second shuffle, and the joins that follow a hot text are on staged
+tables, which adaptive execution can split.
 
 All of it is DataFrame work inside the JVM. What reaches the driver is one
 count per directory cell: 2**max_depth rows at most.
@@ -69,7 +71,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     with_bucket = entries.withColumn("bucket", _bucket(F.col("key"), cells, depth))
     index = stage(with_bucket.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index")
-    shared_keys = index.where("n > 1").select("key")
+    shared_keys = index.where("n > 1").select("key").hint("shuffle_hash")
 
     chained = (
         rows.withColumn("key", F.xxhash64("text"))

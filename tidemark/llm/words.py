@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
@@ -151,7 +152,7 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def pieces(table: pa.RecordBatch | pa.Table, column: str, most_bytes: int = 4 << 20):
     """Slices of whole rows holding about most_bytes of text each (one long text may be more)."""
     col = table.column(column)
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
     run = np.cumsum(size)
     i = 0
     while i < len(size):
