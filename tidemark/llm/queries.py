@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op4_exact_dedup
+from .langid import op7_language_id
+from .license_scan import op9_license_scan
 from .mixing import op3_mix_sources
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES = {
