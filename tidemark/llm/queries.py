@@ -7,8 +7,10 @@ from .exact_dedup import op4_exact_dedup
 from .langid import op7_language_id
 from .license_scan import op9_license_scan
 from .mixing import op3_mix_sources
+from .secret_scan import op1_secret_scan
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_language_id": op7_language_id,
