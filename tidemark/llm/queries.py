@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op4_exact_dedup
+from .html_text import op8_html_text
 from .langid import op7_language_id
 from .license_scan import op9_license_scan
 from .mixing import op3_mix_sources
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_language_id": op7_language_id,
+    "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
 }
 
