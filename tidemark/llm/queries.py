@@ -8,12 +8,14 @@ from .html_text import op8_html_text
 from .langid import op7_language_id
 from .license_scan import op9_license_scan
 from .mixing import op3_mix_sources
+from .pieces import op5_piece_encode
 from .secret_scan import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_piece_encode": op5_piece_encode,
     "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
