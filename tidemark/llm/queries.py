@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op6_embedding_dedup
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op4_exact_dedup
 from .html_text import op8_html_text
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_piece_encode": op5_piece_encode,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
