@@ -9,6 +9,7 @@ from .html_text import op8_html_text
 from .langid import op7_language_id
 from .license_scan import op9_license_scan
 from .mixing import op3_mix_sources
+from .ngram_join import op10_ngram_join
 from .pieces import op5_piece_encode
 from .secret_scan import op1_secret_scan
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES = {
