@@ -4,7 +4,7 @@ Cosine >= c of unit vectors is a distance of at most e = sqrt(2 - 2c). Vectors
 are projected on leading principal directions (of a bounded sample: the
 directions only decide how much is skipped, never what is found), put on a grid
 of cell width e there, and sorted by their cells. That order is cut into blocks
-of `block` vectors. A pair of blocks is joined unless their boxes in the
+of about `block` vectors (a hot cell is dealt to several). A pair of blocks is joined unless their boxes in the
 projection are farther apart than e; within the join, intervals of the sequence
 are halved again and again, and pairs of intervals that are provably distant are
 skipped. What is left is compared by cosine in double precision.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stage, table, unstage
@@ -176,41 +176,29 @@ def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 cells[at, : p.shape[1]] = np.floor(p / reach)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), column, pa.array(lens.astype(np.int32)), *(pa.array(cells[:, k]) for k in range(GRID))], names=["rep", "n", "safe", "dim", "c0", "c1", "c2"])
 
-    placed = reps.select("rep", "n", safe.alias("safe")).mapInArrow(place, "rep long, n long, safe array<double>, dim int, c0 long, c1 long, c2 long")
-    order = ["dim", "c0", "c1", "c2", "rep"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+    placed = stage(reps.select("rep", "n", safe.alias("safe")).mapInArrow(place, "rep long, n long, safe array<double>, dim int, c0 long, c1 long, c2 long"), "placed")
+    # Cells in sequence order: at most (2 / e + 2) ** GRID of each vector length, whatever the number of vectors.
+    cell = ["dim", "c0", "c1", "c2"]
+    sequence = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(*cell).agg(F.count("*").alias("size")).withColumn("first", F.coalesce(F.sum("size").over(sequence), F.lit(0)))
+    within = F.pmod(F.xxhash64("rep"), F.col("size"))
+    numbered = placed.join(F.broadcast(cells), cell).withColumn("block", F.floor((F.col("first") + within) / block)).drop("first", "size")
+
+    def cut(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("c0", "c1", "c2", "rep")])
+        d = group.column("dim")[0].as_py()
+        safe_ = group.column("safe").combine_chunks()
+        x = _vectors(safe_, d)
+        box = x / np.linalg.norm(x, axis=1, keepdims=True) @ shared.value[d]
+        c0 = group.column("c0").to_numpy()
+        vec = safe_.flatten().to_numpy(zero_copy_only=False).astype(np.float32 if single else np.float64)
+        one = [group.column("block")[0].as_py(), d, int(c0.min()), int(c0.max()), box.min(0).tolist(), box.max(0).tolist(), _pack(group.column("rep").to_numpy()), _pack(group.column("n").to_numpy()), _pack(vec)]
         names = ["block", "dim", "lo", "hi", "low", "high", "rep", "n", "vec"]
-        held, size, number = [], 0, TaskContext.get().partitionId() << 32
-
-        def flush(rows_: pa.Table) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            dims_ = rows_.column("dim").to_numpy()
-            for d in np.unique(dims_):
-                part = rows_.take(pa.array(np.flatnonzero(dims_ == d)))
-                x = _vectors(part.column("safe").combine_chunks(), int(d))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                box = x @ shared.value[int(d)]
-                c0 = part.column("c0").to_numpy()
-                one = [number, int(d), int(c0.min()), int(c0.max()), box.min(0).tolist(), box.max(0).tolist(), _pack(part.column("rep").to_numpy()), _pack(part.column("n").to_numpy()), _pack(part.column("safe").combine_chunks().flatten().to_numpy().astype(np.float32 if single else np.float64))]
-                number += 1
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, kinds, strict=True)], names=names)
+        return pa.table({k: pa.array([v], pa.int32() if k == "dim" else None) for k, v in zip(names, one, strict=True)})
 
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            while size >= block:
-                rows_ = pa.Table.from_batches(held)
-                yield from flush(rows_.slice(0, block))
-                held, size = rows_.slice(block).to_batches(), size - block
-        if size:
-            yield from flush(pa.Table.from_batches(held))
-
-    ranged = placed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    blocks = stage(ranged.mapInArrow(cut, "block long, dim int, lo long, hi long, low array<double>, high array<double>, rep binary, n binary, vec binary"), "blocks")
+    kind = "block long, dim int, lo long, hi long, low array<double>, high array<double>, rep binary, n binary, vec binary"
+    blocks = stage(numbered.groupBy("dim", "block").applyInArrow(cut, kind).withColumn("block", F.col("dim").cast("long") * (1 << 40) + F.col("block")), "blocks")
+    unstage(placed)
 
     meta = blocks.select("block", "dim", "lo", "hi", "low", "high")
     left = meta.withColumn("cell", F.explode(F.sequence("lo", "hi"))).select(F.col("block").alias("i"), "dim", "cell", F.col("low").alias("low_i"), F.col("high").alias("high_i"))
