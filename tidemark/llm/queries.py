@@ -12,9 +12,11 @@ from .mixing import op3_mix_sources
 from .ngram_join import op10_ngram_join
 from .pieces import op5_piece_encode
 from .secret_scan import op1_secret_scan
+from .substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_piece_encode": op5_piece_encode,
