@@ -66,6 +66,11 @@ def _clean() -> None:
             return
 
 
+def sized(rows: DataFrame, most_rows: int = 1 << 18) -> DataFrame:
+    """A staged side of a join: broadcast up to most_rows (counted), else joined by a shuffled hash join."""
+    return F.broadcast(rows) if rows.count() <= most_rows else rows.hint("shuffle_hash")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, stage, table, text_of, unstage
+from .common import DOCUMENT_COLUMNS, sized, stage, table, text_of, unstage
 
 
 def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[int]:
@@ -94,12 +94,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup does not keep; rows that repeat an id and its text become one."""
     marks = exact_dedup(docs, id_col=id_col, text_col=text_col)
-    gone = stage(marks.where("not kept or group_size > 1").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept").distinct(), "dedup-gone")
-    sha = F.sha2(text_of(text_col), 256)
-    rows = docs.withColumn("_row_sha", sha).join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_sha") == F.col("_sha")), "left")
+    gone = stage(marks.where("group_size > 1").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), "kept").distinct(), "dedup-gone")
+    rows = docs.select(F.col(id_col).alias("__own_id"), F.sha2(text_of(text_col), 256).alias("__own_sha"), *(F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)))
+    rows = rows.join(sized(gone), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_sha") == F.col("__sha")), "left")
     single = rows.where("kept is null")
-    again = rows.where("kept").dropDuplicates([id_col, "_row_sha"])
-    return single.unionByName(again).select(*docs.columns)
+    again = rows.where("kept").dropDuplicates(["__own_id", "__own_sha"])
+    return single.unionByName(again).select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
