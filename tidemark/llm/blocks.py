@@ -30,7 +30,7 @@ ROW_BITS = 20
 class Blocks:
     """The stored table; `drop` removes it."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 4 << 20):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 2 << 20):
         self.spark = docs.sparkSession
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 

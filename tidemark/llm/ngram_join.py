@@ -129,7 +129,7 @@ def _links(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
 
-def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, part: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
+def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, part: int = 512, block_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id.
 
     A-Z are lower-cased; a text of fewer than n words has its whole word

@@ -158,7 +158,7 @@ class FingerprintIndex:
         self.runs = []
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, anchor: int = 6, batches: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, anchor: int = 6, batches: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_removed, kept (words joined by one space).
 
     Words are runs of anything but space and U+0009 to U+000D. A null text has
