@@ -37,28 +37,47 @@ from .words import U64, Words, mix, ngrams, words_of
 RUN = "range int, hashes binary, which binary, many binary, blocks array<long>"
 
 
+def _starts(w: Words, window: int) -> np.ndarray:
+    return np.flatnonzero(w.doc[: max(0, len(w.doc) - window + 1)] == w.doc[window - 1 :])
+
+
 def anchored(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """First word of each window and the window's anchor."""
     at, h = ngrams(w, anchor)
-    if not len(at):
+    total = len(w.doc) - window + 1
+    if not len(at) or total <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     full = np.full(len(w.doc), np.iinfo(np.uint64).max)
     full[at] = h
-    starts = np.flatnonzero(w.doc[: max(0, len(w.doc) - window + 1)] == w.doc[window - 1 :])
-    low = full[starts]
+    low = full[:total].copy()
     for k in range(1, window - anchor + 1):
-        low = np.minimum(low, full[starts + k])
-    return starts, low
+        np.minimum(low, full[k : k + total], out=low)
+    starts = _starts(w, window)
+    return starts, low[starts]
 
 
 def fingerprints(w: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent fingerprints of the windows: 64 bits, and 32 more."""
-    a, b = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    total = max(0, len(w.doc) - window + 1)
+    a, b = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
     other = mix(w.hash ^ U64(0xA24BAED4963EE407))
     for k in range(window):
-        a = a * U64(0xD1342543DE82EF95) + w.hash[starts + k]
-        b = b * U64(0x9FB21C651E98DF25) + other[starts + k]
-    return mix(a), (mix(b) >> U64(32)).astype(np.uint32)
+        a *= U64(0xD1342543DE82EF95)
+        a += w.hash[k : k + total]
+        b *= U64(0x9FB21C651E98DF25)
+        b += other[k : k + total]
+    return mix(a[starts]), (mix(b[starts]) >> U64(32)).astype(np.uint32)
+
+
+def groups_of(f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal pairs (f, g) side by side, and where each group starts in it."""
+    order = np.argsort(f)
+    fs, gs = f[order], g[order]
+    start = np.flatnonzero(first_of(fs))
+    if len(start) and (np.minimum.reduceat(gs, start) != np.maximum.reduceat(gs, start)).any():  # two windows under one f
+        order = np.lexsort((g, f))
+        start = np.flatnonzero(first_of(f[order]) | first_of(g[order]))
+    return order, start
 
 
 def _lists(group: pa.Table, column: str, kind: type) -> list[np.ndarray]:
@@ -92,11 +111,12 @@ class FingerprintIndex:
                 return
             w = words_of(row["texts"])
             starts, low = anchored(w, window, anchor)
-            # once per document
-            order = np.lexsort((w.doc[starts], low))
-            low, doc = low[order], w.doc[starts][order]
-            keep = first_of(low) | first_of(doc)
-            h, count = np.unique(low[keep], return_counts=True)
+            doc = w.doc[starts]
+            keep = first_of(low) | first_of(doc)  # neighbours mostly share theirs
+            low, doc = low[keep], doc[keep]
+            order = np.lexsort((doc, low))
+            low, doc = low[order], doc[order]
+            h, count = np.unique(low[first_of(low) | first_of(doc)], return_counts=True)  # once per document
             at = split_ranges(h, ranges)
             full = np.flatnonzero(np.diff(at))
             cut = lambda x: pa.array([planes(x[at[k] : at[k + 1]]) for k in full], pa.binary())
@@ -116,11 +136,11 @@ class FingerprintIndex:
 
         def contested(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             h, block, many = (np.concatenate(x) for x in zip(flat(left), flat(right), strict=True))
-            order = np.lexsort((block, h))  # the runs are sorted already; this merges them
-            h, block, many = h[order], block[order], many[order] > 0
-            size = np.diff(np.r_[np.flatnonzero(first_of(h)), len(h)])
-            several = np.repeat(size > 1, size) | many
-            by_block = np.argsort(block, kind="stable")
+            order = np.argsort(h, kind="stable")  # the runs are sorted already; this merges them
+            size = np.diff(np.r_[np.flatnonzero(first_of(h[order])), len(h)])
+            several = many > 0
+            several[order] |= np.repeat(size > 1, size)
+            by_block = np.argsort(block, kind="stable")  # a block's anchors are in order in its run
             start = np.flatnonzero(first_of(block[by_block]))
             bits = [np.packbits(x).tobytes() for x in np.split(several[by_block], start[1:])] if len(start) else []
             n = len(bits)
@@ -193,12 +213,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         own, _ = ids_of(row)
         f, g = fingerprints(w, starts, window)
         ids = own[w.doc[starts]]
-        order = np.lexsort((ids, g, f))
-        f, g, ids = f[order], g[order], ids[order]
-        keep = first_of(f) | first_of(g)
-        last = np.r_[np.flatnonzero(keep)[1:], len(f)] - 1
-        most = ids[last]
-        f, g, ids = f[keep], g[keep], ids[keep]
+        order, start = groups_of(f, g)
+        most, ids = np.maximum.reduceat(ids[order], start), np.minimum.reduceat(ids[order], start)
+        f, g = f[order][start], g[order][start]
         at = split_ranges(f, ranges)
         full = np.flatnonzero(np.diff(at))
         cut = lambda x: pa.array([planes(x[at[k] : at[k + 1]]) for k in full], pa.binary())
@@ -209,11 +226,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         lens = [len(x) for x in parts[0]]
         f, g, least, many = (np.concatenate(x) for x in parts)
         row = np.repeat(np.arange(len(lens)), lens)
-        order = np.lexsort((least, g, f))
-        new = first_of(f[order]) | first_of(g[order])
-        start = np.flatnonzero(new)
+        order, start = groups_of(f, g)
         first = np.empty(len(f), np.int64)
-        first[order] = np.repeat(least[order][start], np.diff(np.r_[start, len(f)]))
+        first[order] = np.repeat(np.minimum.reduceat(least[order], start), np.diff(np.r_[start, len(f)]))
         told = (first < least) | (many > 0)  # a window that only its owner has needs no answer
         at = np.searchsorted(row[told], np.arange(len(lens) + 1))
         cut = lambda x: pa.array([planes(x[told][at[k] : at[k + 1]]) for k in range(len(lens))], pa.binary())
@@ -232,7 +247,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if row["told"]:
             parts = sorted(row["told"], key=lambda x: x["range"])
             f, g, first = (np.concatenate([unplanes(x[c], k) for x in parts]) for c, k in (("f", np.uint64), ("g", np.uint32), ("first", np.int64)))
-            starts = np.flatnonzero(w.doc[: max(0, len(w.doc) - window + 1)] == w.doc[window - 1 :])
+            starts = _starts(w, window)
             if len(f) and len(starts):
                 a, b = fingerprints(w, starts, window)
                 lo = np.searchsorted(f, a)
@@ -248,8 +263,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     live = live[~hit]
                     lo[live] += 1
                 edge = np.zeros(len(w.doc) + 1, np.int64)
-                np.add.at(edge, starts[found], 1)
-                np.add.at(edge, starts[found] + window, -1)
+                edge[starts[found]] += 1  # each window starts once
+                edge[starts[found] + window] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
         n = np.diff(bounds)
         removed = np.diff(np.r_[0, np.cumsum(gone)][bounds])
