@@ -33,7 +33,7 @@ def table_of(spark, df, tmp_path, name):
 
 
 def test_once_each_and_quiet_keys(spark, tmp_path):
-    rows = [("x", 0), ("x", 60), ("x", 2000), ("y", 30), ("y", 30), ("z", 9000)]
+    rows = [("x", 1000), ("x", 1060), ("x", 3000), ("y", 1030), ("y", 1030), ("z", 9900)]
     spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
     assert len(table_of(spark, rollup.once_each(stream(), ["k", "ts"]), tmp_path, "once")) == 5

@@ -18,25 +18,25 @@ def kth_value(df: DataFrame, keys: Sequence[str], value: str, k: Column, *, bins
     only that range is put in order.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    edges = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("n")).withColumn("_k", k)
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    renamed = edges.select(*(F.col(c).alias(f"_{c}") for c in keys), "_lo", "_hi", "n", "_k")
+    edges = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("n")).withColumn("__wanted", k)
+    same = [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in keys]
+    renamed = edges.select(*(F.col(c).alias(f"__key_{c}") for c in keys), "_lo", "_hi", "n", "__wanted")
     on = F.lit(True) if not keys else None
     for c in same:
         on = c if on is None else on & c
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi").cast("double") - F.col("_lo").cast("double")) / bins)
     placed = rows.join(renamed, on).withColumn("_bin", F.coalesce(F.least(F.floor((F.col(value).cast("double") - F.col("_lo").cast("double")) / width), F.lit(bins - 1)), F.lit(0)))
-    own = [F.col(f"_{c}") for c in keys]
+    own = [F.col(f"__key_{c}") for c in keys]
     before = Window.partitionBy(*own).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*own, "_k", "n", "_bin").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    hit = sums.where((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_c")))
-    hit = hit.select(*(c.alias(f"_h{i}") for i, c in enumerate(own)), F.col("_bin").alias("_hbin"), F.col("_before").alias("_hbefore"))
+    sums = placed.groupBy(*own, "__wanted", "n", "_bin").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    hit = sums.where((F.col("_before") <= F.col("__wanted")) & (F.col("__wanted") < F.col("_before") + F.col("_c")))
+    hit = hit.select(*(c.alias(f"__h{i}") for i, c in enumerate(own)), F.col("_bin").alias("_hbin"), F.col("_before").alias("_hbefore"))
     both = F.col("_bin") == F.col("_hbin")
     for i, c in enumerate(own):
-        both = both & c.eqNullSafe(F.col(f"_h{i}"))
+        both = both & c.eqNullSafe(F.col(f"__h{i}"))
     inside = placed.join(hit, both)
     order = Window.partitionBy(*own).orderBy(value)
-    out = inside.withColumn("_place", F.row_number().over(order) - 1 + F.col("_hbefore")).where(F.col("_place") == F.col("_k"))
+    out = inside.withColumn("_place", F.row_number().over(order) - 1 + F.col("_hbefore")).where(F.col("_place") == F.col("__wanted"))
     return out.select(*(c.alias(k_) for c, k_ in zip(own, keys, strict=True)), "n", value)
 
 
