@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _delete, partitions, shared_dir
-from .words import U64
+from .words import U64, give_back
 
 ROW_BITS = 20
 
@@ -69,6 +69,7 @@ class Blocks:
                     a = b
             if ids:
                 yield flush()
+            give_back()
 
         self.n = partitions(self.spark)
         self.name = f"blocks_{uuid.uuid4().hex}"
@@ -99,6 +100,8 @@ class Blocks:
                     row = {"block": batch.column("block")[k].as_py(), "ids": batch.column("ids")[k].values, "texts": batch.column("texts")[k].values}
                     row |= {name: batch.column(name)[k].as_py() or [] for name in names}
                     yield from work(row)
+                    del row
+                    give_back()
 
         return joined.mapInArrow(each, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .words import U64, pieces
+from .words import U64, give_back, pieces
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -173,6 +173,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
             for part in pieces(batch, "__text", 1 << 21):
                 best, score = m.score(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            give_back()
 
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)

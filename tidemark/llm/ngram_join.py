@@ -35,7 +35,7 @@ from .blocks import ROW_BITS, Blocks, first_of, ids_of, planes, split_ranges, un
 from .common import partitions, stage, table, unstage
 from .embedding_dedup import _Forest
 from .graph import components
-from .words import U64, mix, ngrams, words_of
+from .words import U64, give_back, mix, ngrams, words_of
 
 ROW_MASK = (1 << ROW_BITS) - 1
 
@@ -192,7 +192,10 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         back = np.empty(len(flat), np.uint8)
         back[order] = np.repeat(code, np.diff(np.r_[start, len(flat)]))
         cuts = np.cumsum([len(x) for x in hashes])[:-1]
-        return pa.table({"block": group.column("block"), "range": group.column("range"), "codes": pa.array([x.tobytes() for x in np.split(back, cuts)], pa.binary())})
+        out = pa.table({"block": group.column("block"), "range": group.column("range"), "codes": pa.array([x.tobytes() for x in np.split(back, cuts)], pa.binary())})
+        del hashes, counts, flat, order, start, df, code, back
+        give_back()
+        return out
 
     asked = blocks.run(ask, "range int, block long, hashes binary, counts binary", chosen=chosen)
     answers = stage(asked.groupBy("range").applyInArrow(answer, "block long, range int, codes binary"), "frequencies")

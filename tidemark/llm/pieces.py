@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .words import U64, mix, text_buffer
+from .words import U64, give_back, mix, text_buffer
 from .words import pieces as slices
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = 0x2581
 ESCAPED = 0x110000  # stands for a U+2581 that the text itself has
 LONG = 64
-NONE = np.int64(1) << 62
+NONE = np.int32(2**31 - 1)
 SEGMENT = 1 << 20
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
@@ -69,7 +69,7 @@ def load(model: bytes) -> Vocabulary:
     normal = {sp.id_to_piece(i): i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
     if any("▁" in p.lstrip("▁") for p in normal):
         raise ValueError("a piece reaches across the start of a word")
-    of_char = np.arange(0x110001, dtype=np.int64) + size
+    of_char = np.arange(size, size + 0x110001, dtype=np.int32)
     for p, i in normal.items():
         if len(p) == 1:
             of_char[ord(p)] = i
@@ -86,7 +86,7 @@ def load(model: bytes) -> Vocabulary:
             if left is not None and right is not None:
                 rows.append((left << 21 | right, i, order[score[p]]))
     rows.sort()
-    byte_ids = np.zeros(256, np.int64)
+    byte_ids = np.zeros(256, np.int32)
     bodies = [b""] * size
     for i in range(size):
         if sp.is_byte(i):
@@ -95,7 +95,7 @@ def load(model: bytes) -> Vocabulary:
     for p, i in normal.items():
         bodies[i] = p.replace("▁", " ").encode()
     lens = np.array([len(b) for b in bodies], np.int64)
-    cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+    cols = [np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int32), strict=True)]
     return Vocabulary(size, of_char, *cols, joins, byte_ids, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lens) - lens, lens)
 
 
@@ -110,7 +110,7 @@ class Encoder:
     def _look(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE: no such merge, or skipped) and merged symbol of pairs."""
         v = self.v
-        pair = left << 21 | right
+        pair = left.astype(np.int64) << 21 | right
         at = np.searchsorted(v.keys, pair)
         at[at == len(v.keys)] = 0
         ok = v.keys[at] == pair
@@ -122,8 +122,8 @@ class Encoder:
     def _merge_short(self, sym: np.ndarray, word: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and word numbers after all merges; sym is in order of word, keys by word."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        rank = np.full(len(sym), NONE)
-        merged = np.zeros(len(sym), np.int64)
+        rank = np.full(len(sym), NONE, np.int32)
+        merged = np.zeros(len(sym), np.int32)
         i = np.flatnonzero(word[1:] == word[:-1])
         rank[i], merged[i] = self._look(sym[i], sym[i + 1], keys[word[i]], place[i])
         while len(sym):
@@ -181,7 +181,7 @@ class Encoder:
             if after[j] >= 0:
                 before[after[j]] = i
             look([k for k in (before[i], i) if k >= 0 and after[k] >= 0])
-        return np.array([s for s in sym if s >= 0], np.int64)
+        return np.array([s for s in sym if s >= 0], np.int32)
 
     def _bytes(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols outside the vocabulary become byte pieces."""
@@ -242,8 +242,8 @@ class Encoder:
         unique = mix(unique + U64(self.seed * int(_C1) % 2**64))
         count = size[where]
         offset = np.cumsum(count) - count
-        word = np.repeat(np.arange(len(unique)), count)
-        place = np.arange(len(word)) - offset[word]
+        word = np.repeat(np.arange(len(unique), dtype=np.int32), count)
+        place = (np.arange(len(word)) - offset[word]).astype(np.int32)
         sym = v.of_char[points[start[where][word] + place]]
         short = (count <= LONG)[word]
         sym_, word_ = self._merge_short(sym[short].copy(), word[short], place[short], unique)
@@ -251,7 +251,7 @@ class Encoder:
             parts, names = [sym_], [word_]
             for k in np.flatnonzero(count > LONG):
                 parts.append(self._merge_long(sym[offset[k] : offset[k] + count[k]], unique[k]))
-                names.append(np.full(len(parts[-1]), k))
+                names.append(np.full(len(parts[-1]), k, np.int32))
             sym_, word_ = np.concatenate(parts), np.concatenate(names)
             order = np.argsort(word_, kind="stable")
             sym_, word_ = sym_[order], word_[order]
@@ -271,7 +271,7 @@ class Encoder:
         def flush() -> None:
             nonlocal held, fill
             body = "".join(s for _, s in held)
-            points = np.frombuffer(body.encode("utf-32-le"), np.uint32).astype(np.int64)
+            points = np.frombuffer(body.encode("utf-32-le"), np.uint32).astype(np.int32)
             doc = np.repeat([i for i, _ in held], [len(s) for _, s in held])
             points[points == SPACE] = ESCAPED
             points[points == 0x20] = SPACE
@@ -347,7 +347,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
             made.append(Encoder(load(shared.value), dropout, seed, variants))
         encoder = made[0]
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", 1 << 21):
                 text = part.column("__text")
                 ids, offsets = encoder.encode_texts(text.to_pylist(), _id_salt(part.column("__id"), seed))
                 body, ends = decode_ids(encoder.v, ids, offsets)
@@ -364,6 +364,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
                     ],
                     names=[*keep, *results],
                 )
+                del ids, offsets, body, ends, bodies, data
+                give_back()
 
     kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType(), T.StringType()]
     return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(c, k) for c, k in zip(results, kinds, strict=True))]))

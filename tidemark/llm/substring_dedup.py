@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Blocks, first_of, ids_of, planes, split_ranges, unplanes
 from .common import _delete, partitions, shared_dir, stage, table, unstage
-from .words import U64, Words, mix, ngrams, words_of
+from .words import U64, Words, give_back, mix, ngrams, words_of
 
 RUN = "range int, hashes binary, which binary, many binary, blocks array<long>"
 
@@ -232,7 +232,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         told = (first < least) | (many > 0)  # a window that only its owner has needs no answer
         at = np.searchsorted(row[told], np.arange(len(lens) + 1))
         cut = lambda x: pa.array([planes(x[told][at[k] : at[k + 1]]) for k in range(len(lens))], pa.binary())
-        return pa.table({"block": group.column("block"), "range": group.column("range"), "f": cut(f), "g": cut(g), "first": cut(first)})
+        out = pa.table({"block": group.column("block"), "range": group.column("range"), "f": cut(f), "g": cut(g), "first": cut(first)})
+        give_back()
+        return out
 
     asked = blocks.run(verify, "range int, block long, f binary, g binary, least binary, many binary", marks=marks)
     told = stage(asked.groupBy("range").applyInArrow(owners, "block long, range int, f binary, g binary, first binary"), "owners")

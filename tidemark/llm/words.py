@@ -10,6 +10,8 @@ that memory beyond the column itself stays flat however long a text is.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,6 +151,15 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keep, mix(acc[keep])
 
 
+def give_back() -> None:
+    """Hand memory that is free again back to the system: Python workers live on, and share it with others."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(table: pa.RecordBatch | pa.Table, column: str, most_bytes: int = 4 << 20):
     """Slices of whole rows holding about most_bytes of text each (one long text may be more)."""
     col = table.column(column)
