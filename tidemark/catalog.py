@@ -205,7 +205,7 @@ def shot_groups(spark: SparkSession, d: str) -> DataFrame:
     return got.select("stem", F.size("assets").cast("long").alias("n_assets"), "needs_derivation", F.array_join(F.col("assets.rel_path"), ",").alias("paths"))
 
 
-@query(f"WITH {ASSET} SELECT stem, sha256(string_agg(concat(rel_path, ':', bytes), '|' ORDER BY concat(rel_path, ':', bytes))) AS fingerprint, count(*) AS n FROM a GROUP BY stem")
+@query(f"WITH {ASSET} SELECT stem, sha256(concat(sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)), ':', sum(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT)))) AS fingerprint, count(*) AS n FROM (SELECT stem, sha256(concat(rel_path, ':', bytes)) AS h FROM a) GROUP BY stem")
 def set_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return shots.set_fingerprint(assets(spark, d), ["stem"], ["rel_path", "bytes"])
 

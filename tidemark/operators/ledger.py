@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import with_place
+
 
 def _same(keys: Sequence[str], a: str, b: str):
     out = None
@@ -67,7 +69,10 @@ def fold_states(log: DataFrame, key: str, seq: str, columns: Sequence[str]) -> D
 
 
 def batches_of(rows: DataFrame, order: Sequence, size: int, keys: Sequence[str] = ()) -> DataFrame:
-    """rows with batch: numbers from 0 that `size` rows share, in order, within keys."""
+    """rows with batch: numbers from 0 that `size` rows share, in order, within keys (or over all rows)."""
+    if not keys:
+        placed, _ = with_place(rows, list(order), "__place")
+        return placed.withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
     at = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("batch", F.floor((F.row_number().over(at) - 1) / size))
 

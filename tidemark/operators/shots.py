@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import leading_number
+from ..staging import with_place
 
 #: Preference of file kinds for a shot.
 KIND_RANK = {"jpeg": 0, "raw": 1, "video": 2, "other": 3}
@@ -38,9 +39,16 @@ def best_asset(assets: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def set_fingerprint(rows: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
-    """A hash of each key's set of tuples, whatever their order."""
-    line = F.concat_ws(":", *(F.col(p).cast("string") for p in parts))
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "|"), 256).alias("fingerprint"), F.count("*").alias("n"))
+    """A hash of each key's tuples, whatever their order: sums of hashes, so that no task gathers a key's rows."""
+    line = F.concat_ws(":", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))
+    return rows.groupBy(*keys).agg(set_hash(line).alias("fingerprint"), F.count("*").alias("n"))
+
+
+def set_hash(line: Column) -> Column:
+    """Aggregate: a hash of a group's lines that does not depend on their order."""
+    digest = F.sha2(line, 256)
+    part = lambda k: F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws(":", part(0), part(1)), 256)
 
 
 def content_copies(rows: DataFrame, content: str, ident: str) -> DataFrame:
@@ -55,15 +63,14 @@ def rename_plan(rows: DataFrame, *, name: str, capture: str, prefix: str, existi
 
     Rows are numbered by capture (missing first), then the first number in the
     name, then the name; numbers are given before collisions are found, so gaps
-    stay. The width is that of the largest number, two at least. Numbering is a
-    total order of one folder or session.
+    stay. The width is that of the largest number, two at least.
     """
-    order = Window.orderBy(F.col(capture).asc_nulls_first(), leading_number(F.col(name)).asc_nulls_first(), name)
-    n = F.count("*").over(Window.partitionBy())
-    numbered = rows.withColumn("place", F.row_number().over(order)).withColumn("_n", n)
-    width = F.greatest(F.lit(2), F.length(F.col("_n").cast("string")))
+    order = [F.col(capture).asc_nulls_first(), leading_number(F.col(name)).asc_nulls_first(), F.col(name)]
+    numbered, total = with_place(rows, order)
+    numbered = numbered.withColumn("place", F.col("place") + 1)
+    width = max(2, len(str(total)))
     ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    out = numbered.withColumn("new_name", F.concat(F.lit(prefix + "-"), F.lpad(F.col("place").cast("string"), width, F.lit("0")), ext))
+    out = numbered.withColumn("new_name", F.concat(F.lit(prefix + "-"), F.lpad(F.col("place").cast("string"), width, "0"), ext))
     taken = existing.select(F.col(name).alias("_taken")).distinct() if existing is not None else None
     out = out.join(taken, F.lower("new_name") == F.lower("_taken"), "left") if taken is not None else out.withColumn("_taken", F.lit(None))
     problem = F.when(F.col("new_name") == F.col(name), "unchanged").when(F.col("_taken").isNotNull(), "collision")
@@ -78,7 +85,8 @@ def first_claimant(rows: DataFrame, target: str, order: Sequence[str]) -> DataFr
 
 def sample_evenly(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """n rows spread evenly over the order, both ends among them; all rows if there are no more."""
-    whole = Window.partitionBy()
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(whole))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / max(1, n - 1)))
-    return numbered.where((F.col("_n") <= n) | F.array_contains(picks, F.col("_i").cast("long"))).drop("_i", "_n")
+    numbered, total = with_place(rows, list(order), "__place")
+    if total <= n:
+        return numbered.drop("__place")
+    picks = sorted({k * (total - 1) // max(1, n - 1) for k in range(n)})
+    return numbered.where(F.col("__place").isin(picks)).drop("__place")

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shots import set_hash
+
 
 @dataclass
 class Plan:
@@ -29,9 +31,8 @@ class Plan:
 
         Rows are hashed one by one and summed, so no task holds them all.
         """
-        line = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)), 256)
-        part = lambda k: F.sum(F.conv(F.substring(line, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)"))
-        return self.actions.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", part(0).cast("string"), part(1).cast("string")), 256).alias("plan_hash"))
+        line = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))
+        return self.actions.agg(F.count("*").alias("n"), set_hash(line).alias("plan_hash"))
 
 
 def first_reason(*rules: tuple[Column, str]) -> Column:

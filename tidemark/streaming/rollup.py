@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_start
 from ..operators.ledger import insert_or_ignore
+from ..operators.shots import set_hash
 
 GRACE = "2 hours"
 
@@ -33,12 +34,9 @@ def daily_tracks(fixes: DataFrame, offset_seconds: int = 0) -> DataFrame:
 
     The hash sums hashes of rows, so no task holds a whole day.
     """
-    line = F.sha2(F.concat_ws(":", F.col("at").cast("string"), F.format_string("%.7f", F.col("lat")), F.format_string("%.7f", F.col("lon"))), 256)
-    part = lambda k: F.sum(F.conv(F.substring(line, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)"))
+    line = F.concat_ws(":", F.col("at").cast("string"), F.format_string("%.7f", F.col("lat")), F.format_string("%.7f", F.col("lon")))
     day = day_start(F.col("at"), offset_seconds)
-    return fixes.groupBy("device", day.alias("day")).agg(
-        F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.sha2(F.concat_ws(":", part(0).cast("string"), part(1).cast("string")), 256).alias("track_id")
-    )
+    return fixes.groupBy("device", day.alias("day")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), set_hash(line).alias("track_id"))
 
 
 def roll_up(store, offset_seconds: int = 0):
