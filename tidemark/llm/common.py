@@ -1,20 +1,16 @@
-"""Reading the driver's tables, and tables staged in the cluster's shared folder."""
+"""Reading the driver's tables, and what several operators need."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..staging import delete as _delete
+from ..staging import shared_dir, stage, unstage
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-_STAGED: dict[str, SparkSession] = {}
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,50 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only for a local master that has none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it from there: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STAGED[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path  # noqa: SLF001
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm  # noqa: SLF001
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing lazy reads any more."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path and (spark := _STAGED.pop(path, None)):
-            _delete(spark, path)
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_STAGED.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the context may be gone by now
-            return
-
-
 def sized(rows: DataFrame, most_rows: int = 1 << 18) -> DataFrame:
     """A staged side of a join: broadcast up to most_rows (counted), else joined by a shuffled hash join."""
     return F.broadcast(rows) if rows.count() <= most_rows else rows.hint("shuffle_hash")
@@ -80,4 +32,4 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-WORD = r"[^\x20\x09-\x0D]+"
+__all__ = ["DOCUMENT_COLUMNS", "WORD", "_delete", "partitions", "shared_dir", "sized", "stage", "table", "text_of", "unstage"]
