@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +84,63 @@ def noise(seed: Column | int, x: Column, y: Column) -> Column:
     """Hash noise in -1..1, the same for the same seed and place."""
     h = F.xxhash64(seed if isinstance(seed, Column) else F.lit(seed), x, y)
     return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 52) - 1
+
+
+#: D50 white point and the constants of CIE Lab.
+D50 = (0.96422, 1.0, 0.82521)
+LAB_EPS, LAB_KAPPA = 216 / 24389, 24389 / 27
+
+
+def xyz_to_lab(x: Column, y: Column, z: Column, white: tuple = D50) -> tuple[Column, Column, Column]:
+    def f(v: Column, n: float) -> Column:
+        t = v / n
+        return F.when(t > LAB_EPS, F.cbrt(t)).otherwise((LAB_KAPPA * t + 16) / 116)
+
+    fx, fy, fz = f(x, white[0]), f(y, white[1]), f(z, white[2])
+    return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
+
+
+def delta_e_2000(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
+    """CIEDE2000 colour difference, as published, with weights of 1."""
+    power7 = 25.0**7
+    c_mean = (F.hypot(a1, b1) + F.hypot(a2, b2)) / 2
+    g = 0.5 * (1 - F.sqrt(F.pow(c_mean, 7) / (F.pow(c_mean, 7) + power7)))
+    p1, p2 = a1 * (1 + g), a2 * (1 + g)
+    c1, c2 = F.hypot(p1, b1), F.hypot(p2, b2)
+    hue = lambda a, b: F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
+    h1, h2 = hue(p1, b1), hue(p2, b2)
+    grey = c1 * c2 == 0
+    gap = h2 - h1
+    dh = F.when(grey, 0.0).when(F.abs(gap) <= 180, gap).when(gap > 180, gap - 360).otherwise(gap + 360)
+    dl, dc, dhh = l2 - l1, c2 - c1, 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2))
+    lm, cm, total = (l1 + l2) / 2, (c1 + c2) / 2, h1 + h2
+    hm = F.when(grey, total).when(F.abs(h1 - h2) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+    cos = lambda d: F.cos(F.radians(d))
+    t = 1 - 0.17 * cos(hm - 30) + 0.24 * cos(2 * hm) + 0.32 * cos(3 * hm + 6) - 0.20 * cos(4 * hm - 63)
+    sl = 1 + 0.015 * F.pow(lm - 50, 2) / F.sqrt(20 + F.pow(lm - 50, 2))
+    sc, sh = 1 + 0.045 * cm, 1 + 0.015 * cm * t
+    turn = 60 * F.exp(-F.pow((hm - 275) / 25, 2))
+    rt = -F.sin(F.radians(turn)) * 2 * F.sqrt(F.pow(cm, 7) / (F.pow(cm, 7) + power7))
+    return F.sqrt(F.greatest(F.lit(0.0), F.pow(dl / sl, 2) + F.pow(dc / sc, 2) + F.pow(dhh / sh, 2) + rt * (dc / sc) * (dhh / sh)))
+
+
+def band_weights(hue: Column, centres: tuple = (0, 30, 60, 120, 180, 240, 280, 320)) -> Column:
+    """array<double>: raised-cosine weights of hue bands around a circle; between two centres they add up to 1."""
+    out = []
+    n = len(centres)
+    for k, c in enumerate(centres):
+        left, right = (c - centres[k - 1]) % 360, (centres[(k + 1) % n] - c) % 360
+        ahead = F.pmod(hue - c, F.lit(360.0))
+        behind = F.pmod(c - hue, F.lit(360.0))
+        up = F.when(ahead < right, 0.5 + 0.5 * F.cos(F.lit(math.pi) * ahead / right)).when(behind < left, 0.5 + 0.5 * F.cos(F.lit(math.pi) * behind / left))
+        out.append(F.coalesce(up, F.lit(0.0)))
+    return F.array(*out)
+
+
+def chroma_fade(chroma: Column) -> Column:
+    return smoothstep(0.005, 0.025, chroma)
+
+
+def radial_gain(x: Column, y: Column, amount: Column | float, inner: float = 0.5, outer: float = 1.0) -> Column:
+    """Gain of a vignette at a place measured from the centre, corners at 1."""
+    return 1 + (amount if isinstance(amount, Column) else F.lit(amount)) * smoothstep(inner, outer, F.hypot(x, y))
