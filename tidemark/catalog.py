@@ -7,15 +7,19 @@ documents file contents, conversations event logs, embeddings raster rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import colour, dates, geo, text
-from .operators import arrays, asof, checks, ledger, shots, stats, timeline
+from .operators import arrays, asof, checks, ledger, raster, shots, stats, timeline
 from .plans.plan import Plan, first_reason
 from .session import ship
+from .sources import tables
+from .streaming import rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -624,17 +628,76 @@ def url_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.slug(text.base_name(F.col("url"))).alias("slug"))
 
 
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{d}/events.parquet*")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What the sink of a stream holds once all there is has been read."""
+    name = f"sink_{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 @query("""WITH w AS (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1) SELECT epoch_us(d) // 1000000 AS day_s, n FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def stream_closed_days(spark: SparkSession, d: str) -> DataFrame:
-    """Days that a stream of all events has closed, as its sink holds them in the end."""
-    import uuid
-
-    from .streaming.rollup import closed_days
-
-    schema = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).schema
-    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    name = f"closed_days_{uuid.uuid4().hex}"
-    days = closed_days(stream.select(*(F.col(f.name).cast(f.dataType) for f in schema)))
-    job = days.select(F.unix_seconds("day_start").alias("day_s"), "n").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.table(name)
+    """Days that a stream of all events has closed."""
+    return drained(rollup.closed_days(event_stream(spark, d)).select(F.unix_seconds("day_start").alias("day_s"), "n"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g), b AS (SELECT user_id, burst, min(ts) AS a, max(ts) AS z, count(*) AS n FROM n GROUP BY ALL)
+SELECT user_id, epoch_us(a) // 1000000 AS first_s, n FROM b WHERE z + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of each user that six quiet hours have ended."""
+    bursts = rollup.quiet_keys(event_stream(spark, d), "user_id", quiet="6 hours")
+    return drained(bursts.select("user_id", F.unix_seconds("first_ts").alias("first_s"), "n"))
+
+
+@query("SELECT event_id FROM events")
+def stream_once_each(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that reads every event twice, and keeps it once."""
+    twice = event_stream(spark, d).select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return drained(rollup.once_each(twice, ["event_id"], grace="60 days").select("event_id"))
+
+
+@query()
+def raster_blur(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as 8 x 8 rasters, smoothed and brought down to 4 x 4."""
+    rows = rasters(spark, d).select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("a").alias("pixels"))
+    got = raster.map_rasters(rows, lambda x: raster.resize(raster.gaussian_blur(x, 1.0), 4, 4))
+    return got.select("id", "width", F.transform("pixels", lambda p: F.round(p, 6)).alias("pixels"))
+
+
+@query()
+def lut_3d(spark: SparkSession, d: str) -> DataFrame:
+    """Colours through a small lattice by tetrahedral interpolation."""
+    axis = np.linspace(0, 1, 5)
+    lattice = np.stack(np.meshgrid(axis**0.8, axis, axis**1.2, indexing="ij"), -1)
+    look = tables.apply_lattice(spark, lattice)
+    return colours(spark, d).select("vec_id", look("r", "g", "b").alias("c")).select("vec_id", *(F.round(f"c.{k}", 6).alias(k) for k in "rgb"))
+
+
+@query()
+def curve_eval(spark: SparkSession, d: str) -> DataFrame:
+    """A monotone tone curve at each red value."""
+    curve = tables.monotone_cubic([(0, 0), (0.25, 0.2), (0.75, 0.85), (1, 1)])
+    return colours(spark, d).select("vec_id", F.round(tables.evaluate_curve(curve, F.col("r")), 6).alias("value"))
+
+
+@query()
+def colour_difference(spark: SparkSession, d: str) -> DataFrame:
+    """CIEDE2000 between neighbouring pairs of components read as Lab."""
+    part = lambda i, k: F.col("a")[i] * k
+    lab = [part(0, 100.0), part(1, 100.0), part(2, 100.0), part(3, 100.0), part(4, 100.0), part(5, 100.0)]
+    return rasters(spark, d).select("vec_id", F.round(colour.delta_e_2000(*lab), 4).alias("difference"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE doc_id % 5 = 0")
+def plan_hash(spark: SparkSession, d: str) -> DataFrame:
+    """How many actions a plan has; its hash is held against another order of rows in the tests."""
+    rows = table(spark, d, "documents").select("doc_id", "source")
+    plan = Plan.of(rows, first_reason((F.col("doc_id") % 5 != 0, "published")))
+    return plan.fingerprint(["doc_id", "source"]).select("n")
