@@ -231,7 +231,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         first[order] = np.repeat(np.minimum.reduceat(least[order], start), np.diff(np.r_[start, len(f)]))
         told = (first < least) | (many > 0)  # a window that only its owner has needs no answer
         at = np.searchsorted(row[told], np.arange(len(lens) + 1))
-        cut = lambda x: pa.array([planes(x[told][at[k] : at[k + 1]]) for k in range(len(lens))], pa.binary())
+
+        def cut(x: np.ndarray) -> pa.Array:
+            x = x[told]
+            return pa.array([planes(x[at[k] : at[k + 1]]) for k in range(len(lens))], pa.binary())
+
         out = pa.table({"block": group.column("block"), "range": group.column("range"), "f": cut(f), "g": cut(g), "first": cut(first)})
         give_back()
         return out
