@@ -10,6 +10,7 @@ from .langid import op7_language_id
 from .license_scan import op9_license_scan
 from .mixing import op3_mix_sources
 from .ngram_join import op10_ngram_join
+from .oracles import NEAR, SUBSTRINGS, VECTORS
 from .pieces import op5_piece_encode
 from .secret_scan import op1_secret_scan
 from .substring_dedup import op2_substring_dedup
@@ -28,5 +29,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": SUBSTRINGS,
     "op4_exact_dedup": EXACT_DEDUP_SQL,
+    "op6_embedding_dedup": VECTORS,
+    "op10_ngram_join": NEAR,
 }
