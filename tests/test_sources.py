@@ -98,3 +98,30 @@ def test_plan_and_snapshots(spark, tmp_path):
     assert store.read("a").count() == 1 and store.read("b").count() == 2
     with pytest.raises(KeyError):
         store.read("c")
+
+
+def jpeg(order="<", date=b"2024:05:06 07:08:09\0", place=True):
+    """A JPEG's head with two directories and a frame of 300 x 200."""
+    import struct
+
+    entry = lambda tag, kind, n, value: struct.pack(order + "HHI", tag, kind, n) + value
+    number = lambda x: struct.pack(order + "I", x)
+    n_main = 3 if place else 2
+    detail_at = 8 + 2 + 12 * n_main + 4
+    text_at = detail_at + 2 + 12 * 2 + 4
+    main = struct.pack(order + "H", n_main) + entry(0x0110, 2, 3, b"X1\0\0") + entry(0x8769, 4, 1, number(detail_at)) + (entry(0x8825, 4, 1, number(0)) if place else b"") + number(0)
+    detail = struct.pack(order + "H", 2) + entry(0x9003, 2, len(date), number(text_at)) + entry(0x9011, 2, 7, number(text_at + len(date))) + number(0)
+    tiff = (b"II*\0" if order == "<" else b"MM\0*") + number(8) + main + detail + date + b"+02:00\0"
+    app = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">HBHHB", 8, 8, 200, 300, 1) + b"\0" * 9
+
+
+def test_exif(spark):
+    from tidemark.sources.exif import read_metadata
+
+    rows = [("a", jpeg()), ("b", jpeg(">", b"0000:00:00 00:00:00\0", False)), ("c", b"no picture"), ("d", jpeg()[:40]), ("e", None)]
+    got = {r["path"]: r for r in read_metadata(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["width"], a["height"], a["camera"], a["has_location"], str(a["capture"]), a["capture_tag"], a["offset_minutes"]) == (300, 200, "X1", True, "2024-05-06 07:08:09", "original", 120)
+    assert b["capture"] is None and not b["has_location"] and b["camera"] == "X1"
+    assert all(got[k]["width"] is None for k in "ce") and got["d"]["capture"] is None
