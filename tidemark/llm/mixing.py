@@ -138,7 +138,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A null or empty text has size 0 and takes 0. A null source is a source of
     its own, last in order. Weights that are null or not positive count as 0:
     such a document is not taken. Rows that repeat an id and text tie and are
-    taken or left together; every other tie of ranks is broken by id and text. No document takes more than most_copies times its size. Other columns
+    taken or left together; every other tie of ranks is broken by id and text.
+    No document takes more than most_copies times its size. Other columns
     are ignored; an empty table gives an empty result.
     """
     rows = stage(_measured(docs, id_col, text_col, source_col, weight_col, seed, []), "mix-sizes")
