@@ -84,11 +84,10 @@ def t_occurrence(query: np.ndarray, threshold: int, lists: list[np.ndarray], n_i
     return found, count
 
 
-def search(queries: list[np.ndarray], index: list[np.ndarray], percent: int, forest: _Forest, query_names: list[int], index_names: list[int], itself: bool) -> list[tuple[int, int]]:
-    """New spanning links between queries and index; members that the forest connects are not linked again."""
-    out: list[tuple[int, int]] = []
+def search(queries: list[np.ndarray], index: list[np.ndarray], percent: int, forest: _Forest, query_names: list[int], index_names: list[int], itself: bool) -> None:
+    """Joins in the forest what links between queries and index; members that it connects already are not compared."""
     if not index or not queries:
-        return out
+        return
     owner = np.repeat(np.arange(len(index)), [len(x) for x in index])
     token = np.concatenate(index)
     order = np.lexsort((owner, token))
@@ -110,14 +109,11 @@ def search(queries: list[np.ndarray], index: list[np.ndarray], percent: int, for
             found, count = found[found < q], count[found < q]
         good = found[100 * count >= percent * (len(query) + sizes[found] - count)]
         for k in good:
-            if forest.root(index_names[k]) != forest.root(name):
-                out.append((name, index_names[k]))
-                forest.join(name, index_names[k])
+            forest.join(name, index_names[k])
         if len(good):
             old = np.unique(np.r_[roots[good], root])
             new = forest.root(name)
             roots[np.isin(roots, old)] = new
-    return out
 
 
 def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -233,8 +229,9 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     placed = stage(alive.select("rep", "tokens").join(placed.select("rep", "family", "part", "parts"), "rep"), "members")
 
     def inside(group: pa.Table) -> pa.Table:
-        names, sets = group.column("rep").to_pylist(), _sets(group.column("tokens"))
-        return _links(search(sets, sets, percent, _Forest(), names, names, True))
+        names, sets, forest = group.column("rep").to_pylist(), _sets(group.column("tokens")), _Forest()
+        search(sets, sets, percent, forest, names, names, True)
+        return _links([(x, r) for x in names if (r := forest.root(x)) != x])
 
     found = stage(placed.groupBy("family", "part").applyInArrow(inside, "a long, b long"), "links")
     wide = placed.where("parts > 1")
@@ -265,8 +262,8 @@ def _across(wide: DataFrame, found: DataFrame, percent: int, part: int) -> DataF
         for x, c in zip(names, comp, strict=True):
             forest.join(x, c)
         pick = lambda xs, side: [x for x, s in zip(xs, asks, strict=True) if s == side]
-        links = search(pick(sets, True), pick(sets, False), percent, forest, pick(names, True), pick(names, False), False)
-        return _links(links)
+        search(pick(sets, True), pick(sets, False), percent, forest, pick(names, True), pick(names, False), False)
+        return _links([(c, r) for c in sorted(set(comp)) if (r := forest.root(c)) != c])
 
     def searched(asking: DataFrame, labelled: DataFrame, targets: DataFrame) -> DataFrame:
         """asking: rows with family and chunk; each chunk against each other part of its family."""
