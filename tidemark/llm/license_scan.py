@@ -85,7 +85,8 @@ def build(frequency: dict[int, int], *, rare_words: int = 6, templates=TEMPLATES
     seqs = [_hashes(t) for _, t, _ in templates]
     posts: list[tuple[int, int, int]] = []
     for k, seq in enumerate(seqs):
-        distinct = sorted(set(seq.tolist()), key=lambda h: (frequency.get(h, 0), h))[:rare_words]
+        # words that no text has can be nobody's rarest
+        distinct = sorted(set(seq.tolist()), key=lambda h: (frequency.get(h, 0) == 0, frequency.get(h, 0), h))[:rare_words]
         posts += [(int(h), k, p) for p, h in enumerate(seq.tolist()) if h in distinct]
     posts.sort()
     hashes = np.array([p[0] for p in posts], np.uint64)
