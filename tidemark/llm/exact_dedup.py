@@ -4,14 +4,12 @@ Every text gets a 64-bit key and a SHA-256. Keys with their row counts are the
 index entries. A directory over the key's leading bits doubles until no bucket
 holds more than `capacity` entries, or the directory has 2**max_depth cells (a
 bucket may then hold more; results do not change). Buckets are contiguous key
-ranges; entries are written to the shared folder laid out by bucket, one owner
-task per run of buckets. Keys that more than one row has are chained: their
-texts are grouped by key and by their bytes, so that different texts under one
-key become different links of the chain. Texts are shuffled once, by key, to find those;
-the join is asked for as a shuffled hash join at every size, because a plan that
-broadcasts small indexes would hide the cost of large ones. Copies are combined
-before the second shuffle, and the joins that follow a hot text are on staged
-tables, which adaptive execution can split.
+ranges. Texts are grouped by key and by their bytes, so that different texts
+under one key become different links of its chain; copies are combined in each
+task before the one shuffle that carries texts. The chains of keys that several
+rows have are written to the shared folder laid out by bucket, one owner task
+per run of buckets. The join that gives rows their chain is on staged tables
+without texts, which adaptive execution can split for a hot key.
 
 All of it is DataFrame work inside the JVM. What reaches the driver is one
 count per directory cell: 2**max_depth rows at most.
@@ -22,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, sized, stage, table, text_of, unstage
+from .common import DOCUMENT_COLUMNS, sized, stage, table, text_of
 
 
 def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[int]:
@@ -69,25 +67,21 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     per_cell = entries.groupBy(F.shiftrightunsigned("key", 64 - depth).cast("int").alias("cell")).count()
     cells = directory({r["cell"]: r["count"] for r in per_cell.collect()}, capacity, depth)
 
-    with_bucket = entries.withColumn("bucket", _bucket(F.col("key"), cells, depth))
-    index = stage(with_bucket.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index")
-    shared_keys = index.where("n > 1").select("key").hint("shuffle_hash")
-
+    # Copies are combined before their text is shuffled, so a hot text comes once from each task; the grouping compares bytes.
     chained = (
         rows.withColumn("key", F.xxhash64("text"))
-        .join(shared_keys, "key", "left_semi")
         .groupBy("key", "text")
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("key", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
+        .where("group_size > 1")
+        .select(_bucket(F.col("key"), cells, depth).alias("bucket"), "key", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
     )
-    chains = stage(chained, "dedup-chains")
+    chains = stage(chained.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index").drop("bucket")
     out = keys.join(chains, ["key", "sha"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
-    unstage(index)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).select(id_col, "keep_id", "group_size", "kept", "text_sha256")
 
 
