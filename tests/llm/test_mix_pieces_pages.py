@@ -160,6 +160,22 @@ def test_main_text(page, text):
     assert html_text.main_text(page, None) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<html><body class="has-sidebar"><article>kept</article></body></html>', "kept"),
+        ('<html class="menu"><body class="single-post comments-open comment-form"><p>kept</p></body></html>', "kept"),
+        ('<div id="content" class="with-sidebar"><p>kept</p></div>', "kept"),
+        ('<article class="post no-comments"><p>kept</p></article>', "kept"),
+        ('<div class="sidebar"><div><article>kept</article></div>beside</div>', "kept"),
+        ('<article>kept</article><section id="comments"><article class="comment">nice</article><article>nice</article></section>', "kept"),
+        ('<div class="site-header">no</div><div class="nav-list">no</div><div class="box ad">no</div><p>kept</p>', "kept"),
+    ],
+)
+def test_names_of_wrappers_lose_no_article(page, text):
+    assert html_text.main_text(page, None) == text
+
+
 def test_trees_are_matched_in_order_for_the_most_nodes():
     a, b = html_text.parse("<div><p>x</p><ul><li>1<li>2</ul><p>y</p></div>"), html_text.parse("<div><ul><li>1<li>3<li>4</ul><p>y</p></div>")
     pairs = [(x.tag, x.text, y.text) for x, y in html_text.match(a, b)]
