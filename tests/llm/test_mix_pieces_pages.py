@@ -193,6 +193,19 @@ def test_wrappers_take_constants_out(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def extracted(spark, pages, **how):
+    rows = [(k, f"http://{host}/{k}", html) for k, (host, html) in enumerate(pages)]
+    return [r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **how).orderBy("page_id").collect()]
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    one = lambda k: f"<body><div>Our shop sells shoes</div><div><p>story {k}</p></div></body>"
+    two = lambda k: f"<body><table><tr><td>Price list of shoes<td>item {k}</table></body>"
+    pages = [(f"h{h}.example", one(k)) for h in range(24) for k in range(2)] + [("mixed.example", (one if k % 4 else two)(k)) for k in range(40)]
+    want = [f"story {k}" for h in range(24) for k in range(2)] + [f"story {k}" if k % 4 else f"item {k}" for k in range(40)]
+    assert extracted(spark, pages) == want == extracted(spark, pages, broadcast_bytes=0)
+
+
 def test_pipeline_keeps_one_of_each_and_loses_no_clean_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = [docs]
