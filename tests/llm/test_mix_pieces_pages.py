@@ -206,6 +206,14 @@ def test_each_layout_of_a_host_has_its_template(spark):
     assert extracted(spark, pages) == want == extracted(spark, pages, broadcast_bytes=0)
 
 
+def test_constants_of_marked_articles_go_and_repeated_articles_stay(spark):
+    page = lambda k, text: f"<body><p>top {k}</p><article><h1>title {text}</h1><p>Write to <b>our</b> desk</p><p>a <b>long</b> story about {text} and the rest</p></article></body>"
+    pages = [("h.example", page(k, k)) for k in range(10)] + [("few.example", page(k, k)) for k in range(3)] + [("copies.example", page(k, "one")) for k in range(10)]
+    full = lambda t: f"title {t} Write to our desk a long story about {t} and the rest"
+    want = [full(k).replace("Write to our desk ", "") for k in range(10)] + [full(k) for k in range(3)] + [full("one")] * 10
+    assert extracted(spark, pages) == want == extracted(spark, pages, broadcast_bytes=0)
+
+
 def test_pipeline_keeps_one_of_each_and_loses_no_clean_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = [docs]
