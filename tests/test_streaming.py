@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.plans.plan import Snapshots
+from tidemark.staging import shared_dir
 from tidemark.streaming import rollup
 
 FIX = "device string, at long, lat double, lon double, received_at long"
@@ -39,3 +41,12 @@ def test_once_each_and_quiet_keys(spark, tmp_path):
     assert len(table_of(spark, rollup.once_each(stream(), ["k", "ts"]), tmp_path, "once")) == 5
     quiet = table_of(spark, rollup.quiet_keys(stream(), "k", quiet="10 minutes"), tmp_path, "quiet")
     assert sorted((r["k"], r["n"]) for r in quiet) == [("x", 1), ("x", 2), ("y", 2)]
+
+
+def test_drained_streams_are_files_in_the_shared_folder(spark, tmp_path):
+    spark.range(100).withColumn("ts", F.timestamp_seconds(F.col("id") + 1_000_000)).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, ts timestamp").parquet(str(tmp_path / "in"))
+    got = catalog.drained(rollup.once_each(stream, ["id"], grace="1 day").select("id"))
+    assert sorted(r["id"] for r in got.collect()) == list(range(100))
+    assert got.inputFiles() and all(shared_dir(spark) in f.replace("file:///", "file:/").replace("file:/", "file:///") for f in got.inputFiles())
+    assert catalog.drained(stream.where("id < 0").select("id")).count() == 0

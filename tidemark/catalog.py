@@ -7,7 +7,6 @@ documents file contents, conversations event logs, embeddings raster rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +18,7 @@ from .operators import arrays, asof, checks, ledger, raster, shots, stats, timel
 from .plans.plan import Plan, first_reason
 from .session import ship
 from .sources import tables
+from .staging import stage_stream
 from .streaming import rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -635,10 +635,8 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """What the sink of a stream holds once all there is has been read."""
-    name = f"sink_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a stream has written once all there is has been read: Parquet in the shared folder."""
+    return stage_stream(stream, "sink")
 
 
 @query("""WITH w AS (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1) SELECT epoch_us(d) // 1000000 AS day_s, n FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")

@@ -35,6 +35,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_stream(df: DataFrame, name: str) -> DataFrame:
+    """The same for a stream: all there is now is written, with its checkpoint beside it, and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED[path] = spark
+    df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    out = spark.read.schema(df.schema).parquet(f"{path}/rows")
+    out._staged_path = path  # noqa: SLF001
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm  # noqa: SLF001
     target = jvm.org.apache.hadoop.fs.Path(path)
