@@ -3,6 +3,7 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tidemark import catalog
 from tidemark.operators import asof
 
 PROBE, FIX = "probe long, k string, at long", "k string, at long, fix long"
@@ -57,3 +58,20 @@ def test_offset_of_a_clock_is_found(spark):
     captures = spark.createDataFrame([("a", t * 600 * 3 + 3600) for t in range(10, 20)], "k string, at long")
     best = asof.estimate_offset(captures, spark.createDataFrame(fixes, FIX), ["k"], offsets=(-60, 0, 45, 60)).first()
     assert best["median_gap"] == 0 and 60 in best["plausible"]
+
+
+def test_offsets_of_all_users_are_scored(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    probes, fixes = catalog.probes_and_fixes(spark, sf_dir)
+    at = {}
+    for r in fixes.collect():
+        at.setdefault(r["user_id"], []).append(r["at"])
+    gaps = {}
+    for r in probes.collect():
+        for o in asof.UTC_OFFSETS:
+            if r["user_id"] in at:
+                gaps.setdefault((r["user_id"], o), []).append(min(abs(r["at"] - o * 60 - t) for t in at[r["user_id"]]))
+    want = {k: (len(g), sorted(g)[len(g) // 2]) for k, g in gaps.items()}
+    got = catalog.QUERIES["offset_scores_all"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {(r["user_id"], r["offset_minutes"]): (r["n"], r["median_gap"]) for r in got} == want
+    assert len({u % 10 for u, _ in want}) > 1
