@@ -125,6 +125,19 @@ def test_dropout_varies_by_seed_and_place_only(vocab, library):
     assert len(encode(vocab, text, dropout=1.0)[0]) == len(text[0]) + 1
 
 
+def test_every_occurrence_of_a_word_draws_for_itself(vocab, monkeypatch):
+    n = 400
+    text = ["understanding " * n]
+    got = encode(vocab, text, dropout=0.1)[0]
+    ends = np.cumsum([int(vocab.body_len[i]) for i in got])
+    words = collections.defaultdict(list)
+    for i, e in zip(got, ends, strict=True):
+        words[(e - 1) // len(" understanding")].append(i)
+    assert len({tuple(w) for k, w in words.items() if k < n}) > 12
+    monkeypatch.setattr(pieces.Encoder, "_skips", lambda self, points, start, size, key, own: own)  # each alone
+    assert encode(vocab, text, dropout=0.1)[0] == got
+
+
 def test_encode_and_decode_tables(spark, docs, corpus):
     rows = pieces.encode(docs, keep=["doc_id", "lang", "ids", "text"])
     assert rows.columns == ["doc_id", "lang", "text", "ids", "n_pieces", "round_trip", "decoded_sha256"]

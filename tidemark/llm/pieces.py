@@ -2,12 +2,13 @@
 
 Spaces become U+2581 and a text gets one in front. Symbols are merged in order
 of the merged piece's score, then from the left. With dropout p, each candidate
-merge is skipped for good if a hash keyed by the seed, the word's variant, the
-word, the candidate's place and its piece falls below p, so a text gets another
-segmentation for another seed and the same one in every run. A word's variant is
-a hash of the document's id and the word's place modulo `variants`: it varies
-from place to place, yet a batch has few different (word, variant) pairs, and
-each is segmented once.
+merge is skipped for good if a hash keyed by the seed, the document's id, the
+word's place in it, the word, the candidate's place and its piece falls below p,
+so a text gets another segmentation for another seed and the same one in every
+run. Every occurrence draws for itself. All that its segmentation depends on is
+which of the pieces that the word has anywhere are skipped, so occurrences of a
+batch with the same word and the same skipped pieces are segmented once.
+`variants` above 0 takes the draw of an occurrence modulo that many.
 
 No piece of such a vocabulary reaches across the start of a word, so words are
 independent. Short words of a batch are merged together, one merge of each per
@@ -59,6 +60,12 @@ class Vocabulary:
     body: np.ndarray  # bytes of all pieces as decoded
     body_start: np.ndarray
     body_len: np.ndarray
+    piece_hash: list[np.ndarray]  # by length in characters: hashes of the pieces, sorted
+    piece_id: list[np.ndarray]
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(np.uint64) + U64(1))
 
 
 def load(model: bytes) -> Vocabulary:
@@ -96,12 +103,20 @@ def load(model: bytes) -> Vocabulary:
         bodies[i] = p.replace("▁", " ").encode()
     lens = np.array([len(b) for b in bodies], np.int64)
     cols = [np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int32), strict=True)]
-    return Vocabulary(size, of_char, *cols, joins, byte_ids, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lens) - lens, lens)
+    longest = max(map(len, normal), default=0)
+    found: list[dict[int, int]] = [{} for _ in range(longest + 1)]
+    power = [U64(pow(int(_C1), k, 1 << 64)) for k in range(longest)]
+    for p, i in normal.items():
+        if len(p) > 1:
+            found[len(p)][int(np.sum(_codes(np.array([ord(c) for c in p])) * power[: len(p)], dtype=np.uint64))] = i
+    hashes = [np.array(sorted(x), np.uint64) for x in found]
+    ids = [np.array([x[int(h)] for h in hs], np.int32) for x, hs in zip(found, hashes, strict=True)]
+    return Vocabulary(size, of_char, *cols, joins, byte_ids, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lens) - lens, lens, hashes, ids)
 
 
 class Encoder:
-    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, variants: int = 8):
-        self.v, self.seed, self.variants = vocab, seed, max(1, variants) if dropout > 0 else 1
+    def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, variants: int = 0):
+        self.v, self.seed, self.variants = vocab, seed, max(0, variants)
         self.limit = U64(min(int(dropout * 2**64), 2**64 - 1))
         self.always = dropout >= 1
         self.power = np.cumprod(np.r_[U64(1), np.full(SEGMENT, _C1)].astype(np.uint64))
@@ -202,6 +217,52 @@ class Encoder:
                 out[first[at] + k] = v.byte_ids[lead | bits]
         return out, np.repeat(word, lens)
 
+    def _skips(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """By occurrence of a word, a hash of the word and of its pieces that the occurrence skips; of a long word its own key."""
+        v = self.v
+        _, where, back = np.unique(key, return_index=True, return_inverse=True)
+        count = np.where(size[where] <= LONG, size[where], 0)
+        offset = np.cumsum(count) - count
+        word = np.repeat(np.arange(len(where)), count)
+        place = np.arange(len(word)) - offset[word]
+        code = _codes(points[start[where][word] + place])
+        left = count[word] - place
+        at, total = np.arange(len(word)), code.copy()
+        words, salts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for n in range(2, len(v.piece_hash)):  # substrings of n characters
+            more = left[at] >= n
+            at, total = at[more], total[more]
+            if not len(at):
+                break
+            total = total + code[at + n - 1] * self.power[n - 1]
+            if not len(v.piece_hash[n]):
+                continue
+            near = np.searchsorted(v.piece_hash[n], total)
+            near[near == len(v.piece_hash[n])] = 0
+            hit = v.piece_hash[n][near] == total
+            words.append(word[at[hit]])
+            salts.append(place[at[hit]].astype(np.uint64) * _C2 + v.piece_id[n][near[hit]].astype(np.uint64) * _C3)
+        order = np.argsort(np.concatenate(words), kind="stable")
+        salt = np.concatenate(salts)[order]
+        mark = mix(salt)
+        count = np.bincount(np.concatenate(words), minlength=len(where))
+        offset = np.cumsum(count) - count
+        each, first = count[back], offset[back]
+        ends = np.cumsum(each)
+        out = np.empty(len(key), np.uint64)
+        i = 0
+        while i < len(key):
+            done = ends[i] - each[i]
+            j = max(i + 1, int(np.searchsorted(ends, done + (1 << 19))))
+            e = ends[i:j] - done
+            of = np.repeat(np.arange(i, j), each[i:j])
+            at = first[of] + np.arange(len(of)) - (e - each[i:j])[of - i]
+            skipped = (mix(own[of] + salt[at]) < self.limit) | self.always
+            sums = np.r_[U64(0), np.cumsum(np.where(skipped, mark[at], U64(0)))]
+            out[i:j] = mix(key[i:j] + sums[e] - sums[e - each[i:j]])
+            i = j
+        return np.where(size > LONG, own, out)
+
     def encode(self, points: np.ndarray, doc: np.ndarray, salt: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids and their document numbers.
 
@@ -219,7 +280,7 @@ class Encoder:
         size = np.diff(np.r_[start, len(points)])
         word_doc = doc[start]
         key = np.empty(len(start), np.uint64)
-        code = mix(points.astype(np.uint64) + U64(1))
+        code = _codes(points)
         i = 0
         while i < len(start):  # prefix sums in blocks; a word longer than a block is hashed alone
             j = max(i + 1, int(np.searchsorted(start, start[i] + SEGMENT // 2)))
@@ -233,13 +294,17 @@ class Encoder:
                     key[k] = int.from_bytes(hashlib.blake2b(points[start[k] : start[k] + size[k]].tobytes(), digest_size=8).digest(), "little")
             i = j
         key = mix(key + size.astype(np.uint64) * _C2)
-        if self.variants > 1:
+        own = key
+        if self.limit:
             begin = np.searchsorted(word_doc, word_doc)
             place = np.arange(len(start)) - begin + first_word[word_doc]
-            which = mix(salt[word_doc] + place.astype(np.uint64) * _C1) % U64(self.variants)
-            key = mix(key + which * _C3)
-        unique, where, back = np.unique(key, return_index=True, return_inverse=True)
-        unique = mix(unique + U64(self.seed * int(_C1) % 2**64))
+            draw = mix(salt[word_doc] + place.astype(np.uint64) * _C1)
+            if self.variants:
+                draw %= U64(self.variants)
+            own = mix(mix(key + draw * _C3) + U64(self.seed * int(_C1) % 2**64))
+            key = self._skips(points, start, size, key, own)
+        _, where, back = np.unique(key, return_index=True, return_inverse=True)
+        unique = own[where]
         count = size[where]
         offset = np.cumsum(count) - count
         word = np.repeat(np.arange(len(unique), dtype=np.int32), count)
@@ -326,7 +391,7 @@ def _id_salt(ids: pa.Array, seed: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, key=seed.to_bytes(8, "little", signed=True)).digest(), "little") for x in raw], np.uint64)
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 8, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 0, model: str = MODEL) -> DataFrame:
     """The kept columns (the id by default) with ids, n_pieces, round_trip, decoded_sha256.
 
     round_trip says that decoding the ids gives the text's bytes again;
