@@ -9,10 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch at most: what a Python worker and its executor hold of a table at once, besides one long row.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, as an archive on their Python path."""
+    """Give the executors this package, once for each application, as an archive on their Python path.
+
+    Arrow batches are bounded by bytes, unless the session sets a bound of its own.
+    """
+    if spark.conf.get(_BATCH).removesuffix("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
