@@ -72,6 +72,6 @@ def test_offsets_of_all_users_are_scored(spark):
             if r["user_id"] in at:
                 gaps.setdefault((r["user_id"], o), []).append(min(abs(r["at"] - o * 60 - t) for t in at[r["user_id"]]))
     want = {k: (len(g), sorted(g)[len(g) // 2]) for k, g in gaps.items()}
-    got = catalog.QUERIES["offset_scores_all"](spark, sf_dir).collect()
+    got = catalog.QUERIES["offset_scores"](spark, sf_dir).collect()
     assert len(got) == len(want) and {(r["user_id"], r["offset_minutes"]): (r["n"], r["median_gap"]) for r in got} == want
     assert len({u % 10 for u, _ in want}) > 1

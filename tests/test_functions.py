@@ -22,12 +22,19 @@ def test_names(spark):
     assert one(spark, text.sidecar_candidates(lit("p(1).jpg"))) == ["p(1).jpg.json", "p.jpg(1).json", "p.jpg.json"]
     assert one(spark, text.duplicate_suffix(lit("p.jpg"))) is None
     assert one(spark, text.slug(lit("Été 1.jpg"))) == "Été-1-jpg"
-    assert one(spark, text.fill_template(lit("{name} {edit}"), name=lit("a/b"), edit=lit("x"))) == "a-b-x"
+    assert one(spark, text.fill_template(lit("{name} {edit}"), name=lit("a/b"), edit=lit("x"))) == "a-b x"
     assert one(spark, text.fill_template(lit("{name}"), name=lit("..."))) is None
-    assert one(spark, text.shorten_caption(lit("x" * 30 + ".jpg"))) == "x" * 18 + "...jpg"
-    assert one(spark, text.xml_escape(lit("<a & 'b'>"))) == "&lt;a &amp; &apos;b&apos;&gt;"
+    assert one(spark, text.shorten_caption(lit("x" * 30 + ".jpg"))) == "x" * 18 + "....jpg"
+    assert one(spark, text.xml_escape(lit("<a & 'b'>"))) == "&lt;a &amp; 'b'&gt;"
     assert one(spark, text.decode_base64(lit("%%%"))) is None
-    assert one(spark, text.human_bytes(lit(1500))) == "1.5 kB"
+    assert [one(spark, text.human_bytes(lit(n))) for n in (0, 1023, 1536, 3 << 20, 3 << 30)] == ["no bytes", "1023 B", "1.5 KB", "3.0 MB", "3072.0 MB"]
+    assert one(spark, text.sidecar_candidates(lit("x" * 50 + "(1).jpg")))[3:] == ["x" * 46 + ".json"]
+    assert [one(spark, text.name_problem(lit(n))) for n in (" ", "x" * 65, "a:b", ".a", " a b ")] == ["empty", "longer than 64 characters", "a sign that is not allowed", "starts with a dot", None]
+    assert one(spark, text.seed_of(lit("f" * 64))) == 2**64 - 1 and one(spark, text.seed_of(lit("x"))) is None
+    none = lit(None).cast("string")
+    assert one(spark, text.run_summary(lit(0), "files written", lit(0), lit(0), none, ["jpg"])) == "Nothing to do: nothing matched. This tool reads .jpg. If the files are inside a subfolder, tick Include subfolders."
+    assert one(spark, text.run_summary(lit(0), "files written", lit(0), lit(2), lit("no date"))) == 'Nothing to do: 2 input(s) skipped, the first because "no date".'
+    assert one(spark, text.run_summary(lit(3), "files written", lit(1), lit(2), lit("no date"))) == "3 files written, 1 failed, 2 skipped"
     assert one(spark, text.page_name(lit("a"), lit(2), lit(3))) == "a_p002.jpg"
 
 
@@ -40,7 +47,10 @@ def test_dates(spark):
         assert one(spark, dates.normalise_datetime(lit(bad))) is None
     assert one(spark, dates.best_date({"a": lit("x"), "b": lit("2024:01:02")}))["tag"] == "b"
     assert one(spark, dates.utc_offset_minutes(lit("-03:30"))) == -210
-    assert one(spark, dates.utc_offset_minutes(lit("+14:01"))) is None
+    offsets = {"+14:59": 899, "05:45": 345, "+5:30": 330, '"+02:00"': 120, "  +02:00  ": 120, "-03:30": -210} | dict.fromkeys(["", " ", "+", "02:00:00 ", "+15:00", "+02:99", "Z", "+aa:bb"])
+    for written, minutes in offsets.items():
+        assert one(spark, dates.utc_offset_minutes(lit(written))) == minutes, written
+    assert one(spark, dates.shift_magnitude(dates.shift_parts(lit("-1:2:3 4:5:6")))) == "1:2:3 4:5:6"
     shifted = dates.apply_shift(F.lit("2024-01-31 00:00:00").cast("timestamp"), dates.shift_parts(lit("+0:1:1 0:0:0")))
     assert str(one(spark, shifted)) == "2024-03-01 00:00:00"
     assert one(spark, dates.shift_parts(lit("1 day"))) is None
@@ -51,7 +61,8 @@ def test_dates(spark):
     assert one(spark, dates.rfc3339(lit(1_704_067_200))) == "2024-01-01T00:00:00Z"
     assert one(spark, dates.format_shift(lit(-90_061))) == "-0:0:1 1:1:1"
     assert one(spark, dates.elapsed_days(lit(0), lit(2 * 86_400 - 1))) == 1
-    assert [one(spark, dates.duration(lit(s))) for s in (59, 3599, 7260, 200_000)] == ["59 s", "59 min", "2 h 1 min", "2 days"]
+    said = {90: "90 s", 120: "2 min", 5000: "83 min", 7200: "2 h", 7260: "2 h 1 min", 100_000: "27 h 46 min", 172_800: "2 days", 200_000: "2 days 7 h", -90: "90 s"}
+    assert {s: one(spark, dates.duration(lit(s))) for s in said} == said
 
 
 def test_places(spark):
@@ -62,6 +73,10 @@ def test_places(spark):
     assert one(spark, geo.fit_megapixels(lit(6000), lit(4000), 24.0)) is None
     assert tuple(one(spark, geo.fit_megapixels(lit(6000), lit(4000), 6.0))) == (3000, 2000)
     assert tuple(one(spark, geo.inscribed(lit(100.0), lit(50.0), lit(0.0)))) == (100.0, 50.0)
+    assert tuple(one(spark, geo.print_canvas(lit(2), lit(3), 3000))) == (3000, 3750) and tuple(one(spark, geo.print_canvas(lit(3), lit(3), 3000))) == (3000, 2400)
+    point = one(spark, geo.exif_position(lit(1_704_067_200), lit(-1.5), lit(2.25), lit(-3.0)))
+    assert tuple(point) == ("1.5000000", "S", "2.2500000", "E", "3.000", 1, "2024:01:01", "00:00:00")
+    assert one(spark, geo.exif_position(lit(0), lit(0.0), lit(0.0), lit(5.0), with_altitude=False))["altitude"] is None
     assert tuple(one(spark, geo.grid_cell(lit(5), 3, 10, 20, 1))) == (22, 21)
 
 
@@ -73,6 +88,11 @@ def test_colour(spark):
     table = F.array(*(F.lit(float(v)) for v in (0, 10, 40)))
     assert one(spark, colour.lookup_lerp(table, F.lit(0.75))) == 25.0
     assert -1 <= one(spark, colour.noise(1, F.lit(2), F.lit(3))) <= 1
+    high, low = colour.tone_weights(F.lit(0.18))
+    assert one(spark, high) == one(spark, low) == 0.0 and one(spark, colour.tone_weights(F.lit(0.7))[0]) == 1.0 == one(spark, colour.tone_weights(F.lit(0.04))[1])
+    parts = [one(spark, w) for w in colour.range_weights(F.lit(0.3), F.lit(10.0), F.lit(50.0))]
+    assert abs(sum(parts) - 1) < 1e-12 and 0 < parts[0] < 1
+    assert [one(spark, colour.base_tone(F.lit(v))) for v in (-1.0, 0.4, 0.6, 1.0, 2.0)] == [0.0, 0.5, 0.75, 1.0, 1.0]
     assert one(spark, colour.luma_709(F.lit(255), F.lit(255), F.lit(255))) == 255
 
 

@@ -47,11 +47,11 @@ def test_reports(spark):
 
 
 def test_media_folder(spark, tmp_path):
-    for name in ("DCIM/_DSC1.JPG", "DCIM/IMG_2.cr2", ".hidden/x.jpg", "@eaDir/y.jpg", "DCIM/.DS_Store"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    for name in ("DCIM/_DSC1.JPG", "DCIM/a/b/IMG_2.cr2", ".hidden/x.jpg", "MISC/y.jpg", "DCIM/a/Private/z.jpg", "DCIM/.DS_Store"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(name.encode())
     assets, problems = media.scan_folder(spark, str(tmp_path))
-    assert {(r["rel_path"], r["kind"], r["bytes"]) for r in assets.collect()} == {("DCIM/_DSC1.JPG", "jpeg", 14), ("DCIM/IMG_2.cr2", "raw", 14)}
+    assert {(r["rel_path"], r["kind"], r["bytes"]) for r in assets.collect()} == {("DCIM/_DSC1.JPG", "jpeg", 14), ("DCIM/a/b/IMG_2.cr2", "raw", 18)}
     assert problems.count() == 0
     assert media.accept(assets, ["jpg"]).where("reason is null").count() == 1
 

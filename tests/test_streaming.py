@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from tidemark import catalog
-from tidemark.plans.plan import Snapshots
 from tidemark.staging import shared_dir
 from tidemark.streaming import rollup
 
@@ -9,7 +8,7 @@ FIX = "device string, at long, lat double, lon double, received_at long"
 
 
 def test_late_and_repeated_fixes(spark, tmp_path):
-    source, store = tmp_path / "in", Snapshots(spark, str(tmp_path / "store"))
+    source, store = tmp_path / "in", rollup.Days(spark, str(tmp_path / "store"))
     fixes = lambda *rows: spark.createDataFrame(list(rows), FIX).coalesce(1).write.mode("append").json(str(source))
 
     def drain():

@@ -51,8 +51,33 @@ def smoothstep(lo: float, hi: float, x: Column) -> Column:
 
 
 def tone_weights(x: Column, pivot: float = 0.18) -> tuple[Column, Column]:
-    """Weights of highlights and shadows around middle grey."""
-    return smoothstep(pivot, 1.0, x), 1 - smoothstep(0.0, pivot, x)
+    """Weights of highlights and shadows around middle grey, where both are 0."""
+    return smoothstep(pivot, 0.65, x), 1 - smoothstep(0.05, pivot, x)
+
+
+def white_black_weights(x: Column, pivot: float = 0.18) -> tuple[Column, Column]:
+    """Weights of whites and blacks: the same over wider ramps."""
+    return smoothstep(pivot, 1.0, x), 1 - smoothstep(0.02, pivot, x)
+
+
+def base_tone(x: Column) -> Column:
+    """A straight line up to 0.6, then a shoulder that reaches 1 with slope 0."""
+    c = clamp(x)
+    return F.when(c <= 0.6, 1.25 * c).otherwise(1 - 1.5625 * (1 - c) * (1 - c))
+
+
+def range_weights(luma: Column, balance: Column, blending: Column) -> tuple[Column, Column, Column]:
+    """Weights of shadows, midtones and highlights, which add up to 1.
+
+    balance (-100 to 100) moves both crossovers, blending (0 to 100) widens them.
+    """
+    y = clamp(luma)
+    shift = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), balance / 100)) * 0.2
+    half = (0.1 + clamp(blending / 100) * 0.3) / 2
+    rise = lambda centre: (1 - F.cos(math.pi * clamp((y - (centre - half)) / (2 * half)))) / 2
+    low, high = 1 - rise(0.33 + shift), rise(0.67 + shift)
+    shadows, highlights = low * (1 - high), high * (1 - low)
+    return shadows, F.greatest(F.lit(0.0), 1 - shadows - highlights), highlights
 
 
 def filmic(x: Column) -> Column:
@@ -144,3 +169,42 @@ def chroma_fade(chroma: Column) -> Column:
 def radial_gain(x: Column, y: Column, amount: Column | float, inner: float = 0.5, outer: float = 1.0) -> Column:
     """Gain of a vignette at a place measured from the centre, corners at 1."""
     return 1 + (amount if isinstance(amount, Column) else F.lit(amount)) * smoothstep(inner, outer, F.hypot(x, y))
+
+
+def invert_3x3(m: list[list[Column]]) -> Column:
+    """array<array<double>>: the inverse; null if the determinant is below 1e-12."""
+    minor = lambda r, c: m[r[0]][c[0]] * m[r[1]][c[1]] - m[r[0]][c[1]] * m[r[1]][c[0]]
+    others = lambda k: [i for i in range(3) if i != k]
+    det = sum(((-1) ** k * m[0][k] * minor((1, 2), others(k)) for k in range(3)), F.lit(0.0))
+    rows = [F.array(*((-1) ** (i + j) * minor(others(j), others(i)) / det for j in range(3))) for i in range(3)]
+    return F.when((F.abs(det) >= 1e-12) & ~F.isnan(det), F.array(*rows))
+
+
+def colour_weight(hue: Column, chroma: Column, light: Column, at: tuple[float, float, float], span: float) -> Column:
+    """How much a colour belongs to a picked one: full within half the widths, then falling to 0; greys fade out."""
+    r = max(0.0, min(100.0, span))
+    turn = F.abs(hue - at[0])
+    gaps = (F.when(turn > 180, 360 - turn).otherwise(turn), F.abs(chroma - at[1]), F.abs(light - at[2]))
+    widths = (8 + 0.52 * r, 0.04 + 0.002 * r, 0.12 + 0.004 * r)
+    out = chroma_fade(chroma)
+    for gap, width in zip(gaps, widths, strict=True):
+        out = out * (1 - smoothstep(0.5, 1.0, gap / width))
+    return out
+
+
+def white_balance(r: Column, g: Column, b: Column) -> Column:
+    """struct<temperature, tint, clamped, problem> that makes a linear colour grey; clipped, dark or empty channels give a problem."""
+    luma = 0.2126 * r + 0.7152 * g + 0.0722 * b
+    problem = F.when(F.greatest(r, g, b) >= 0.98, "clipped highlight").when(luma < 0.005, "deep shadow").when(F.least(r, g, b) <= 1e-6, "near-zero channel")
+    ok = problem.isNull()
+    temperature, tint = (F.when(ok, 100 * F.log2(x)) for x in (b / r, g * g / (r * b)))
+    held = lambda x: F.greatest(F.lit(-100.0), F.least(F.lit(100.0), x))
+    return F.struct(F.when(ok, held(temperature)).alias("temperature"), F.when(ok, held(tint)).alias("tint"), F.when(ok, (F.abs(temperature) > 100) | (F.abs(tint) > 100)).alias("clamped"), problem.alias("problem"))
+
+
+def exposure_gain(ours: Column, target: Column) -> Column:
+    """Aggregate: the middle ratio target / ours of the grey patches, a mean of two if there are four; 1 without any."""
+    ratios = F.array_sort(F.collect_list(F.when(ours > 1e-6, target / ours)))
+    n = F.size(ratios)
+    middle = F.element_at(ratios, F.floor(n / 2).cast("int") + 1)
+    return F.when(n == 0, 1.0).when(n == 4, (ratios[1] + ratios[2]) / 2).otherwise(middle)

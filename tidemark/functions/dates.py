@@ -13,9 +13,14 @@ def seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
+def unquoted(x: Column) -> Column:
+    """Without white space and quotation marks around."""
+    return F.trim(F.regexp_replace(F.trim(x), '^"+|"+$', ""))
+
+
 def normalise_datetime(x: Column) -> Column:
     """A camera's date: colons or hyphens, space or T, zone and fraction dropped, a bare date is midnight, zeros are null."""
-    flat = F.regexp_replace(F.trim(x), r"^(\d{4})[:-](\d{2})[:-](\d{2})", "$1-$2-$3")
+    flat = F.regexp_replace(unquoted(x), r"^(\d{4})[:-](\d{2})[:-](\d{2})", "$1-$2-$3")
     flat = F.regexp_replace(flat, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2}).*$", "$1 $2")
     whole = F.when(flat.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(flat, F.lit(" 00:00:00"))).when(flat.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), flat)
     return F.when(~whole.startswith("0000"), F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ss")))
@@ -28,12 +33,13 @@ def best_date(tags: dict[str, Column]) -> Column:
 
 
 def utc_offset_minutes(x: Column) -> Column:
-    """Minutes of `+HH:MM` or `-HH:MM` up to 14 hours; null otherwise."""
-    pattern = r"^([+-])(\d{2}):(\d{2})$"
-    part = lambda k: F.when(x.rlike(pattern), F.regexp_extract(x, pattern, k))
-    total = part(2).cast("int") * 60 + part(3).cast("int")
+    """Minutes of `+HH:MM`: 0 to 14 hours and any minutes, sign and padding optional, quotes allowed; null otherwise."""
+    pattern = r"^([+-]?)\s*\+?(\d{1,9})\s*:\s*\+?(\d{1,9})$"
+    bare = unquoted(x)
+    part = lambda k: F.when(bare.rlike(pattern), F.regexp_extract(bare, pattern, k))
+    hours, minutes = part(2).cast("int"), part(3).cast("int")
     sign = F.when(part(1) == "-", -1).otherwise(1)
-    return F.when((total <= 14 * 60) & (part(3).cast("int") < 60), sign * total)
+    return F.when((hours <= 14) & (minutes < 60), sign * (hours * 60 + minutes))
 
 
 def shift_parts(x: Column) -> Column:
@@ -44,6 +50,11 @@ def shift_parts(x: Column) -> Column:
     return F.when(x.rlike(pattern), F.struct(*((sign * F.regexp_extract(x, pattern, k + 2).cast("int")).alias(n) for k, n in enumerate(names))))
 
 
+def shift_magnitude(parts: Column) -> Column:
+    """The shift as it is written, without its sign."""
+    return F.format_string("%d:%d:%d %d:%d:%d", *(F.abs(parts[n]) for n in ("years", "months", "days", "hours", "minutes", "seconds")))
+
+
 def apply_shift(ts: Column, parts: Column) -> Column:
     """Months first (held to the month's end), then days, then the clock."""
     return ts + F.make_ym_interval(parts["years"], parts["months"]) + F.make_dt_interval(parts["days"], parts["hours"], parts["minutes"], parts["seconds"].cast("decimal(18,6)"))
@@ -81,12 +92,14 @@ def instant(x: Column) -> Column:
 
 
 def duration(secs: Column) -> Column:
+    """A span as it is said: seconds below two minutes, minutes below two hours, hours below two days; a second unit unless it is 0."""
     a = F.abs(secs)
+    two = lambda big, unit, small, rest: F.concat(F.format_string(f"%d {unit}", big), F.when(small > 0, F.format_string(f" %d {rest}", small)).otherwise(""))
     return (
-        F.when(a < 60, F.format_string("%d s", a))
-        .when(a < 3600, F.format_string("%d min", F.floor(a / 60)))
-        .when(a < DAY, F.format_string("%d h %d min", F.floor(a / 3600), F.floor((a % 3600) / 60)))
-        .otherwise(F.format_string("%d days", F.floor(a / DAY)))
+        F.when(a < 120, F.format_string("%d s", a))
+        .when(a < 7200, F.format_string("%d min", F.floor(a / 60)))
+        .when(a < 2 * DAY, two(F.floor(a / 3600), "h", F.floor((a % 3600) / 60), "min"))
+        .otherwise(two(F.floor(a / DAY), "days", F.floor((a % DAY) / 3600), "h"))
     )
 
 

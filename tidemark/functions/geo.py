@@ -38,7 +38,7 @@ def fit_megapixels(width: Column, height: Column, limit: Column | float) -> Colu
 def fit_edge(width: Column, height: Column, edge: int) -> Column:
     """struct<width, height> with the longer edge at most `edge`."""
     scale = F.least(F.lit(1.0), edge / F.greatest(width, height).cast("double"))
-    size = lambda x: F.greatest(F.round(x * scale).cast("int"), F.lit(1))
+    size = lambda x: F.greatest(F.floor(x * scale + 1e-9).cast("int"), F.lit(1))
     return F.struct(size(width).alias("width"), size(height).alias("height"))
 
 
@@ -47,6 +47,34 @@ def grid_cell(index: Column, columns: Column | int, cell_w: Column | int, cell_h
     return F.struct(((index % columns) * (cell_w + gap)).cast("long").alias("x"), (F.floor(index / columns) * (cell_h + gap)).cast("long").alias("y"))
 
 
+def print_canvas(width: Column, height: Column, canvas_width: Column | int) -> Column:
+    """struct<width, height> of the canvas at a width: 4:5 for what is taller than wide, else 5:4."""
+    w = F.greatest(canvas_width if isinstance(canvas_width, Column) else F.lit(canvas_width), F.lit(1)).cast("long")
+    return F.struct(w.alias("width"), F.when(height > width, F.floor(w * 5 / 4)).otherwise(F.floor(w * 4 / 5)).alias("height"))
+
+
+def exif_position(at: Column, lat: Column, lon: Column, ele: Column, with_altitude: bool = True) -> Column:
+    """struct of the texts that a photograph's position fields take; sides by letter, below sea level as 1, instants in UTC."""
+    side = lambda x, below, above: F.when(x < 0, below).otherwise(above)
+    ele = ele if with_altitude else F.lit(None).cast("double")
+    utc = F.timestamp_seconds(at)
+    return F.struct(
+        F.format_string("%.7f", F.abs(lat)).alias("latitude"),
+        side(lat, "S", "N").alias("latitude_ref"),
+        F.format_string("%.7f", F.abs(lon)).alias("longitude"),
+        side(lon, "W", "E").alias("longitude_ref"),
+        F.when(ele.isNotNull(), F.format_string("%.3f", F.abs(ele))).alias("altitude"),
+        F.when(ele.isNotNull(), (ele < 0).cast("int")).alias("altitude_ref"),
+        F.date_format(utc, "yyyy:MM:dd").alias("date_stamp"),
+        F.date_format(utc, "HH:mm:ss").alias("time_stamp"),
+    )
+
+
+def geo_status(has_date: Column, has_position: Column, is_video: Column) -> Column:
+    """What a file lacks."""
+    return F.when(is_video, "not_supported").when(has_date & has_position, "ok").when(has_date, "no_location").when(has_position, "no_date").otherwise("no_date_or_location")
+
+
 def inscribed(width: Column, height: Column, degrees: Column) -> Column:
     """struct<width, height> of the largest upright rectangle inside a rotated one."""
     s, c = F.abs(F.sin(F.radians(degrees))), F.abs(F.cos(F.radians(degrees)))

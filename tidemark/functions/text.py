@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ def extension(path: Column) -> Column:
 
 
 #: Extensions of each kind of file.
-JPEG = ["jpg", "jpeg", "heic", "heif"]
-RAW = ["cr2", "cr3", "nef", "arw", "raf", "orf", "rw2", "dng", "pef", "srw"]
-VIDEO = ["mp4", "mov", "m4v", "avi", "mts"]
+JPEG = ["jpg", "jpeg", "jpe", "heic", "heif"]
+RAW = ["cr2", "cr3", "crw", "nef", "nrw", "arw", "srf", "sr2", "raf", "orf", "rw2", "pef", "dng", "raw", "3fr", "iiq", "erf", "mrw"]
+VIDEO = ["mov", "mp4", "m4v", "avi", "mts", "m2ts"]
 
 
 def media_kind(path: Column) -> Column:
@@ -61,17 +63,18 @@ def duplicate_suffix(name: Column) -> Column:
 
 
 def sidecar_candidates(name: Column) -> Column:
-    """Names that a photograph's JSON sidecar may have, likeliest first: exact, number moved behind, number dropped, cut to 46 bytes."""
+    """Names that a photograph's JSON sidecar may have, likeliest first: exact, number moved behind, number dropped, each cut to 46 bytes."""
     split = duplicate_suffix(name)
-    cut = F.when(F.octet_length(name) > 46, F.concat(F.substring(name, 1, 46), F.lit(".json")))
-    moved = F.concat(split["name"], F.lit("("), split["number"], F.lit(").json"))
-    found = F.array(F.concat(name, F.lit(".json")), moved, F.concat(split["name"], F.lit(".json")), cut)
-    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    bodies = F.filter(F.array(name, F.concat(split["name"], F.lit("("), split["number"], F.lit(")")), split["name"]), lambda x: x.isNotNull())
+    cut = F.transform(F.filter(bodies, lambda x: F.octet_length(x) > 46), lambda x: F.substring(x, 1, 46))
+    return F.array_distinct(F.transform(F.concat(bodies, cut), lambda x: F.concat(x, F.lit(".json"))))
 
 
 def shorten_caption(name: Column) -> Column:
-    """At most 28 characters as they are, else 18, an ellipsis and the extension."""
-    return F.when(F.length(name) <= 28, name).otherwise(F.concat(F.substring(name, 1, 18), F.lit("..."), F.regexp_extract(name, r"\.([^.]*)$", 1)))
+    """At most 28 characters as they are, else 18 of the stem, an ellipsis and the extension with its dot."""
+    ext = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1)
+    head = F.substring(F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", ""), 1, 18)
+    return F.when(F.length(name) <= 28, name).otherwise(F.concat(head, F.lit("..."), ext))
 
 
 def page_name(base: Column, page: Column, pages: Column) -> Column:
@@ -84,22 +87,18 @@ def slug(x: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    value = n.cast("double")
-    return (
-        F.when(n < 1_000, F.format_string("%d B", n.cast("long")))
-        .when(n < 1_000_000, F.format_string("%.1f kB", value / 1e3))
-        .when(n < 1_000_000_000, F.format_string("%.1f MB", value / 1e6))
-        .otherwise(F.format_string("%.1f GB", value / 1e9))
-    )
+    """Bytes, KB or MB with one digit; a tie goes to the even digit."""
+    in_units = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n.cast("double") / unit, 1))
+    return F.when(n == 0, "no bytes").when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, in_units(1 << 10, "KB")).otherwise(in_units(1 << 20, "MB"))
 
 
 def fill_template(template: Column, **values: Column) -> Column:
-    """{name} fields filled in, other signs as hyphens; null if nothing but dots and hyphens is left."""
+    """{name} fields filled in, signs other than `-_. ` as hyphens; null if nothing or only dots are left."""
     out = template
     for k, v in values.items():
         out = F.replace(out, F.lit(f"{{{k}}}"), F.coalesce(v, F.lit("")))
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}._-]", "-")
-    return F.when(~out.rlike(r"^[.-]*$"), out)
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}. _-]", "-")
+    return F.when(~out.rlike(r"^ *\.* *$"), out)
 
 
 def keyed_id(*parts: Column) -> Column:
@@ -107,6 +106,43 @@ def keyed_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", *(F.coalesce(p, F.lit("")) for p in parts)), 256)
 
 
+def shot_scope(label: Column, fingerprint: Column) -> Column:
+    """What tells a card from another: its label, else its content."""
+    return F.coalesce(label, F.concat(F.lit("fingerprint:"), fingerprint))
+
+
+def name_problem(name: Column) -> Column:
+    """Why a preset may not have this name; null if it may."""
+    bare = F.trim(name)
+    return (
+        F.when(bare.isNull() | (bare == ""), "empty")
+        .when(F.length(bare) > 64, "longer than 64 characters")
+        .when(bare.rlike(r"[/\\:\x00-\x1f]"), "a sign that is not allowed")
+        .when(bare.startswith("."), "starts with a dot")
+    )
+
+
+def table_format(name: Column) -> Column:
+    """What a colour table's file name says that it is."""
+    low = F.lower(name)
+    return F.when(low.endswith(".cube"), "cube").when(low.endswith(".3dl"), "3dl").when(low.endswith(".png"), "hald_png").otherwise("unknown")
+
+
+def run_summary(done: Column, noun: str, failed: Column, skipped: Column, first_reason: Column, accepted: Sequence[str] = ()) -> Column:
+    """A run's closing line, also when nothing was done."""
+    reads = f" This tool reads {' '.join('.' + e for e in accepted)}." if accepted else ""
+    none = F.when(skipped > 0, F.format_string(f'Nothing to do: %d input(s) skipped, the first because "%s".{reads}', skipped, first_reason)).otherwise(
+        f"Nothing to do: nothing matched.{reads} If the files are inside a subfolder, tick Include subfolders."
+    )
+    line = F.concat(F.format_string(f"%d {noun}, %d failed", done, failed), F.when(skipped > 0, F.format_string(", %d skipped", skipped)).otherwise(""))
+    return F.when((done == 0) & (failed == 0), none).otherwise(line)
+
+
+def seed_of(sha256: Column) -> Column:
+    """The first sixteen hexadecimal digits as a number (decimal(20,0)); null for other texts."""
+    return F.when(sha256.rlike("^[0-9A-Fa-f]{16}"), F.conv(F.substring(sha256, 1, 16), 16, 10).cast("decimal(20,0)"))
+
+
 def decode_base64(x: Column) -> Column:
     """Bytes; null for what is no base64."""
     return F.try_to_binary(x, F.lit("base64"))
@@ -114,6 +150,6 @@ def decode_base64(x: Column) -> Column:
 
 def xml_escape(x: Column) -> Column:
     out = x
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

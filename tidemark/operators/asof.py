@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import duration
+from ..functions.geo import in_range
+from .sequence import with_neighbour
 
 
 def neighbours(probes: DataFrame, fixes: DataFrame, keys: Sequence[str], *, at: str = "at", order: Sequence[str] = (), bucket_seconds: int = 86_400) -> DataFrame:
@@ -121,8 +123,17 @@ def estimate_offset(captures: DataFrame, fixes: DataFrame, keys: Sequence[str],
 
 def overlapping(intervals: DataFrame, keys: Sequence[str], start: str, end: str, ident: str) -> DataFrame:
     """Intervals that end before they start, or that reach past the start of the next one."""
-    order = Window.partitionBy(*keys).orderBy(start, end, ident)
-    nxt = F.lead(start).over(order)
-    return intervals.withColumn("problem", F.when(F.col(end) < F.col(start), "inverted").when(nxt < F.col(end), "overlaps next")).where("problem is not null")
+    rows = with_neighbour(intervals, keys, [start, end, ident], {"_next": start}, after=True)
+    problem = F.when(F.col(end) < F.col(start), "inverted").when(F.col("_next") < F.col(end), "overlaps next")
+    return rows.withColumn("problem", problem).where("problem is not null").drop("_next")
+
+
+def placed_points(stops: DataFrame, keys: Sequence[str], start: str, end: str, ident: str, lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, DataFrame]:
+    """(points, refused): two points for a stop that lasts, one for an instant, with their `at`; stops that cannot be written, with a problem."""
+    off = stops.where(~in_range(F.col(lat), F.col(lon))).withColumn("problem", F.lit("no place on Earth"))
+    on_earth = stops.where(in_range(F.col(lat), F.col(lon)))
+    refused = off.unionByName(overlapping(on_earth, keys, start, end, ident))
+    good = on_earth.join(refused.select(F.col(ident).alias("_refused")), F.col(ident) == F.col("_refused"), "left_anti")
+    return good.withColumn("at", F.explode(F.array_distinct(F.array(start, end)))), refused
 
 

@@ -21,10 +21,13 @@ def worst(status: Column) -> Column:
     return F.element_at(F.array(*(F.lit(k) for k in SEVERITY)), F.max(rank) + 1)
 
 
-def check_date(capture: Column, now: Column, median: Column, max_age_days: int) -> Column:
-    """struct<status, failure>: no date; too far from now (with its whole card or alone); far from its card's median; or fine."""
+def check_date(capture: Column, now: Column, median: Column, spread: Column, max_age_days: int) -> Column:
+    """struct<status, failure>: no date; too far from now (with its whole card or alone); far from its card's median; or fine.
+
+    A card's clock is off if its median is out of range and all its captures (spread: seconds between first and last) lie within 30 days.
+    """
     age = elapsed_days(capture, now)
-    batch = elapsed_days(median, now) > max_age_days
+    batch = (elapsed_days(median, now) > max_age_days) & (F.floor(spread / DAY) < MONTH)
     status = F.when(capture.isNull(), "fail").when(age > max_age_days, "fail").when(elapsed_days(capture, median) > MONTH, "warn").otherwise("pass")
     failure = F.when(capture.isNull(), "no_date").when(age > max_age_days, F.when(batch, "date_out_of_range_batch").otherwise("date_out_of_range")).when(elapsed_days(capture, median) > MONTH, "date_outlier")
     return F.struct(status.alias("status"), failure.alias("failure"))
@@ -55,10 +58,10 @@ def validate(shots: DataFrame, *, card: str, ident: str, now: int, max_age_days:
     a rule needs of the whole card comes from a row per card.
     """
     medians = upper_median(shots, [card], "capture").select(F.col(card).alias("_card"), F.col("capture").alias("median"))
-    cards = shots.groupBy(F.col(card).alias("_c")).agg(F.max("has_location").alias("any_location")).join(medians, F.col("_c").eqNullSafe(F.col("_card")), "left").drop("_card")
+    cards = shots.groupBy(F.col(card).alias("_c")).agg(F.max("has_location").alias("any_location"), (F.max("capture") - F.min("capture")).alias("spread")).join(medians, F.col("_c").eqNullSafe(F.col("_card")), "left").drop("_card")
     rows = shots.join(cards, F.col(card).eqNullSafe(F.col("_c")))
     rules = {
-        "date": check_date(F.col("capture"), F.lit(now), F.col("median"), max_age_days),
+        "date": check_date(F.col("capture"), F.lit(now), F.col("median"), F.col("spread"), max_age_days),
         "location": check_location(F.col("has_location"), F.col("any_location")),
         "resolution": check_resolution(F.col("width"), F.col("height"), megapixels),
         "size": check_size(F.col("bytes"), max_bytes),
@@ -72,16 +75,26 @@ def worst_status(checks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def by_failure(checks: DataFrame, ident: str) -> DataFrame:
-    """failure, n, and a hash of the shots that have it."""
+    """failure, n, and the first and last of the shots that have it; the shots themselves are `with_failure`."""
     return checks.where("failure is not null").groupBy("failure").agg(F.count("*").alias("n"), F.min(ident).alias("first_id"), F.max(ident).alias("last_id"))
 
 
+def with_failure(checks: DataFrame, ident: str) -> DataFrame:
+    """failure and ident, a row per shot and failure, laid out by failure: a group is a range of rows, never one value."""
+    return checks.where("failure is not null").select("failure", ident).distinct()
+
+
+def clock_offset_medians(shots: DataFrame, card: str, now: int, max_age_days: int) -> DataFrame:
+    """card, median and affected of the cards whose clock seems wrong: the median is out of range, yet all captures lie within 30 days."""
+    spread = shots.groupBy(F.col(card).alias("_c")).agg((F.max("capture") - F.min("capture")).alias("spread"), F.count("capture").alias("affected"))
+    rows = upper_median(shots, [card], "capture").select(card, F.col("capture").alias("median")).join(spread, F.col(card).eqNullSafe(F.col("_c")))
+    wrong = (elapsed_days(F.col("median"), F.lit(now)) > max_age_days) & (F.floor(F.col("spread") / DAY) < MONTH)
+    return rows.where(wrong).select(card, "median", "affected")
+
+
 def clock_offset(shots: DataFrame, card: str, now: int, max_age_days: int) -> DataFrame:
     """Cards whose clock seems wrong: the median is out of range, yet all captures lie within 30 days. card, affected, shift."""
-    spread = shots.groupBy(card).agg((F.max("capture") - F.min("capture")).alias("spread"), F.count("capture").alias("affected"))
-    rows = upper_median(shots, [card], "capture").select(card, F.col("capture").alias("median")).join(spread, card)
-    wrong = (elapsed_days(F.col("median"), F.lit(now)) > max_age_days) & (F.floor(F.col("spread") / DAY) < MONTH)
-    return rows.where(wrong).select(card, "affected", format_shift(F.lit(now) - F.col("median")).alias("shift"))
+    return clock_offset_medians(shots, card, now, max_age_days).select(card, "affected", format_shift(F.lit(now) - F.col("median")).alias("shift"))
 
 
 def disposition(manifest: DataFrame, published: DataFrame, staged: DataFrame, key: str, size: str = "bytes") -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import with_place
+from ..staging import sized, stage, with_place
 
 
 def _same(keys: Sequence[str], a: str, b: str):
@@ -70,11 +70,15 @@ def fold_states(log: DataFrame, key: str, seq: str, columns: Sequence[str]) -> D
 
 def batches_of(rows: DataFrame, order: Sequence, size: int, keys: Sequence[str] = ()) -> DataFrame:
     """rows with batch: numbers from 0 that `size` rows share, in order, within keys (or over all rows)."""
+    placed, _ = with_place(rows, [*keys, *order], "__place")
     if not keys:
-        placed, _ = with_place(rows, list(order), "__place")
         return placed.withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
-    at = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(at) - 1) / size))
+    first = placed.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min("__place").alias("__first"))
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        on = same if on is None else on & same
+    return placed.join(sized(stage(first, "batch-starts")), on).withColumn("batch", F.floor((F.col("__place") - F.col("__first")) / size)).select(*rows.columns, "batch")
 
 
 def published_among(hashes: DataFrame, published: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,13 @@ def best_asset(assets: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def set_fingerprint(rows: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
     """A hash of each key's tuples, whatever their order: sums of hashes, so that no task gathers a key's rows."""
-    line = F.concat_ws(":", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))
-    return rows.groupBy(*keys).agg(set_hash(line).alias("fingerprint"), F.count("*").alias("n"))
+    return rows.groupBy(*keys).agg(set_hash(tuple_line(F.col(p) for p in parts)).alias("fingerprint"), F.count("*").alias("n"))
+
+
+def tuple_line(parts: Iterable[Column]) -> Column:
+    """The parts as one text that no other parts have: each with its length in front, null as `-`."""
+    text = [p.cast("string") for p in parts]
+    return F.concat_ws("", *(F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in text))
 
 
 def set_hash(line: Column) -> Column:

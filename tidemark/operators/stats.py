@@ -8,36 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import local_day
+from ..staging import sized, stage
+from .sequence import with_neighbour
 
 
-def kth_value(df: DataFrame, keys: Sequence[str], value: str, k: Column, *, bins: int = 4096) -> DataFrame:
+def kth_value(df: DataFrame, keys: Sequence[str], value: str, k: Column, *, bins: int = 4096, most: int = 1 << 20) -> DataFrame:
     """keys, n, <value>: the value at 0-based place k (an expression of n) of each group, in ascending order.
 
     Nulls do not count. No group is sorted whole: values fall into `bins` ranges
-    between the group's extremes, sums find the range that holds the place, and
-    only that range is put in order.
+    between the group's extremes, and sums find the range that holds the place.
+    That range is cut again, between its own extremes, until no group has more
+    than `most` values in it, or only one value as often as it likes; what is
+    left is put in order. A few values far out thus cost a round, not a sort.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    edges = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("n")).withColumn("__wanted", k)
-    same = [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in keys]
-    renamed = edges.select(*(F.col(c).alias(f"__key_{c}") for c in keys), "_lo", "_hi", "n", "__wanted")
-    on = F.lit(True) if not keys else None
-    for c in same:
-        on = c if on is None else on & c
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi").cast("double") - F.col("_lo").cast("double")) / bins)
-    placed = rows.join(renamed, on).withColumn("_bin", F.coalesce(F.least(F.floor((F.col(value).cast("double") - F.col("_lo").cast("double")) / width), F.lit(bins - 1)), F.lit(0)))
-    own = [F.col(f"__key_{c}") for c in keys]
-    before = Window.partitionBy(*own).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*own, "__wanted", "n", "_bin").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    hit = sums.where((F.col("_before") <= F.col("__wanted")) & (F.col("__wanted") < F.col("_before") + F.col("_c")))
-    hit = hit.select(*(c.alias(f"__h{i}") for i, c in enumerate(own)), F.col("_bin").alias("_hbin"), F.col("_before").alias("_hbefore"))
-    both = F.col("_bin") == F.col("_hbin")
-    for i, c in enumerate(own):
-        both = both & c.eqNullSafe(F.col(f"__h{i}"))
-    inside = placed.join(hit, both)
-    order = Window.partitionBy(*own).orderBy(value)
-    out = inside.withColumn("_place", F.row_number().over(order) - 1 + F.col("_hbefore")).where(F.col("_place") == F.col("__wanted"))
-    return out.select(*(c.alias(k_) for c, k_ in zip(own, keys, strict=True)), "n", value)
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.where(F.col(value).isNotNull()).select(*(F.col(c).alias(n) for c, n in zip(keys, names, strict=True)), F.col(value).alias("_v"))
+    first = rows.groupBy(*names).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
+    wanted = stage(first.withColumn("_at", k.cast("long")).withColumn("_c", F.col("n")), "wanted")
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        on = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        for c in names:
+            on = on & F.col(c).eqNullSafe(F.col(f"w{c}"))
+        renamed = wanted.select(*(F.col(c).alias(f"w{c}") for c in names), "_lo", "_hi", "n", "_at", "_c")
+        return rows.join(sized(renamed), on).drop(*(f"w{c}" for c in names))
+
+    while wanted.where((F.col("_c") > most) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi").cast("double") - F.col("_lo").cast("double")) / bins)
+        bin_ = F.coalesce(F.least(F.floor((F.col("_v").cast("double") - F.col("_lo").cast("double")) / width), F.lit(bins - 1)), F.lit(0))
+        per_bin = inside(wanted).groupBy(*names, "n", "_at", bin_.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        per_bin = per_bin.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        hit = per_bin.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_c")))
+        wanted = stage(hit.withColumn("_at", F.col("_at") - F.col("_before")).drop("_before", "_bin"), "wanted")
+    counted = inside(wanted).groupBy(*names, "n", "_at", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*names).orderBy("_v"))
+    out = counted.withColumn("_upto", upto).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c")))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keys, names, strict=True)), "n", F.col("_v").alias(value))
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -80,7 +87,8 @@ def histogram_percentile(hist: DataFrame, keys: Sequence[str], p: float) -> Data
 
 def resolution_seconds(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """Upper median of the gaps between consecutive instants, 60 at least."""
-    gaps = df.withColumn("gap", F.col(at) - F.lag(at).over(Window.partitionBy(*keys).orderBy(at)))
+    rows = with_neighbour(df.where(F.col(at).isNotNull()).select(*keys, at), keys, [at], {"_last": at})
+    gaps = rows.withColumn("gap", F.col(at) - F.col("_last"))
     return upper_median(gaps, keys, "gap").withColumn("gap", F.greatest(F.lit(60), F.col("gap")))
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shots import set_hash
+from ..operators.shots import set_hash, tuple_line
 
 
 @dataclass
@@ -26,13 +26,15 @@ class Plan:
         marked = rows.withColumn("reason", reason)
         return cls(marked.where("reason is null").drop("reason"), marked.where("reason is not null"))
 
+    def without(self, *columns: str) -> Plan:
+        return Plan(self.actions.drop(*columns), self.skipped.drop(*columns))
+
     def fingerprint(self, order: Sequence[str]) -> DataFrame:
         """n and a hash of the actions, whatever their order, to tell that a plan is still the one that was seen.
 
         Rows are hashed one by one and summed, so no task holds them all.
         """
-        line = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))
-        return self.actions.agg(F.count("*").alias("n"), set_hash(line).alias("plan_hash"))
+        return self.actions.agg(F.count("*").alias("n"), set_hash(tuple_line(F.col(c) for c in order)).alias("plan_hash"))
 
 
 def first_reason(*rules: tuple[Column, str]) -> Column:
@@ -44,10 +46,12 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
 
 
 class Snapshots:
-    """Several tables replaced at once: each version is a folder, and one pointer file names the current one.
+    """Several tables replaced at once: each version is a folder, and numbered manifests name the tables' folders.
 
-    Readers follow the pointer; a job that dies leaves it where it was. One
-    writer at a time is assumed.
+    A commit writes its tables, then its manifest under a name of its own, and
+    gives that the next number by a rename; nothing is deleted, so that a job
+    that dies at any point leaves the last manifest as it was. Of two writers
+    that take the same number one fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -58,28 +62,32 @@ class Snapshots:
         path = jvm.org.apache.hadoop.fs.Path
         return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
 
+    def _last(self) -> int:
+        path, fs = self._fs()
+        held = path(f"{self.root}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(held)] if fs.exists(held) else []
+        return max((int(n) for n in names if n.isdigit()), default=-1)
+
     def current(self) -> dict[str, str]:
         """Folder of each table."""
-        path, fs = self._fs()
-        at = path(f"{self.root}/CURRENT")
-        if not fs.exists(at):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+        n = self._last()
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{n:012d}", wholetext=True).first()[0]) if n >= 0 else {}
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.current()[table])
 
     def commit(self, **tables: DataFrame) -> None:
+        n = self._last() + 1
         held = self.current()
         version = uuid.uuid4().hex
         for name, rows in tables.items():
             held[name] = f"{self.root}/{version}/{name}"
             rows.write.parquet(held[name])
         path, fs = self._fs()
-        fresh, at = path(f"{self.root}/.{version}"), path(f"{self.root}/CURRENT")
+        fresh, at = path(f"{self.root}/{version}/manifest"), path(f"{self.root}/manifests/{n:012d}")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(held).encode()))
         out.close()
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(fresh, at)
+        fs.mkdirs(at.getParent())
+        if fs.exists(at) or not fs.rename(fresh, at):
+            raise RuntimeError(f"another writer has committed version {n}")

@@ -6,6 +6,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,44 +15,69 @@ from ..functions.text import extension, media_kind, stem
 from ..session import ship
 
 #: Folders that hold no photographs.
-IGNORED = frozenset({"__macosx", "@eadir", "$recycle.bin", "system volume information", "lost+found"})
+IGNORED = frozenset({"system volume information", "$recycle.bin", "misc", "private", "canonmsc"})
 
 
-def ignored(name: str) -> bool:
-    return name.startswith(".") or name.lower() in IGNORED
+def ignored(name: str, is_folder: bool = True) -> bool:
+    return name.startswith(".") or (is_folder and name.lower() in IGNORED)
 
 
-def walk(root: str) -> Iterator[str]:
-    """Paths below root relative to it; neither dot entries, ignored folders nor links are entered."""
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not ignored(d) and not os.path.islink(os.path.join(folder, d)))
-        for n in sorted(names):
-            if not ignored(n) and not os.path.islink(os.path.join(folder, n)):
-                yield os.path.relpath(os.path.join(folder, n), root)
+def entries(root: str, rel: str = "") -> tuple[list[str], list[str]]:
+    """(folders, files) of one folder, as sorted paths relative to root; neither ignored entries nor links. root is a path or a URI that pyarrow reads."""
+    fs, base = FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+    folders, files = [], []
+    for e in fs.get_file_info(FileSelector(f"{base}/{rel}" if rel else base)):
+        is_folder = e.type == FileType.Directory
+        if ignored(e.base_name, is_folder) or (fs.type_name == "local" and os.path.islink(e.path)):
+            continue
+        (folders if is_folder else files).append(f"{rel}/{e.base_name}" if rel else e.base_name)
+    return sorted(folders), sorted(files)
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        super().__init__(paths)
-        self.paths = paths
+def walk(root: str, rel: str = "") -> Iterator[str]:
+    """Paths of all files below a folder."""
+    waiting = [rel]
+    while waiting:
+        folders, files = entries(root, waiting.pop())
+        yield from files
+        waiting += reversed(folders)
+
+
+class _Part(InputPartition):
+    """A folder to be walked, or files of one folder."""
+
+    def __init__(self, folder: str | None, files: list[str]):
+        super().__init__((folder, files))
+        self.folder, self.files = folder, files
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, per_task: int):
-        self.root, self.per_task = root, per_task
+    """The driver lists `levels` of folders; tasks walk what is below, and read."""
 
-    def partitions(self) -> list[InputPartition]:
-        paths = list(walk(self.root))
-        return [_Files(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [_Files([])]
+    def __init__(self, root: str, per_task: int, levels: int = 2):
+        self.root, self.per_task, self.levels = root, per_task, levels
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for rel in partition.paths:
+    def partitions(self) -> list[InputPartition]:
+        level, out = [""], []
+        for _ in range(self.levels):
+            below: list[str] = []
+            for rel in level:
+                folders, files = entries(self.root, rel)
+                below += folders
+                out += [_Part(None, files[i : i + self.per_task]) for i in range(0, len(files), self.per_task)]
+            level = below
+        return out + [_Part(rel, []) for rel in level] or [_Part(None, [])]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        fs, base = FileSystem.from_uri(self.root if "://" in self.root else f"file://{os.path.abspath(self.root)}")
+        for rel in partition.files if partition.folder is None else walk(self.root, partition.folder):
             try:
-                digest = hashlib.sha256()
-                with open(os.path.join(self.root, rel), "rb") as f:
+                digest, size = hashlib.sha256(), 0
+                with fs.open_input_stream(f"{base}/{rel}") as f:
                     while chunk := f.read(1 << 20):
                         digest.update(chunk)
-                    yield (rel, f.tell(), digest.hexdigest(), None)
+                        size += len(chunk)
+                yield (rel, size, digest.hexdigest(), None)
             except OSError as e:
                 yield (rel, None, None, str(e))
 

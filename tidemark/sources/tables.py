@@ -130,3 +130,30 @@ def evaluate_curve(curve: tuple[np.ndarray, np.ndarray, np.ndarray], x: Column)
         value = (2 * t * t * t - 3 * t * t + 1) * ys[k] + (t * t * t - 2 * t * t + t) * (h * ms[k]) + (3 * t * t - 2 * t * t * t) * ys[k + 1] + (t * t * t - t * t) * (h * ms[k + 1])
         out = F.when(x < xs[k + 1], value).otherwise(out)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x <= xs[0], ys[0]).otherwise(out)))
+
+
+#: Fixed value: the newest layout of recipes that is read.
+RECIPE_VERSION = 2
+
+
+def recipe(body: Column) -> Column:
+    """struct<problem, version, exposure, contrast, ...> of a recipe in JSON: absent fields are 0, a missing version is 1, a newer one is refused."""
+    fields = ("exposure", "contrast", "highlights", "shadows", "temperature", "tint")
+    read = F.from_json(body, f"version int, source_sha256 string, {', '.join(f'{f} double' for f in fields)}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    problem = F.when(read.isNull() | read["_bad"].isNotNull(), "malformed").when(read["version"] > RECIPE_VERSION, "unsupported version")
+    ok = problem.isNull()
+    return F.struct(problem.alias("problem"), F.when(ok, F.coalesce(read["version"], F.lit(1))).alias("version"), *(F.when(ok, F.coalesce(read[f], F.lit(0.0))).alias(f) for f in fields))
+
+
+def recipe_sha256(read: Column) -> Column:
+    """A hash of what a recipe does: version as the newest, without its photograph, fields that are 0 left out but for the first two."""
+    rest = ("highlights", "shadows", "temperature", "tint")
+    body = F.to_json(F.struct(F.lit(RECIPE_VERSION).alias("version"), read["exposure"].alias("exposure"), read["contrast"].alias("contrast"), *(F.nullif(read[f], F.lit(0.0)).alias(f) for f in rest)))
+    return F.when(read["problem"].isNull(), F.sha2(body, 256))
+
+
+def look_of(key: Column) -> Column:
+    """struct<source, name> of a look's key: the reserved neutral one, film:, builtin:, or an entry of the library."""
+    after = F.regexp_replace(key, "^(film|builtin):", "")
+    source = F.when(key == "neutral", "neutral").when(key.startswith("film:"), "film").when(key.startswith("builtin:"), "builtin").otherwise("library")
+    return F.struct(source.alias("source"), F.when(key != "neutral", after).alias("name"))

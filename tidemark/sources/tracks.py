@@ -40,7 +40,16 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     points with a reason all stay.
     """
     ship(spark)
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return read_documents(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")))
+
+
+def track_format(value):
+    """`timeline` for JSON, else `gpx`, by the first sign that is no white space."""
+    return F.when(F.regexp_replace(value, r"^\s+", "").rlike(r"^[\[{]"), "timeline").otherwise("gpx")
+
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """The same for documents in rows (value, file)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,13 +86,13 @@ def geo_text(x):
     return F.when(in_range(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
-def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+def read_timeline(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """file, ordinal, at, lat, lon, ele, reason of a timeline's segments.
 
     A path gives its points at the segment's start plus their minutes, a visit
     its place at both ends; other segments give nothing.
     """
-    rows = spark.read.schema(TIMELINE_SCHEMA).option("multiLine", True).json(path)
+    rows = spark.read.schema(TIMELINE_SCHEMA).option("multiLine", multi_line).json(path)
     rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("segment"))
     start, end = instant(F.col("startTime")), instant(F.col("endTime"))
     path_points = rows.select("file", "segment", F.posexplode("timelinePath").alias("place", "p"), start.alias("start")).select(

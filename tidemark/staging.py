@@ -61,12 +61,19 @@ def unstage(*frames: DataFrame) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for path, spark in list(_STAGED.items()):
+def clean() -> None:
+    """Delete whatever is still staged; call it before a session is stopped, for afterwards nothing can be reached."""
+    while _STAGED:
+        path, spark = _STAGED.popitem()
         try:
             delete(spark, path)
-        except Exception:  # noqa: BLE001  the context may be gone by now
-            return
+        except Exception:  # noqa: BLE001, S112  the context may be gone by now
+            continue
+
+
+def sized(rows: DataFrame, most_rows: int = 1 << 18) -> DataFrame:
+    """A staged side of a join: broadcast up to most_rows (counted), else joined by a shuffled hash join."""
+    return F.broadcast(rows) if rows.count() <= most_rows else rows.hint("shuffle_hash")
 
 
 def with_place(df: DataFrame, order: Sequence, column: str = "place") -> tuple[DataFrame, int]:

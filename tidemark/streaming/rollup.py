@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_start
 from ..operators.ledger import insert_or_ignore
 from ..operators.shots import set_hash
+from ..staging import stage, unstage
 
 GRACE = "2 hours"
 
@@ -39,19 +41,37 @@ def daily_tracks(fixes: DataFrame, offset_seconds: int = 0) -> DataFrame:
     return fixes.groupBy("device", day.alias("day")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), set_hash(line).alias("track_id"))
 
 
-def roll_up(store, offset_seconds: int = 0):
-    """A foreachBatch function that merges each batch into store (plans.Snapshots with fixes and tracks).
+class Days:
+    """Fixes and tracks in folders by local day; a batch rewrites the days that it touches and no others."""
+
+    def __init__(self, spark: SparkSession, root: str, offset_seconds: int = 0):
+        self.spark, self.root, self.offset = spark, root.rstrip("/"), offset_seconds
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{table}")
+
+    def _held(self, fresh: DataFrame, days: list[int]) -> DataFrame:
+        try:
+            return self.read("fixes").where(F.col("day").isin(days)).select(fresh.columns)
+        except AnalysisException:  # no batch has come yet
+            return fresh.limit(0)
+
+    def merge(self, batch: DataFrame) -> None:
+        fresh = batch.withColumn("day", day_start(F.col("at"), self.offset))
+        days = [r["day"] for r in fresh.select("day").distinct().collect()]
+        fixes = stage(merge_fixes(self._held(fresh, days), fresh), "fixes")
+        for name, rows in (("fixes", fixes), ("tracks", daily_tracks(fixes, self.offset))):
+            rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.root}/{name}")
+        unstage(fixes)
+
+
+def roll_up(store: Days):
+    """A foreachBatch function that merges each batch into store.
 
     Fixes are never dropped for being late: their day gets an amended track.
     A batch that is tried again changes nothing, since its fixes are there.
     """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001
-        held = store.read("fixes") if "fixes" in store.current() else batch.limit(0)
-        fixes = merge_fixes(held, batch)
-        store.commit(fixes=fixes, tracks=daily_tracks(fixes, offset_seconds))
-
-    return merge
+    return lambda batch, batch_id: store.merge(batch)  # noqa: ARG005
 
 
 def quiet_keys(stream: DataFrame, key: str, ts: str = "ts", quiet: str = "10 minutes") -> DataFrame:
