@@ -24,8 +24,10 @@ LEAST_SCORE = 0.5
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a posterior of at least LEAST_SCORE; the rest have no letters, or too few."""
     ship(spark)
-    told = identify(docs.select(*docs.columns), train(docs, where=learned_from()))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    own = [F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)]  # docs may have columns that are named like results
+    told = identify(docs.select(*own), train(docs, where=learned_from()), text_col=f"__c{docs.columns.index('text')}")
+    kept = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     ship(spark)
     linked = link_documents(docs).where("doc_id is not null")
-    gone = linked.groupBy(F.col("doc_id").alias("gone_id")).agg(F.min(F.col("component_id") < F.col("doc_id")).alias("go")).where("go").select("gone_id")
-    return docs.join(sized(stage(gone, "near-copies")), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = linked.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.min(F.col("component_id") < F.col("doc_id")).alias("__go")).where("__go").select("__gone_id")
+    return docs.join(sized(stage(gone, "near-copies")), F.col("doc_id") == F.col("__gone_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
