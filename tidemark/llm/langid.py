@@ -163,16 +163,17 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     gives way to the prediction. Equal texts get equal predictions.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    read = text_col if text_col in keep else "__text"  # a text that is kept crosses to Python once
+    rows = docs.select(*keep, *([] if read == text_col else [F.col(text_col).alias(read)]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            for part in pieces(batch, "__text", 1 << 21):
-                best, score = m.score(part.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            for part in pieces(batch, read, 1 << 21):
+                best, score = m.score(part.column(read).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
             give_back()
 
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

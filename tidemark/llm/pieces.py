@@ -23,8 +23,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,9 @@ SPACE = 0x2581
 ESCAPED = 0x110000  # stands for a U+2581 that the text itself has
 LONG = 64
 NONE = np.int32(2**31 - 1)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
+HASHED = 1 << 17  # characters whose prefix sums are hashed together
+_START = re.compile("(?<=[^ ]) ")
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
@@ -68,7 +72,9 @@ def _codes(points: np.ndarray) -> np.ndarray:
     return mix(points.astype(np.uint64) + U64(1))
 
 
+@lru_cache(1)
 def load(model: bytes) -> Vocabulary:
+    """The model's tables; a worker makes them once, not for each task."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -114,13 +120,18 @@ def load(model: bytes) -> Vocabulary:
     return Vocabulary(size, of_char, *cols, joins, byte_ids, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lens) - lens, lens, hashes, ids)
 
 
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    power = lambda base: np.cumprod(np.r_[U64(1), np.full(HASHED, base)].astype(np.uint64))
+    return power(_C1), power(U64(pow(int(_C1), -1, 1 << 64)))
+
+
 class Encoder:
     def __init__(self, vocab: Vocabulary, dropout: float = 0.1, seed: int = 0, variants: int = 0):
         self.v, self.seed, self.variants = vocab, seed, max(0, variants)
         self.limit = U64(min(int(dropout * 2**64), 2**64 - 1))
         self.always = dropout >= 1
-        self.power = np.cumprod(np.r_[U64(1), np.full(SEGMENT, _C1)].astype(np.uint64))
-        self.unpower = np.cumprod(np.r_[U64(1), np.full(SEGMENT, U64(pow(int(_C1), -1, 1 << 64)))].astype(np.uint64))
+        self.power, self.unpower = _powers()
 
     def _look(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE: no such merge, or skipped) and merged symbol of pairs."""
@@ -253,7 +264,7 @@ class Encoder:
         i = 0
         while i < len(key):
             done = ends[i] - each[i]
-            j = max(i + 1, int(np.searchsorted(ends, done + (1 << 19))))
+            j = max(i + 1, int(np.searchsorted(ends, done + (1 << 17))))
             e = ends[i:j] - done
             of = np.repeat(np.arange(i, j), each[i:j])
             at = first[of] + np.arange(len(of)) - (e - each[i:j])[of - i]
@@ -263,15 +274,15 @@ class Encoder:
             i = j
         return np.where(size > LONG, own, out)
 
-    def encode(self, points: np.ndarray, doc: np.ndarray, salt: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids and their document numbers.
+    def encode(self, points: np.ndarray, doc: np.ndarray, salt: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids, their document numbers, and the number of words of each document.
 
         points: code points with spaces as SPACE; doc: document numbers, ascending;
         salt and first_word: by document, its hash and its first word's place.
         """
         v = self.v
         if not len(points):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(salt), np.int64)
         apart = ~v.joins[points]
         space = points == SPACE
         cut = np.ones(len(points), bool)
@@ -283,9 +294,9 @@ class Encoder:
         code = _codes(points)
         i = 0
         while i < len(start):  # prefix sums in blocks; a word longer than a block is hashed alone
-            j = max(i + 1, int(np.searchsorted(start, start[i] + SEGMENT // 2)))
+            j = max(i + 1, int(np.searchsorted(start, start[i] + HASHED // 2)))
             a, b = start[i], start[j - 1] + size[j - 1]
-            if b - a <= SEGMENT:
+            if b - a <= HASHED:
                 sums = np.r_[U64(0), np.cumsum(code[a:b] * self.power[: b - a])]
                 s = start[i:j] - a
                 key[i:j] = (sums[s + size[i:j]] - sums[s]) * self.unpower[s]
@@ -325,10 +336,10 @@ class Encoder:
         offset = np.cumsum(count) - count
         each = count[back]
         at = np.repeat(offset[back] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        return sym_[at], np.repeat(word_doc, each)
+        return sym_[at], np.repeat(word_doc, each), np.bincount(word_doc, minlength=len(salt))
 
     def encode_texts(self, texts: list[str | None], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and offsets; long texts go in segments that start at words."""
+        """Ids of all texts, and offsets; long texts go in segments that start at words, so that segments change nothing."""
         ids, docs = [], []
         held: list[tuple[int, str]] = []
         fill, first = 0, np.zeros(len(texts), np.int64)
@@ -340,11 +351,10 @@ class Encoder:
             doc = np.repeat([i for i, _ in held], [len(s) for _, s in held])
             points[points == SPACE] = ESCAPED
             points[points == 0x20] = SPACE
-            got, of = self.encode(points, doc, salts, first)
+            got, of, words = self.encode(points, doc, salts, first)
             ids.append(got)
             docs.append(of)
-            for i, s in held:
-                first[i] += len(s)  # the next segment's words count on from here
+            first[:] += words  # the next segment's words count on from here
             held, fill = [], 0
 
         for i, text in enumerate(texts):
@@ -355,9 +365,11 @@ class Encoder:
             while a < len(rest):
                 b = a + SEGMENT
                 if b < len(rest):
-                    while (c := rest.rfind(" ", a + 1, b)) > a + 1 and rest[c - 1] == " ":
+                    c = a + len(rest[a : max(a, rest.rfind(" ", a, b))].rstrip(" "))  # where the last run of spaces begins
+                    if c > a and rest[c] == " ":
                         b = c
-                    b = c if c > a else len(rest) if (d := rest.find(" ", a + SEGMENT)) < 0 else d
+                    else:
+                        b = m.start() if (m := _START.search(rest, b)) else len(rest)
                 held.append((i, rest[a:b]))
                 fill += min(b, len(rest)) - a
                 a = b
@@ -405,12 +417,9 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     keep = [c for c in (keep if keep is not None else [id_col]) if c not in results]
     rows = docs.select(*keep, F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(_read(model))
-    made: list[Encoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Encoder(load(shared.value), dropout, seed, variants))
-        encoder = made[0]
+        encoder = Encoder(load(shared.value), dropout, seed, variants)
         for batch in batches:
             for part in slices(batch, "__text", 1 << 21):
                 text = part.column("__text")
