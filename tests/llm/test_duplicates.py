@@ -24,7 +24,7 @@ def test_exact(spark, docs, corpus):
         groups[t or ""].append(i)
     best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
     want = sorted(((i, best[t or ""], len(groups[t or ""]), i == best[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in corpus), key=repr)
-    got = exact_dedup.exact_dedup(docs, capacity=2, max_depth=3).collect()
+    got = exact_dedup.exact_dedup(docs, capacity=2).collect()
     assert listed(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns
@@ -32,10 +32,25 @@ def test_exact(spark, docs, corpus):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0 and exact_dedup.drop_copies(docs.limit(0)).count() == 0
 
 
-def test_a_directory_doubles_until_its_buckets_fit():
-    assert exact_dedup.directory({}, 1, 2) == [0, 0, 0, 0]
-    assert exact_dedup.directory({0: 5, 3: 1}, 4, 2) == [0, 1, 2, 2]
-    assert exact_dedup.directory({0: 2, 1: 2, 2: 1}, 3, 2) == [0, 1, 2, 2]
+@pytest.mark.parametrize("capacity", [2, 50])
+def test_a_directory_doubles_until_its_buckets_fit(spark, capacity):
+    rng = random.Random(capacity)
+    near = 5 << 55  # neighbours share their first bits
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(40)] + [near, near + (1 << 53), near + (1 << 54), -1]
+    got = {r["key"]: r["bucket"] for r in exact_dedup.directory(spark.createDataFrame([(k, 1) for k in keys], "key long, n int"), capacity).collect()}
+    assert set(got) == set(keys)
+    groups = collections.Counter(got.values())
+    assert max(groups.values()) <= capacity and (capacity < 50 or len(groups) == 1)
+    in_order = sorted(keys)
+    assert [got[k] for k in in_order] == sorted(got.values())  # buckets are ranges
+
+
+def test_chains_keep_texts_under_one_key_apart(spark, monkeypatch):
+    """With a hash that says the same of all texts, links of one chain are told apart by their bytes."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c"), (5, None), (6, "")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert listed(got, "doc_id", "keep_id", "group_size") == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1), (5, 6, 2), (6, 6, 2)]
 
 
 @pytest.mark.parametrize("batches", [1, 3])

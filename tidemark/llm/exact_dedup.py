@@ -1,56 +1,78 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-Every text gets a 64-bit key and a SHA-256. Keys with their row counts are the
-index entries. A directory over the key's leading bits doubles until no bucket
-holds more than `capacity` entries, or the directory has 2**max_depth cells (a
-bucket may then hold more; results do not change). Buckets are contiguous key
-ranges. Texts are grouped by key and by their bytes, so that different texts
-under one key become different links of its chain; copies are combined in each
-task before the one shuffle that carries texts. The chains of keys that several
-rows have are written to the shared folder laid out by bucket, one owner task
-per run of buckets. The join that gives rows their chain is on staged tables
-without texts, which adaptive execution can split for a hot key.
-
-All of it is DataFrame work inside the JVM. What reaches the driver is one
-count per directory cell: 2**max_depth rows at most.
+Every text gets a 64-bit key and a SHA-256. Distinct keys with their row counts
+are the index entries. A directory over the keys' leading bits doubles where a bucket
+holds more than `capacity` entries, and as long as one does, so that no bucket is
+over capacity in the end. Buckets are contiguous key ranges; the directory is a
+table, never a list in the driver.
+
+Only texts whose key several rows have go on. The directory names the bucket of
+each; copies are combined in each task before they are shuffled, so a hot text
+comes once from a task. Owner tasks take ranges of buckets: texts under one key
+are compared by their bytes there and chained, each different one a link. The
+chains are written to the shared folder in order of bucket and key, and rows find
+their link by key and SHA-256, in a join of tables without texts that adaptive
+execution can split for a hot key.
+
+All of it is DataFrame work inside the JVM; a few counts reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, sized, stage, table, text_of
 
+BITS = 64
+
+
+def _leading(key: Column, bits: int) -> Column:
+    """The key's leading bits as a number."""
+    return F.shiftrightunsigned(key, BITS - bits) if bits else F.lit(0).cast("long")
+
 
-def directory(counts: dict[int, int], capacity: int, max_depth: int) -> list[int]:
-    """Bucket of each of the 2**max_depth cells, numbered by key range.
+def directory(entries: DataFrame, capacity: int) -> DataFrame:
+    """entries (key, n; keys are distinct) with bucket: the first key of the bucket's range.
 
-    A bucket starts as the whole key space at local depth 0; while one is over
-    capacity it splits into two of the next depth.
+    It starts with about half as many buckets as would be full. A bucket that is
+    over capacity is split by its next bit, and the round is repeated for the
+    entries of those alone; a whole key always fits, so it ends.
     """
-    running = [0]
-    for cell in range(1 << max_depth):
-        running.append(running[-1] + counts.get(cell, 0))
-    cells, bucket, waiting = [0] * (1 << max_depth), 0, [(0, 0)]
-    while waiting:
-        prefix, depth = waiting.pop()
-        width = 1 << (max_depth - depth)
-        first = prefix * width
-        if running[first + width] - running[first] > capacity and depth < max_depth:
-            waiting += [(2 * prefix + 1, depth + 1), (2 * prefix, depth + 1)]
-            continue
-        cells[first : first + width] = [bucket] * width
-        bucket += 1
-    return cells
-
-
-def _bucket(key: Column, cells: list[int], max_depth: int) -> Column:
-    cell = F.shiftrightunsigned(key, 64 - max_depth).cast("int")
-    return F.element_at(F.split(F.lit(",".join(map(str, cells))), ",").cast("array<int>"), cell + 1)
-
-
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16, max_depth: int = 12) -> DataFrame:
+    capacity = max(1, capacity)
+    depth = max(0, math.ceil(math.log2(max(1, entries.count()) / capacity)) - 1)
+    waiting, placed = entries, []
+    while True:
+        prefix = _leading(F.col("key"), depth)
+        buckets = stage(waiting.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("held")), "dedup-buckets")
+        found = waiting.withColumn("prefix", prefix).join(sized(buckets), "prefix")
+        first = F.shiftleft("prefix", BITS - depth) if depth else F.lit(0).cast("long")
+        placed.append(found.where(F.col("held") <= capacity).select("key", "n", first.alias("bucket")))
+        if not buckets.where(F.col("held") > capacity).limit(1).count():
+            return reduce(DataFrame.unionByName, placed)
+        waiting = stage(found.where(F.col("held") > capacity).select("key", "n"), "dedup-overfull")
+        depth += 1
+
+
+def build(docs: DataFrame, keys: DataFrame, capacity: int) -> DataFrame:
+    """The index: chains (bucket, key, link, sha, keep_id, group_size) of the keys that several rows have.
+
+    docs: id, text; keys: key of every row.
+    """
+    entries = stage(keys.groupBy("key").agg(F.count("*").alias("n")), "dedup-entries")
+    routes = stage(directory(entries, capacity).where("n > 1").select("key", "bucket"), "dedup-routes")
+    texts = docs.withColumn("key", F.xxhash64("text")).join(sized(routes), "key")
+    groups = texts.groupBy("bucket", "key", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    owned = groups.repartitionByRange("bucket", "key")
+    link = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text")) - 1
+    chains = owned.select("bucket", "key", link.alias("link"), F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
+    return stage(chains.sortWithinPartitions("bucket", "key", "link"), "dedup-index")
+
+
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Equal texts form a group; its largest id stays. A null text counts as empty.
@@ -59,23 +81,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     marked kept if that id is. Other columns of docs are ignored, whatever
     their names; an empty table gives an empty result.
     """
-    depth = max(1, min(16, max_depth))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    keyed = rows.select("id", F.xxhash64("text").alias("key"), F.unhex(F.sha2("text", 256)).alias("sha"))
-    keys = stage(keyed, "dedup-keys")
-    entries = keys.groupBy("key").agg(F.count("*").alias("n"))
-    per_cell = entries.groupBy(F.shiftrightunsigned("key", 64 - depth).cast("int").alias("cell")).count()
-    cells = directory({r["cell"]: r["count"] for r in per_cell.collect()}, capacity, depth)
-
-    # Copies are combined before their text is shuffled, so a hot text comes once from each task; the grouping compares bytes.
-    chained = (
-        rows.withColumn("key", F.xxhash64("text"))
-        .groupBy("key", "text")
-        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .where("group_size > 1")
-        .select(_bucket(F.col("key"), cells, depth).alias("bucket"), "key", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
-    )
-    chains = stage(chained.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index").drop("bucket")
+    keys = stage(rows.select("id", F.xxhash64("text").alias("key"), F.unhex(F.sha2("text", 256)).alias("sha")), "dedup-keys")
+    chains = build(rows, keys, capacity).select("key", "sha", "keep_id", "group_size")
     out = keys.join(chains, ["key", "sha"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -97,6 +105,7 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup of all documents with production parameters."""
     return exact_dedup(table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS))
 
 
