@@ -12,14 +12,16 @@ percent/100 of the other's elements, and of its own.
    those gives families, by stars around the least member of each posting list:
    no pairs are listed. A link never leaves its family.
 3. T-occurrence search in families, with an inverted index of each part: short
-   lists are merged, long ones are probed by binary search for what reached the
+   lists are merged in order, long ones are probed by binary search for what reached the
    threshold so far, and exact overlaps decide. Two members that are known to be
-   connected are not compared again. A family of more than `part` members is
-   searched in parts: each in itself, then all against the first; after that
-   nearly all of a dense family is one component, and only members outside of
-   its largest component are searched against all parts. Every pair of members
-   in different components has then been looked at, so no link between
-   components is lost, and a dense family does not cost its square.
+   connected are not compared again. A family of more than `part` members, or
+   of more than `part_tokens` n-grams, is searched in parts: each in itself, then
+   all against the first; after that nearly all of a dense family is one
+   component. Members outside of the largest component go on to those parts
+   that hold one of the n-grams of step 2. Every pair of members in different
+   components that could link has then been looked at, so no link between
+   components is lost, and neither a dense family nor one that a common phrase
+   holds together costs its square.
 """
 
 from __future__ import annotations
@@ -65,15 +67,16 @@ def least_overlap(size, percent: int):
     return -(-size * percent // 100)
 
 
-def t_occurrence(query: np.ndarray, threshold: int, lists: list[np.ndarray], n_index: int, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+def t_occurrence(threshold: int, lists: list[np.ndarray], mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Index members that occur in at least threshold of the lists, and in how many; each list is sorted."""
     if len(lists) < threshold:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lists = sorted(lists, key=len, reverse=True)
     n_long = min(threshold - 1, int(threshold / (mu * np.log2(max(2, len(lists[0]))) + 1)), len(lists) - 1)
-    merged = np.bincount(np.concatenate(lists[n_long:]), minlength=n_index)
-    found = np.flatnonzero(merged >= threshold - n_long)
-    count = merged[found]
+    merged = np.sort(np.concatenate(lists[n_long:]), kind="stable")  # merges the sorted lists run by run
+    start = np.flatnonzero(first_of(merged))
+    count = np.diff(np.r_[start, len(merged)])
+    found, count = merged[start][count >= threshold - n_long], count[count >= threshold - n_long]
     for k, long in enumerate(lists[:n_long]):
         at = np.minimum(np.searchsorted(long, found), len(long) - 1)
         count = count + (long[at] == found)
@@ -104,7 +107,7 @@ def search(queries: list[np.ndarray], index: list[np.ndarray], percent: int, for
         at = at[at < len(vocabulary)]
         hit = at[vocabulary[at] == query[: len(at)]] if len(at) == len(query) else np.flatnonzero(np.isin(vocabulary, query))
         threshold = int(least_overlap(len(query), percent))
-        found, count = t_occurrence(query, threshold, [owner[start[k] : ends[k]] for k in hit], len(index))
+        found, count = t_occurrence(threshold, [owner[start[k] : ends[k]] for k in hit])
         if itself:
             found, count = found[found < q], count[found < q]
         good = found[100 * count >= percent * (len(query) + sizes[found] - count)]
@@ -125,7 +128,7 @@ def _links(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
 
-def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, part: int = 512, block_bytes: int = 2 << 20) -> DataFrame:
+def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, part: int = 512, part_tokens: int = 1 << 20, block_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id.
 
     A-Z are lower-cased; a text of fewer than n words has its whole word
@@ -205,17 +208,18 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         start = np.flatnonzero(first_of(doc))
         size = np.diff(np.r_[start, len(doc)])
         shared = np.add.reduceat((code > 1).astype(np.int64), start) if len(doc) else size
-        out: dict[str, list] = {"rep": [], "tokens": [], "prefix": []}
+        out: dict[str, list] = {"rep": [], "size": [], "tokens": [], "prefix": []}
         for k in np.flatnonzero(shared >= least_overlap(size, percent)):
             a, b = start[k], start[k] + size[k]
             order = np.lexsort((h[a:b], code[a:b]))
             lead = order[: size[k] - least_overlap(int(size[k]), percent) + 1]
             out["rep"].append((row["block"] << ROW_BITS) + int(doc[a]))
+            out["size"].append(int(size[k]))
             out["tokens"].append(h[a:b].tobytes())
             out["prefix"].append(h[a:b][lead][code[a:b][lead] > 1].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(out["rep"], pa.int64()), pa.array(out["tokens"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["rep"], pa.int64()), pa.array(out["size"], pa.int64()), pa.array(out["tokens"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))], names=list(out))
 
-    alive = stage(blocks.run(survive, "rep long, tokens binary, prefix array<long>", chosen=chosen, answers=answers), "survivors")
+    alive = stage(blocks.run(survive, "rep long, size long, tokens binary, prefix array<long>", chosen=chosen, answers=answers), "survivors")
     blocks.drop()
     unstage(answers)
 
@@ -223,10 +227,10 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     heads = stage(postings.groupBy("token").agg(F.min("rep").alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head"), "heads")
     family = components(postings.join(heads, "token").where("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")))
     family = stage(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "families")
-    sizes = stage(family.groupBy("family").agg(F.count("*").alias("members")), "family-sizes")
-    parts = F.ceil(F.col("members") / part)
-    placed = family.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("parts", parts.cast("int"))
-    placed = stage(alive.select("rep", "tokens").join(placed.select("rep", "family", "part", "parts"), "rep"), "members")
+    parts = F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / part_tokens)).cast("int")
+    sizes = stage(family.join(alive.select("rep", "size"), "rep").groupBy("family").agg(parts.alias("parts")), "family-sizes")
+    placed = family.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = stage(alive.select("rep", "size", "tokens").join(placed.select("rep", "family", "part", "parts"), "rep"), "members")
 
     def inside(group: pa.Table) -> pa.Table:
         names, sets, forest = group.column("rep").to_pylist(), _sets(group.column("tokens")), _Forest()
@@ -236,7 +240,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = stage(placed.groupBy("family", "part").applyInArrow(inside, "a long, b long"), "links")
     wide = placed.where("parts > 1")
     if wide.limit(1).count():
-        found = _across(wide, found, percent, part)
+        found = _across(wide.drop("parts"), postings, found, percent, part, part_tokens)
 
     label = components(found).withColumnRenamed("node", "rep")
     named = reps.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -248,8 +252,8 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _across(wide: DataFrame, found: DataFrame, percent: int, part: int) -> DataFrame:
-    """found with the links between the parts of families that have several."""
+def _across(wide: DataFrame, postings: DataFrame, found: DataFrame, percent: int, part: int, part_tokens: int) -> DataFrame:
+    """found with the links between the parts of families that have several. postings: rep, token of all prefixes."""
 
     def label(links: DataFrame) -> DataFrame:
         return stage(wide.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
@@ -265,23 +269,28 @@ def _across(wide: DataFrame, found: DataFrame, percent: int, part: int) -> DataF
         search(pick(sets, True), pick(sets, False), percent, forest, pick(names, True), pick(names, False), False)
         return _links([(c, r) for c in sorted(set(comp)) if (r := forest.root(c)) != c])
 
-    def searched(asking: DataFrame, labelled: DataFrame, targets: DataFrame) -> DataFrame:
-        """asking: rows with family and chunk; each chunk against each other part of its family."""
+    def searched(asking: DataFrame, labelled: DataFrame) -> DataFrame:
+        """asking: members with the part that they ask and a chunk; each chunk against that part of its family."""
         columns = ["family", "chunk", "target", "asks", "rep", "tokens", "component"]
-        tasks = stage(asking.select("family", "chunk").distinct().join(targets, "family"), "tasks")
-        mine = asking.join(tasks, ["family", "chunk"]).withColumn("asks", F.lit(True)).select(columns)
-        theirs = labelled.withColumnRenamed("part", "target").join(tasks, ["family", "target"]).withColumn("asks", F.lit(False)).select(columns)
-        return mine.union(theirs).groupBy("family", "chunk", "target").applyInArrow(cross, "a long, b long")
+        asking = stage(asking.withColumn("asks", F.lit(True)).select(columns), "asking")
+        theirs = labelled.withColumnRenamed("part", "target").join(asking.select("family", "target", "chunk").distinct(), ["family", "target"]).withColumn("asks", F.lit(False)).select(columns)
+        return asking.union(theirs).groupBy("family", "chunk", "target").applyInArrow(cross, "a long, b long")
 
     once = label(found)
-    first = searched(once.where("part > 0").withColumnRenamed("part", "chunk"), once, once.where("part = 0").select("family", F.col("part").alias("target")).distinct())
+    first = searched(once.where("part > 0").withColumn("target", F.lit(0)).withColumnRenamed("part", "chunk"), once)
     both = stage(found.union(first), "links")
     twice = label(both)
     main = twice.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    outside = stage(twice.join(stage(main, "main"), "family").where("component <> main").drop("main"), "outside")
-    n_outside = stage(outside.groupBy("family").agg(F.ceil(F.count("*") / part).alias("chunks")), "chunks")
-    asking = outside.drop("part").join(n_outside, "family").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int"))
-    second = searched(asking, twice, twice.select("family", F.col("part").alias("target")).distinct())
+    outside = stage(twice.join(stage(main, "main"), "family").where("component <> main").drop("main", "part"), "outside")
+    # A member asks the parts that hold a token of its prefix, not all: any two that link share one.
+    spots = stage(wide.select("rep", "family", "part").join(postings, "rep").select("family", "token", F.col("part").alias("target")).distinct(), "spots")
+    asked = outside.select("rep", "family", "size").join(postings, "rep").join(spots, ["family", "token"]).select("rep", "family", "target", "size").distinct()
+    asked = stage(asked, "asked")
+    chunks = F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / part_tokens)).alias("chunks")
+    loads = stage(asked.groupBy("family", "target").agg(chunks), "loads")
+    chunk = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")
+    placed = asked.drop("size").join(loads, ["family", "target"]).withColumn("chunk", chunk).drop("chunks")
+    second = searched(outside.join(placed, ["rep", "family"]), twice)
     return stage(both.union(second), "links")
 
 
