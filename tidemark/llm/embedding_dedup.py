@@ -4,8 +4,9 @@ Cosine >= c of unit vectors is a distance of at most e = sqrt(2 - 2c). Vectors
 are projected on leading principal directions (of a bounded sample: the
 directions only decide how much is skipped, never what is found), put on a grid
 of cell width e there, and sorted by their cells. That order is cut into blocks
-of about `block` vectors (a hot cell is dealt to several). A pair of blocks is joined unless their boxes in the
-projection are farther apart than e; within the join, intervals of the sequence
+of about `block` vectors (a hot cell is dealt to several). Blocks meet at the
+cells of the grid that they cover or adjoin, and a pair is joined unless their
+boxes in the projection are farther apart than e; within the join, intervals of the sequence
 are halved again and again, and pairs of intervals that are provably distant are
 skipped. What is left is compared by cosine in double precision.
 
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, table, unstage
+from .common import partitions, sized, stage, table, unstage
 from .graph import components
 
 GRID, BOX, LEAF = 3, 16, 128
+#: Cells are at least this wide, so that there are at most 18 ** GRID of them however close to 1 the cosine is.
+LEAST_WIDTH = 1 / 8
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -161,6 +164,7 @@ def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     dims = [r[0] for r in reps.select(F.size("embedding")).distinct().collect()]
     shared = spark.sparkContext.broadcast({d: _basis(reps, d, sample) for d in dims})
     reach = math.sqrt(max(1e-12, 2 - 2 * cosine))
+    width = max(reach, LEAST_WIDTH)
     single = element.typeName() == "float"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,16 +177,16 @@ def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 x = _vectors(column.take(pa.array(at)), int(d))
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 p = x @ shared.value[int(d)][:, :GRID]
-                cells[at, : p.shape[1]] = np.floor(p / reach)
+                cells[at, : p.shape[1]] = np.floor(p / width)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), column, pa.array(lens.astype(np.int32)), *(pa.array(cells[:, k]) for k in range(GRID))], names=["rep", "n", "safe", "dim", "c0", "c1", "c2"])
 
     placed = stage(reps.select("rep", "n", safe.alias("safe")).mapInArrow(place, "rep long, n long, safe array<double>, dim int, c0 long, c1 long, c2 long"), "placed")
-    # Cells in sequence order: at most (2 / e + 2) ** GRID of each vector length, whatever the number of vectors.
+    # Cells in sequence order: at most (2 / width + 2) ** GRID of each vector length, whatever the number of vectors.
     cell = ["dim", "c0", "c1", "c2"]
     sequence = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy(*cell).agg(F.count("*").alias("size")).withColumn("first", F.coalesce(F.sum("size").over(sequence), F.lit(0)))
     within = F.pmod(F.xxhash64("rep"), F.col("size"))
-    numbered = placed.join(F.broadcast(cells), cell).withColumn("block", F.floor((F.col("first") + within) / block)).drop("first", "size")
+    numbered = placed.join(sized(stage(cells, "cells")), cell).withColumn("block", F.floor((F.col("first") + within) / block)).drop("first", "size")
 
     def cut(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in ("c0", "c1", "c2", "rep")])
@@ -190,22 +194,29 @@ def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         safe_ = group.column("safe").combine_chunks()
         x = _vectors(safe_, d)
         box = x / np.linalg.norm(x, axis=1, keepdims=True) @ shared.value[d]
-        c0 = group.column("c0").to_numpy()
+        ranges = [group.column(f"c{k}").to_numpy() for k in range(GRID)]
         vec = safe_.flatten().to_numpy(zero_copy_only=False).astype(np.float32 if single else np.float64)
-        one = [group.column("block")[0].as_py(), d, int(c0.min()), int(c0.max()), box.min(0).tolist(), box.max(0).tolist(), _pack(group.column("rep").to_numpy()), _pack(group.column("n").to_numpy()), _pack(vec)]
+        one = [group.column("block")[0].as_py(), d, [int(c.min()) for c in ranges], [int(c.max()) for c in ranges], box.min(0).tolist(), box.max(0).tolist(), _pack(group.column("rep").to_numpy()), _pack(group.column("n").to_numpy()), _pack(vec)]
         names = ["block", "dim", "lo", "hi", "low", "high", "rep", "n", "vec"]
         return pa.table({k: pa.array([v], pa.int32() if k == "dim" else None) for k, v in zip(names, one, strict=True)})
 
-    kind = "block long, dim int, lo long, hi long, low array<double>, high array<double>, rep binary, n binary, vec binary"
+    kind = "block long, dim int, lo array<long>, hi array<long>, low array<double>, high array<double>, rep binary, n binary, vec binary"
     blocks = stage(numbered.groupBy("dim", "block").applyInArrow(cut, kind).withColumn("block", F.col("dim").cast("long") * (1 << 40) + F.col("block")), "blocks")
     unstage(placed)
 
     meta = blocks.select("block", "dim", "lo", "hi", "low", "high")
-    left = meta.withColumn("cell", F.explode(F.sequence("lo", "hi"))).select(F.col("block").alias("i"), "dim", "cell", F.col("low").alias("low_i"), F.col("high").alias("high_i"))
-    right = meta.withColumn("cell", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1))).select(F.col("block").alias("j"), "dim", "cell", F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+
+    def in_cells(rows: DataFrame, margin: int) -> DataFrame:
+        """A row per cell of the grid that the block's range of cells, widened by margin, covers."""
+        for k in range(GRID):
+            rows = rows.withColumn(f"c{k}", F.explode(F.sequence(F.col("lo")[k] - margin, F.col("hi")[k] + margin)))
+        return rows
+
+    left = in_cells(meta, 0).select(F.col("block").alias("i"), *cell, F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    right = in_cells(meta, 1).select(F.col("block").alias("j"), *cell, F.col("low").alias("low_j"), F.col("high").alias("high_j"))
     gaps = F.zip_with(F.zip_with("low_i", "high_j", lambda x, y: x - y), F.zip_with("low_j", "high_i", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     near = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g) <= (reach + 1e-9) ** 2
-    pairs = stage(left.join(right, ["dim", "cell"]).where("i <= j").where(near).select("i", "j", "dim").distinct(), "block-pairs")
+    pairs = stage(left.join(right, cell).where("i <= j").where(near).select("i", "j", "dim").distinct(), "block-pairs")
     side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "vec")))
     tasks = pairs.repartition(4 * partitions(spark), "i", "j").join(side("i"), "i").join(side("j"), "j")
 
