@@ -8,24 +8,31 @@ The method adds spans. Every run of `least`+ token characters is a candidate;
 its encoding (hex, base32, base64, base64url, or one case of letters) is
 inferred from the characters it holds. Against uniform draws from that alphabet
 it takes three tests: chi-squared evenness of its symbols (Wilson-Hilferty), runs
-above and below the alphabet's middle, and lag-one serial correlation. A token
-passes if three times the least p-value is at least `alpha`.
-
-Passing is not enough: a short word is not uneven either. So each candidate also
-has a p-value for "ordinary word": the least of two length-aware bounds, doubled.
-One is the chance that letters with the collision rate of running text repeat as
-seldom; the other is a Chernoff bound on so many changes between lower case,
-upper case, digits and signs. Candidates of like length form strata, each with
-its own Benjamini-Hochberg threshold at `fdr`, so that the many short words do
-not decide for the few long tokens. P-values are rounded up to steps of a tenth
-of a decade, which makes the threshold a matter of at most 4 x 4001 counts:
-those are all that reaches the driver. Copies count as often as they occur.
+above and below the alphabet's middle, and lag-one serial correlation. Its
+p-value is three times the least of the three.
+
+False discoveries are controlled twice, with Benjamini-Hochberg thresholds by
+stratum, for candidates of like length, so that the many short words do not
+decide for the few long tokens. First the battery: whatever it finds not to be
+uniform, at `alpha`, is out. Passing is not enough, though: a short word is not
+uneven either. So what passed has a p-value for "ordinary word", the least of two
+length-aware bounds, doubled, and those below the threshold at `fdr` are found;
+what the battery threw out counts as tested, with a p-value of 1. One bound is
+the chance that letters with the collision rate of running text repeat as seldom;
+the other is a Chernoff bound on so many changes between lower case, upper case,
+digits and signs. P-values are rounded up to steps of a tenth of a decade, which
+makes the thresholds a matter of at most 4 x 4001 counts each: those are all that
+reaches the driver. Copies count as often as they occur. Fewer than `least`
+symbols are not tested: of an alphabet of 64 nearly all would be different in
+ordinary names too, and neither bound can fall below such a threshold.
 
 The whole texts are read once; what is kept is a row per text with its spans.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +54,7 @@ ALPHABETS = (
 )
 STRATA = (32, 48, 64)
 STEPS = 4000
+SURE = 60  # a battery's threshold lies at alpha times the share that it rejects; below a millionth of alpha nothing is left open
 #: Of running text: chance that two letters agree, that three do, and that neighbours differ in class.
 COLLIDE, COLLIDE3, CHANGE = 0.066, 0.0056, 0.12
 
@@ -54,17 +62,25 @@ COLLIDE, COLLIDE3, CHANGE = 0.066, 0.0056, 0.12
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of the pattern's matches, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    before = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(found))
+    ends = _running(F.zip_with(found, gaps, lambda m, g: g + F.length(m)))
+    placed = F.zip_with(found, ends, lambda m, b: F.struct((b - F.length(m)).alias("start"), b.alias("end"), m.alias("match")))
+    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["match"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["match"].alias("match")))).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+def _running(values: Column, run: int = 256) -> Column:
+    """Running sums of an array. An array grows by copying, so sums run within pieces, and over the pieces' totals."""
+
+    def grow(xs: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")), lambda acc: acc["out"])
+
+    def pieced(xs: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / run).cast("int")), lambda k: F.slice(xs, k * run + 1, run))
+        totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(pieces, F.zip_with(grow(totals, F.lit(0)), totals, lambda a, t: a - t), grow))
+
+    return _let(values, lambda xs: F.when(F.size(xs) > run, pieced(xs)).otherwise(grow(xs, F.lit(0))))
 
 
 def _tagged(spans: Column, kind: int) -> Column:
@@ -163,12 +179,16 @@ def _ordinary(token: Column) -> Column:
     return _let(facts, bound)
 
 
-def _step(token: Column, alpha: float) -> Column:
-    """Tenths of decades of the p-value against an ordinary word; 0 if a uniform draw is ruled out; null without an encoding."""
+def _steps(token: Column, alpha: float) -> Column:
+    """struct<uneven, step>: tenths of decades of the battery's p-value and of that against an ordinary word; null without an encoding.
+
+    A p-value of the battery that no threshold at alpha can accept leaves no step to compute.
+    """
     kind = F.coalesce(*(F.when(token.rlike(p), F.lit(i)) for i, (_, p, _, _) in enumerate(ALPHABETS)))
     tenths = lambda p: F.least(F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300)))), F.lit(STEPS)).cast("int")
-    tested = F.when(_uniform(token, kind) >= alpha, tenths(_ordinary(token))).otherwise(F.lit(0))
-    return F.when(kind.isNotNull() & ~token.rlike("^[0-9]+$"), tested)
+    sure = math.floor(-10 * math.log10(alpha)) + SURE
+    tested = lambda u: F.struct(u.alias("uneven"), F.when(u < sure, tenths(_ordinary(token))).otherwise(F.lit(0)).alias("step"))
+    return F.when(kind.isNotNull() & ~token.rlike("^[0-9]+$"), _let(tenths(_uniform(token, kind)), tested))
 
 
 def _stratum(n: Column) -> Column:
@@ -208,14 +228,21 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("id", "base", clear.alias("runs"))
 
     def tested(r: Column) -> Column:
-        step = _let(F.regexp_replace(r["match"], "=+$", ""), lambda token: _step(token, alpha))
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), _stratum(r["end"] - r["start"]).alias("stratum"), step.alias("step"))
-
-    scanned = stage(rows.select("id", "base", F.filter(F.transform("runs", tested), lambda c: c["step"].isNotNull()).alias("tests")), "secret-spans")
-    per_step = scanned.select(F.inline("tests")).groupBy("stratum", "step").count().collect()
-    cut = thresholds({(r["stratum"], r["step"]): r["count"] for r in per_step}, fdr)
-    limit = F.array(*(F.lit(c) for c in cut))
-    added = F.transform(F.filter("tests", lambda c: c["step"] >= F.element_at(limit, c["stratum"] + 1)), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
+        steps = _let(F.regexp_replace(r["match"], "=+$", ""), lambda token: _steps(token, alpha))
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), _stratum(r["end"] - r["start"]).alias("stratum"), steps.alias("steps"))
+
+    scanned = stage(rows.select("id", "base", F.filter(F.transform("runs", tested), lambda c: c["steps"].isNotNull()).alias("tests")), "secret-spans")
+    every = scanned.select(F.inline("tests")).select("stratum", "steps.uneven", "steps.step")
+
+    def limits(rows: DataFrame, level: float) -> Column:
+        counts = {(r["stratum"], r["step"]): r["count"] for r in rows.groupBy("stratum", "step").count().collect()}
+        return F.array(*(F.lit(c) for c in thresholds(counts, level)))
+
+    out_at = limits(every.select("stratum", F.col("uneven").alias("step")), alpha)
+    passes = lambda stratum, uneven: uneven < F.element_at(out_at, stratum + 1)
+    found_at = limits(every.select("stratum", F.when(passes(F.col("stratum"), F.col("uneven")), F.col("step")).otherwise(0).alias("step")), fdr)
+    is_found = lambda c: passes(c["stratum"], c["steps"]["uneven"]) & (c["steps"]["step"] >= F.element_at(found_at, c["stratum"] + 1))
+    added = F.transform(F.filter("tests", is_found), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
     names = F.array(*(F.lit(k) for k in KINDS))
 
     def written(spans: Column) -> Column:
