@@ -1,11 +1,12 @@
 """Licence scan over a positional rare-token index.
 
-Templates are short licence notices as word sequences. Document frequencies of
-their words over the whole corpus give inverse document frequencies; each
-template is indexed by its `rare_words` rarest words as postings (template,
-position). A text's licence words are looked up there, and every posting votes
-for the alignment (template, position in text - position in template). An
-alignment that at least two different rare words share is verified: one of the
+Templates are licences and licence notices as word sequences. Document
+frequencies of their words over the whole corpus give inverse document
+frequencies; each template is indexed by its 2 * `rare_words` rarest words as
+postings (template, position). Of every text the `rare_words` licence words that
+are rarest in the corpus are looked up there for each template, and every posting
+votes for the alignment (template, position in text - position in template). An
+alignment that at least two different rare words share is verified: all of the
 template's key phrases must stand, word for word and byte for byte, inside the
 aligned range. The share of template words found at their aligned places is its
 score.
@@ -32,24 +33,59 @@ from .words import NOT_ALNUM, Words, pieces, words_of
 #: Phrases and labels of the base scan.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, notice, phrases of which one must stand in the aligned range.
+#: Label, words of a notice or of a whole licence, phrases that must all stand in the aligned range.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "licensed under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ("permission is hereby granted", "without restriction")),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+        "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "without restriction"),
+    ),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("in compliance with the license", "apache org licenses")),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        ("in compliance with the license", "apache org licenses"),
+    ),
     ("gpl-3.0", "licensed under the gnu general public license version 3", ("general public license version 3",)),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ("general public license version 2",)),
-    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("redistribute it and or modify it",)),
+    (
+        "gpl-notice",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program",
+        ("redistribute it and or modify it", "gnu general public license"),
+    ),
     ("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
     ("agpl", "licensed under the gnu affero general public license", ("affero general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "redistribution and use")),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        ("redistribution and use in source and binary forms", "with or without modification"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ("for any purpose with or without fee is hereby granted",),
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ("to alter it and redistribute it freely",),
+    ),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("cc-attribution", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software", "released into the public domain"),
+    ),
 )
 
 
@@ -69,6 +105,8 @@ class Index:
     labels: list[str]
     keys: list[list[tuple[str, np.ndarray, int]]]  # phrase, word hashes, index of its rarest word
     base: list[tuple[str, str, np.ndarray, int]]
+    rarity: np.ndarray  # by vocabulary word: its place in order of document frequency
+    rare_words: int
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -86,11 +124,12 @@ def build(frequency: dict[int, int], *, rare_words: int = 6, templates=TEMPLATES
     posts: list[tuple[int, int, int]] = []
     for k, seq in enumerate(seqs):
         # words that no text has can be nobody's rarest
-        distinct = sorted(set(seq.tolist()), key=lambda h: (frequency.get(h, 0) == 0, frequency.get(h, 0), h))[:rare_words]
+        distinct = sorted(set(seq.tolist()), key=lambda h: (frequency.get(h, 0) == 0, frequency.get(h, 0), h))[: 2 * rare_words]
         posts += [(int(h), k, p) for p, h in enumerate(seq.tolist()) if h in distinct]
     posts.sort()
     hashes = np.array([p[0] for p in posts], np.uint64)
     vocab, first = np.unique(hashes, return_index=True)
+    in_order = np.lexsort((vocab, [frequency.get(int(h), 0) for h in vocab]))
     rarest = lambda hs: int(np.argmin(rarity(hs)))
     return Index(
         vocab,
@@ -101,6 +140,8 @@ def build(frequency: dict[int, int], *, rare_words: int = 6, templates=TEMPLATES
         [label for label, _, _ in templates],
         [[(p, h := _hashes(p), rarest(h)) for p in keys] for _, _, keys in templates],
         [(label, p, h := _hashes(p), rarest(h)) for p, label in base],
+        np.argsort(in_order),
+        rare_words,
     )
 
 
@@ -146,14 +187,20 @@ def scan(w: Words, index: Index, least_votes: int = 2) -> dict[str, list]:
         each = np.repeat(np.arange(len(hit)), count)
         post = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + index.first[word][each]
         template, origin = index.template[post], hit[each] - index.position[post]
-        key = np.stack([w.doc[hit[each]], template, origin, word[each]], 1)
+        # of each text's words that a template has, the rarest
+        pair = np.stack([w.doc[hit[each]], template, index.rarity[word[each]]], 1)
+        ranked, back = np.unique(pair, axis=0, return_inverse=True)
+        head = np.flatnonzero(np.r_[True, (ranked[1:, :2] != ranked[:-1, :2]).any(1)])
+        place = np.arange(len(ranked)) - np.repeat(head, np.diff(np.r_[head, len(ranked)]))
+        rare = place[back.ravel()] < index.rare_words
+        key = np.stack([w.doc[hit[each]], template, origin, word[each]], 1)[rare]
         key = np.unique(key, axis=0)
         start = np.flatnonzero(np.r_[True, (key[1:, :3] != key[:-1, :3]).any(1)])
         votes = np.diff(np.r_[start, len(key)])
         for d, k, at, _ in key[start[votes >= least_votes]]:
             seq = index.templates[k]
             lo, hi = max(bounds[d], at), min(bounds[d + 1], at + len(seq))
-            if not any(len(phrase_places(w, p, h, r, lo, hi)) for p, h, r in index.keys[k]):
+            if not all(len(phrase_places(w, p, h, r, lo, hi)) for p, h, r in index.keys[k]):
                 continue
             found[d].add(index.labels[k])
             score[d] = max(score[d], (w.hash[lo:hi] == seq[lo - at : hi - at]).sum() / len(seq))
