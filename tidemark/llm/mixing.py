@@ -15,7 +15,7 @@ least half of it fits; a second round over those left that are short enough
 fills what a long last one leaves open. u is a hash of seed, id and text, so that runs agree.
 
 The cut is found without sorting a source: ranks fall into `bins` bins of
-odds, sums by (source, bin) locate the bin of the cut, and only that bin's
+about equal shares of it, sums by (source, bin) locate the bin of the cut, and only that bin's
 documents (1/bins of a source) are put in order. The plan keeps, for each
 source, the last rank taken; any task can then tell a document's copies.
 """
@@ -66,6 +66,9 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, weig
 def _ranked(rows: DataFrame, plan: DataFrame, bins: int, most_copies: float) -> DataFrame:
     """Measured rows with their source's columns of plan, certain copies and Pareto rank (null: nothing left to draw)."""
     u = (F.shiftrightunsigned("__salt", 11).cast("double") + 0.5) / float(1 << 53)
+    level = F.least(F.lit(float(most_copies)), F.col("target") / F.col("own_size"))
+    usual = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.coalesce(level - F.floor(level), F.lit(0.5))))
+    spread = F.col("odds") * usual / (1 - usual)  # without weights the odds of u itself, so that bins hold equal shares of a source
     expected = F.when(F.col("own_size") > 0, F.least(F.lit(float(most_copies)), F.col("target") / F.col("own_size") * F.col("__own"))).otherwise(0.0)
     return (
         rows.join(plan, F.col("__source").eqNullSafe(F.col("plan_source")), "left")
@@ -75,7 +78,7 @@ def _ranked(rows: DataFrame, plan: DataFrame, bins: int, most_copies: float) ->
         .withColumn("part", F.col("expected") - F.col("whole"))
         .withColumn("odds", F.when(F.col("part") > 0, (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))))
         .withColumn("rank", F.when(F.col("odds").isNotNull(), F.struct("odds", "__id", "__salt")))
-        .withColumn("bin", F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * bins), F.lit(bins - 1)).cast("int"))
+        .withColumn("bin", F.least(F.floor(spread / (1 + spread) * bins), F.lit(bins - 1)).cast("int"))
         .drop("expected", "part")
     )
 
