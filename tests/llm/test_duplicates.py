@@ -108,7 +108,7 @@ def test_t_occurrence_counts_what_short_and_long_lists_hold():
     for _ in range(50):
         lists = [np.array(sorted(rng.sample(range(30), rng.randrange(1, 30)))) for _ in range(12)]
         t = rng.randrange(1, 12)
-        found, count = ngram_join.t_occurrence(np.zeros(12), t, lists, 30)
+        found, count = ngram_join.t_occurrence(t, lists)
         full = np.bincount(np.concatenate(lists), minlength=30)
         assert found.tolist() == np.flatnonzero(full >= t).tolist() and count.tolist() == full[full >= t].tolist()
 

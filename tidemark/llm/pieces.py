@@ -147,7 +147,7 @@ class Encoder:
 
     def _merge_short(self, sym: np.ndarray, word: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and word numbers after all merges; sym is in order of word, keys by word."""
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        done: list[tuple[np.ndarray, np.ndarray]] = [(sym[:0], word[:0])]  # there may be long words only
         rank = np.full(len(sym), NONE, np.int32)
         merged = np.zeros(len(sym), np.int32)
         i = np.flatnonzero(word[1:] == word[:-1])
