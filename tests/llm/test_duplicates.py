@@ -68,6 +68,25 @@ def test_substrings_of_random_texts(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substrings_of_batches_that_come_one_by_one(spark, docs, corpus, tmp_path):
+    """Three batches in separate calls, the last to an index that is opened again; larger and smaller ids in any order."""
+    rows = [(i, t) for i, t, *_ in corpus]
+    parts = [rows[0::3], rows[1::3], rows[2::3]]
+    table = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), block_bytes=600)
+    for n, part in enumerate(parts):
+        if n == 2:
+            substring_dedup.FingerprintIndex(spark, str(tmp_path / "index")).blocks.append(table([(1, "left by a batch that failed " * 20)]), "doc_id", "text")
+            index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
+        index.add(table(part))
+        got = index.results().collect() if n != 1 else []
+        want = kept_words([r for p in parts[: n + 1] for r in p])
+        assert n == 1 or listed(got, "id", "n_words", "n_removed", "kept") == sorted(want, key=repr)
+    assert index.marks and (tmp_path / "index").exists()
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
 def components_of(rows):
     """component_id by row of (id, text), linking rows whose sets are alike."""
     u, sets = Union(), [shingles(t) for _, t in rows]

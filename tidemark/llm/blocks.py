@@ -18,26 +18,53 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import _STAGED
 from .common import _delete, partitions, shared_dir
 from .words import U64, give_back
 
 ROW_BITS = 20
 
 
-class Blocks:
-    """The stored table; `drop` removes it."""
+SCHEMA = "block long, ids array<long>, texts array<string>"
+
+
+def attach(spark: SparkSession, path: str, schema: str, column: str, n: int) -> str:
+    """Name of a table of this session over files that are bucketed by column at path."""
+    name = f"t_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({column}) INTO {n} BUCKETS")
+    return name
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 2 << 20):
-        self.spark = docs.sparkSession
+
+class Blocks:
+    """A stored table of blocks; `drop` removes it."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, n: int | None = None):
+        """An empty table at path (by default in the shared folder), or the one that is there, in n buckets."""
+        self.spark, self.n = spark, n or partitions(spark)
+        self.path = path or f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+        self.name = attach(spark, self.path, SCHEMA, "block", self.n)
+        _STAGED[self.path] = spark
+        self.table = spark.table(self.name)
+
+    @classmethod
+    def of(cls, docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 2 << 20) -> Blocks:
+        blocks = cls(docs.sparkSession)
+        blocks.append(docs, id_col, text_col, block_bytes)
+        return blocks
+
+    def append(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 2 << 20) -> int:
+        """Store docs in new blocks; the number of the first that there may be. Larger numbers are newer."""
+        held = self.spark.table(self.name).agg(F.max("block")).first()[0]
+        base = 0 if held is None else (held >> ROW_BITS) + 1
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            number = TaskContext.get().partitionId() << ROW_BITS
+            number = (base + TaskContext.get().partitionId()) << ROW_BITS
             ids: list[pa.Array] = []
             texts: list[pa.Array] = []
             size = count = 0
@@ -71,23 +98,26 @@ class Blocks:
                 yield flush()
             give_back()
 
-        self.n = partitions(self.spark)
-        self.name = f"blocks_{uuid.uuid4().hex}"
-        self.path = f"{shared_dir(self.spark)}/{self.name}"
-        packed = rows.mapInArrow(pack, "block long, ids array<long>, texts array<string>")
-        packed.write.option("path", self.path).bucketBy(self.n, "block").saveAsTable(self.name)
+        rows.mapInArrow(pack, SCHEMA).write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
         self.table = self.spark.table(self.name)
+        return base << ROW_BITS
+
+    def keep(self) -> None:
+        """The files stay when the program ends."""
+        _STAGED.pop(self.path, None)
 
     def drop(self) -> None:
+        self.keep()
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         _delete(self.spark, self.path)
 
-    def run(self, work: Callable[[dict], Iterator[pa.RecordBatch]], schema: str, **given: DataFrame) -> DataFrame:
-        """work over each block, a dict of its columns, with a list per given table of that table's rows of the block.
+    def run(self, work: Callable[[dict], Iterator[pa.RecordBatch]], schema: str, only: Column | None = None, **given: DataFrame) -> DataFrame:
+        """work over each block (or those that meet `only`), a dict of its columns, with a list per given table of that table's rows of the block.
 
         A given table has the column block; its other columns must not grow beyond the block's own size.
         """
-        joined = self.table
+        joined = self.table if only is None else self.table.where(only)
         for name, rows in given.items():
             others = [c for c in rows.columns if c != "block"]
             joined = joined.join(rows.groupBy("block").agg(F.collect_list(F.struct(*others)).alias(name)), "block", "left")
@@ -138,4 +168,4 @@ def first_of(values: np.ndarray) -> np.ndarray:
     return out
 
 
-__all__ = ["ROW_BITS", "U64", "Blocks", "first_of", "ids_of", "planes", "split_ranges", "unplanes"]
+__all__ = ["ROW_BITS", "U64", "Blocks", "attach", "first_of", "ids_of", "planes", "split_ranges", "unplanes"]

@@ -139,7 +139,7 @@ def link_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     result. Ids are longs.
     """
     spark = docs.sparkSession
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
+    blocks = Blocks.of(docs, id_col, text_col, block_bytes)
     ranges = partitions(spark)
 
     def summarise(row: dict) -> Iterator[pa.RecordBatch]:

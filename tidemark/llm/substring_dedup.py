@@ -6,11 +6,12 @@ id. Two windows can only be equal if their anchors are: a window's anchor is the
 least fingerprint among its runs of `anchor` words, so that neighbouring windows
 mostly share one, and about one anchor per five words has to be remembered.
 
-The index holds sorted, immutable runs of anchors, one table per batch, bucketed
-by fingerprint range. A new batch writes its run, and the run is merged, range
-by range and without a shuffle, with the runs of the batches before it: anchors
-that another document has too are contested, in the new batch and in the older
-blocks alike. Runs are then compacted into one.
+The index holds sorted, immutable runs of anchors, one per batch, bucketed by
+fingerprint range. A new batch writes its run, and the run is merged, range by
+range and without a shuffle, with the run of the batches before it: anchors that
+another document has too are contested, in the new batch and in the older blocks
+alike. Both runs are then compacted into one. The index is a folder that can be
+opened again, so that batches may come days apart.
 
 Contested anchors are verified: all windows over them, and only those, are
 compared by 96 bits of two independent fingerprints of their words, and the least id
@@ -22,19 +23,23 @@ occurs in it.
 from __future__ import annotations
 
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, first_of, ids_of, planes, split_ranges, unplanes
-from .common import _delete, partitions, shared_dir, stage, table, unstage
+from ..staging import _STAGED
+from .blocks import ROW_BITS, Blocks, attach, first_of, ids_of, planes, split_ranges, unplanes
+from .common import _delete, partitions, shared_dir, stage, table
 from .words import U64, Words, give_back, mix, ngrams, words_of
 
 RUN = "range int, hashes binary, which binary, many binary, blocks array<long>"
+MARKS = "block long, range int, bits binary"
 
 
 def _starts(w: Words, window: int) -> np.ndarray:
@@ -85,30 +90,87 @@ def _lists(group: pa.Table, column: str, kind: type) -> list[np.ndarray]:
 
 
 class FingerprintIndex:
-    """Runs of anchors in the shared folder; `merge` takes a batch of blocks in and returns what is contested."""
+    """Texts in blocks, one compacted run of anchors and the contested anchors of all batches, in one folder.
 
-    def __init__(self, spark: SparkSession, window: int, anchor: int):
-        self.spark, self.window, self.anchor = spark, window, anchor
-        self.ranges = partitions(spark)
-        self.runs: list[str] = []
-
-    def _write(self, rows: DataFrame, spread: bool) -> str:
-        name = f"anchors_{uuid.uuid4().hex}"
-        rows = rows.repartition(self.ranges, "range") if spread else rows
-        rows.write.option("path", f"{shared_dir(self.spark)}/{name}").bucketBy(self.ranges, "range").sortBy("range").saveAsTable(name)
-        return name
+    The folder outlives the session unless it is dropped: `add` in another call,
+    or in another program that opens the folder, merges a new batch with the
+    history. A manifest names what belongs to the index; it is replaced last, so
+    a batch that failed is not part of it and can be added again.
+    """
 
-    def _remove(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        _delete(self.spark, f"{shared_dir(self.spark)}/{name}")
+    def __init__(self, spark: SparkSession, root: str | None = None, *, window: int = 13, anchor: int = 6, block_bytes: int = 2 << 20):
+        self.spark, self.block_bytes = spark, block_bytes
+        self.root = (root or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}").rstrip("/")
+        held = self._manifest()
+        if root is None:
+            _STAGED[self.root] = spark
+        self.window, self.anchor, self.ranges = (held[k] for k in ("window", "anchor", "ranges")) if held else (window, anchor, partitions(spark))
+        self.marks: list[str] = held["marks"] if held else []
+        self.run: str | None = held["run"] if held else None
+        self.version = held["version"] if held else -1
+        self.spans: list[list[int]] = held["spans"] if held else []  # first and last block of each batch; others were left by batches that failed
+        self.blocks = Blocks(spark, f"{self.root}/blocks", self.ranges)
+        self.blocks.keep()
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+        return path, path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+
+    def _manifest(self) -> dict | None:
+        path, fs = self._fs()
+        at = path(f"{self.root}/manifests")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{names[-1]}", wholetext=True).first()[0]) if names else None
+
+    def _commit(self) -> None:
+        self.version += 1
+        path, fs = self._fs()
+        fresh, at = path(f"{self.root}/manifest-{self.version:09d}"), path(f"{self.root}/manifests/{self.version:09d}")
+        out = fs.create(fresh, True)
+        out.write(bytearray(json.dumps({"window": self.window, "anchor": self.anchor, "ranges": self.ranges, "marks": self.marks, "run": self.run, "spans": self.spans, "version": self.version}).encode()))
+        out.close()
+        fs.mkdirs(at.getParent())
+        if not fs.rename(fresh, at):
+            raise RuntimeError(f"another writer has committed version {self.version}")
 
-    def merge(self, blocks: Blocks, batch: int, batches: int) -> DataFrame:
-        """Contested anchors of this batch, and those it makes contested in older blocks: block, range, bits."""
-        window, anchor, ranges = self.window, self.anchor, self.ranges
+    def _write(self, rows: DataFrame, spread: bool) -> str:
+        """A run's folder; its files are bucketed by range."""
+        at = f"{self.root}/run-{uuid.uuid4().hex}"
+        name = attach(self.spark, at, RUN, "range", self.ranges)
+        (rows.repartition(self.ranges, "range") if spread else rows).write.insertInto(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return at
+
+    def _read(self, run: str) -> DataFrame:
+        return self.spark.table(attach(self.spark, run, RUN, "range", self.ranges))
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> None:
+        """Take in a table of documents, in so many batches, each merged with all before it."""
+        first = self.blocks.append(docs, id_col, text_col, self.block_bytes)
+        block, gone = F.col("block"), []
+        for k in range(batches):
+            gone += self._merge((block >= first) & ((F.shiftright(block, ROW_BITS) + block) % batches == k))
+        newest = self.blocks.table.agg(F.max("block")).first()[0]
+        if newest is not None and newest >= first:
+            self.spans.append([first, newest])
+        self._commit()
+        for run in gone:
+            _delete(self.spark, run)
+
+    def _live(self) -> Column:
+        """Which blocks are part of the index."""
+        return reduce(lambda a, b: a | b, (F.col("block").between(*span) for span in self.spans), F.lit(False))
+
+    def _merge(self, only: Column) -> list[str]:
+        """Merge the blocks that meet `only`; the runs that are not needed any more.
+
+        The batch's run is written, merged with the history's and compacted
+        with it, and what is contested is noted. Contested are anchors that several documents have, in the batch's blocks
+        and in older ones alike: block, range, bits.
+        """
+        window, anchor, ranges, blocks = self.window, self.anchor, self.ranges, self.blocks
 
         def ask(row: dict) -> Iterator[pa.RecordBatch]:
-            if row["block"] % batches != batch:
-                return
             w = words_of(row["texts"])
             starts, low = anchored(w, window, anchor)
             doc = w.doc[starts]
@@ -125,8 +187,7 @@ class FingerprintIndex:
                 names=["range", "hashes", "which", "many", "blocks"],
             )
 
-        new = self._write(blocks.run(ask, RUN), True)
-        old = self.runs[0] if self.runs else None
+        new, old = self._write(blocks.run(ask, RUN, only), True), self.run
 
         def flat(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Fingerprints, blocks and marks of a range's runs, one after the other."""
@@ -160,22 +221,26 @@ class FingerprintIndex:
                 }
             )
 
-        read = lambda name: self.spark.table(name) if name else self.spark.table(new).limit(0)
-        pair = self.spark.table(new).groupBy("range").cogroup(read(old).groupBy("range"))
-        out = stage(pair.applyInArrow(contested, "block long, range int, bits binary"), "contested")
-        if old:
-            merged = self._write(pair.applyInArrow(compact, RUN), False)
-            self._remove(old)
-            self._remove(new)
-            self.runs = [merged]
-        else:
-            self.runs = [new]
-        return out
+        fresh = self._read(new)
+        pair = fresh.groupBy("range").cogroup((self._read(old) if old else fresh.limit(0)).groupBy("range"))
+        marks = f"{self.root}/contested-{uuid.uuid4().hex}"
+        pair.applyInArrow(contested, MARKS).write.parquet(marks)
+        self.marks.append(marks)
+        self.run = self._write(pair.applyInArrow(compact, RUN), False) if old else new
+        return [old, new] if old else []
+
+    def contested(self) -> DataFrame:
+        return self.spark.read.schema(MARKS).parquet(*self.marks)
+
+    def results(self) -> DataFrame:
+        """id, n_words, n_removed, kept of all documents that the index holds."""
+        self.blocks.table = self.spark.table(self.blocks.name).where(self._live())
+        return _resolve(self.blocks, self.contested(), self.window, self.anchor, self.ranges)
 
     def drop(self) -> None:
-        for name in self.runs:
-            self._remove(name)
-        self.runs = []
+        self.blocks.drop()
+        _STAGED.pop(self.root, None)
+        _delete(self.spark, self.root)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, anchor: int = 6, batches: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
@@ -187,14 +252,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     others. Other columns are ignored; an empty table gives an empty result. Ids
     are longs.
     """
-    spark = docs.sparkSession
-    blocks = Blocks(docs, id_col, text_col, block_bytes)
-    index = FingerprintIndex(spark, window, anchor)
-    ranges = index.ranges
-    marks = None
-    for k in range(batches):
-        got = index.merge(blocks, k, batches)
-        marks = got if marks is None else marks.union(got)
+    index = FingerprintIndex(docs.sparkSession, window=window, anchor=anchor, block_bytes=block_bytes)
+    index.add(docs, id_col, text_col, batches)
+    return index.results().withColumnRenamed("id", id_col)
+
+
+def _resolve(blocks: Blocks, marks: DataFrame, window: int, anchor: int, ranges: int) -> DataFrame:
+    """Contested anchors verified, and the words of repeated windows cut out."""
 
     def verify(row: dict) -> Iterator[pa.RecordBatch]:
         if not row["marks"]:
@@ -242,8 +306,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     asked = blocks.run(verify, "range int, block long, f binary, g binary, least binary, many binary", marks=marks)
     told = stage(asked.groupBy("range").applyInArrow(owners, "block long, range int, f binary, g binary, first binary"), "owners")
-    unstage(marks)
-    index.drop()
 
     def cut(row: dict) -> Iterator[pa.RecordBatch]:
         texts = row["texts"].fill_null("")
@@ -282,8 +344,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays([row["ids"], pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    out = blocks.run(cut, "id long, n_words long, n_removed long, kept string", told=told)
-    return out.withColumnRenamed("id", id_col)
+    return blocks.run(cut, "id long, n_words long, n_removed long, kept string", told=told)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
