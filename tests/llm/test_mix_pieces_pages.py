@@ -1,6 +1,7 @@
 """Mixing, pieces, pages and the pipeline."""
 
 import collections
+import random
 
 import corpus_pipeline
 import numpy as np
@@ -189,12 +190,54 @@ def test_names_of_wrappers_lose_no_article(page, text):
     assert html_text.main_text(page, None) == text
 
 
+def shaped(page):
+    nodes, *arrays = html_text.elements(html_text.parse(page))
+    return nodes, html_text.Shape(*arrays)
+
+
 def test_trees_are_matched_in_order_for_the_most_nodes():
-    a, b = html_text.parse("<div><p>x</p><ul><li>1<li>2</ul><p>y</p></div>"), html_text.parse("<div><ul><li>1<li>3<li>4</ul><p>y</p></div>")
-    pairs = [(x.tag, x.text, y.text) for x, y in html_text.match(a, b)]
+    (an, a), (bn, b) = shaped("<div><p>x</p><ul><li>1<li>2</ul><p>y</p></div>"), shaped("<div><ul><li>1<li>3<li>4</ul><p>y</p></div>")
+    pairs = [(an[x].tag, an[x].text, bn[y].text) for x, y in html_text.align(a, b).items()]
     assert len(pairs) == 6 and ("p", "y", "y") in pairs and ("li", "1", "1") in pairs
 
 
+@pytest.mark.parametrize("wide", [4096, 0])
+def test_alignment_is_the_best_of_all(monkeypatch, wide):
+    monkeypatch.setattr(html_text, "WIDE", wide)
+    rng = random.Random(5)
+
+    def tree(depth):
+        tag = rng.choice("bi")
+        return f"<{tag}>{rng.choice(['', 'x', 'y'])}{''.join(tree(depth - 1) for _ in range(rng.randrange(4) if depth else 0))}</{tag}>"
+
+    def best(xs, ys, weigh):
+        """Weight of the best matching of two lists, by trying all."""
+        if not xs or not ys:
+            return 0
+        w = weigh(xs[0], ys[0])
+        return max(best(xs[1:], ys, weigh), best(xs, ys[1:], weigh), w + best(xs[1:], ys[1:], weigh) if w else 0)
+
+    for _ in range(80):
+        (_, a), (_, b) = shaped(tree(2)), shaped(tree(2))
+        form = lambda x, y: (1 + best(a.kids[x], b.kids[y], form)) if a.keys[x] == b.keys[y] else 0  # noqa: B023, E731
+        whole = lambda x, y: 2 * a.size[x] if a.whole[x] == b.whole[y] else form(x, y)  # noqa: B023, E731
+        pairs = html_text.align(a, b)
+        assert pairs[0] == 0 and all(a.keys[x] == b.keys[y] for x, y in pairs.items())
+        for x, y in pairs.items():
+            kids = [(k, pairs[k]) for k in a.kids[x] if k in pairs]
+            assert all(j in b.kids[y] for _, j in kids) and [j for _, j in kids] == sorted(j for _, j in kids)
+            assert sum(whole(i, j) for i, j in kids) == best(a.kids[x], b.kids[y], whole)
+
+
+def test_deep_and_wide_pages():
+    deep = "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000
+    assert html_text.main_text(deep, None) == "deep" and html_text.main_text("<b>" * 3000 + "x", None) == "x"
+    (_, a), (_, b) = shaped(deep), shaped(deep.replace("deep", "other"))
+    assert len(html_text.align(a, b)) == 5003 - 1
+    wide = lambda n: "<ul>" + "".join(f"<li><a>item {k * n}</a><b>x</b></li>" for k in range(2000)) + "</ul>"
+    assert len(html_text.align(shaped(wide(3))[1], shaped(wide(7))[1])) == 2 + 3 * 2000
+
+
 def test_wrappers_take_constants_out(spark):
     page = lambda k: f"<html><body><div>Our shop sells shoes</div><div><p>story {k} about {k * k}</p></div><div>Call us</div></body></html>"
     rows = [(k, f"http://h.example/{k}", page(k)) for k in range(8)] + [(50, None, None), (51, "nonsense", ""), (52, "https://lone.example", "<p>alone</p>"), (None, "http://h.example/x", page(3))]
@@ -227,6 +270,15 @@ def test_constants_of_marked_articles_go_and_repeated_articles_stay(spark):
     assert extracted(spark, pages) == want == extracted(spark, pages, broadcast_bytes=0)
 
 
+def test_a_constant_is_found_in_its_slot_wherever_it_stands(spark):
+    """Of a layout that is rare on its host, a notice behind a varying number of paragraphs is template; the same words elsewhere are not."""
+    rare = lambda k: "<body><section>" + "".join(f"<p>part {j} of {k}</p>" for j in range(1 + k % 3)) + "<p>Call us</p></section></body>"
+    usual = lambda k: f"<body><div><p>news {k}</p></div><section><p>Call me {k}</p></section></body>"
+    pages = [("h.example", rare(k)) for k in range(9)] + [("h.example", usual(k)) for k in range(30)]
+    want = [" ".join(f"part {j} of {k}" for j in range(1 + k % 3)) for k in range(9)] + [f"news {k} Call me {k}" for k in range(30)]
+    assert extracted(spark, pages) == want == extracted(spark, pages, broadcast_bytes=0)
+
+
 def test_pipeline_keeps_one_of_each_and_loses_no_clean_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = [docs]
