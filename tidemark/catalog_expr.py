@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import EMB, EV, POS, RGB, _smooth, colours, events, positions, query, rasters, table
 from .functions import colour, dates, geo, text
-from .operators import arrays, ledger, stats
+from .operators import arrays, ledger, shots, stats
 from .sources import media, tables, tracks
 from .staging import _STAGED, shared_dir
 
@@ -330,3 +330,52 @@ def median_capture(spark: SparkSession, d: str) -> DataFrame:
     """The upper median of each card's captures."""
     rows = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("card"), dates.seconds(F.col("o_orderdate")).alias("at_s"))
     return stats.upper_median(rows, ["card"], "at_s")
+
+
+@query("""WITH q AS (SELECT p_partkey AS k, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, p_partkey % 4 AS t, p_partkey % 8 + 1 AS o, p_partkey % 3 = 0 AS f FROM part), a AS (SELECT k, CASE WHEN f THEN 40 - x ELSE x END AS x, y, t, o, CASE WHEN t % 2 = 1 THEN 60 ELSE 40 END AS w, CASE WHEN t % 2 = 1 THEN 40 ELSE 60 END AS h FROM q),
+u AS (SELECT k, o, w, h, CASE t WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN w - x ELSE w - y END AS x, CASE t WHEN 0 THEN y WHEN 1 THEN h - x WHEN 2 THEN h - y ELSE x END AS y FROM a), s AS (SELECT *, CASE WHEN o >= 5 THEN h ELSE w END AS sw, CASE WHEN o >= 5 THEN w ELSE h END AS sh FROM u)
+SELECT k, round(CASE o WHEN 1 THEN x WHEN 2 THEN sw - x WHEN 3 THEN sw - x WHEN 4 THEN x WHEN 5 THEN y WHEN 6 THEN y ELSE sw - y END, 6) AS x, round(CASE o WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN sh - y WHEN 4 THEN sh - y WHEN 5 THEN x WHEN 6 THEN sh - x WHEN 7 THEN sh - x ELSE x END, 6) AS y FROM s""")
+def stored_place(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of turned and flipped pictures in the stored ones."""
+    k = F.col("p_partkey")
+    at = geo.stored_place((k % 40).cast("double"), F.col("p_size").cast("double"), F.lit(40.0), F.lit(60.0), k % 4, k % 3 == 0, F.lit(False), k % 8 + 1)
+    return table(spark, d, "part").select(k.alias("k"), F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
+
+
+@query("""WITH n AS (SELECT concat('f', p_partkey, CASE p_partkey % 4 WHEN 0 THEN '.CR3' WHEN 1 THEN '.jpg' WHEN 2 THEN '.dng' ELSE '.pdf' END) AS name FROM part) SELECT name, name LIKE '%.CR3' OR name LIKE '%.dng' AS is_raw, name NOT LIKE '%.jpg' AS unpublishable FROM n""")
+def kinds_of_names(spark: SparkSession, d: str) -> DataFrame:
+    """Which of a folder's names are raw files, and which cannot be published."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("f"), k, F.element_at(F.array(*(F.lit(x) for x in (".CR3", ".jpg", ".dng", ".pdf"))), (k % 4 + 1).cast("int")))
+    return table(spark, d, "part").select(name.alias("name")).select("name", (text.media_kind(F.col("name")) == "raw").alias("is_raw"), (~text.extension(F.col("name")).isin(text.JPEG)).alias("unpublishable"))
+
+
+@query("""WITH f AS (SELECT DISTINCT c_custkey % 60 AS scope, upper(concat('img', c_custkey)) AS stem FROM customer), k AS (SELECT DISTINCT c_custkey % 60 AS scope, upper(concat('IMG', c_custkey)) AS stem FROM customer WHERE c_custkey % 60 < 30 AND (c_custkey % 60 < 15 OR c_custkey % 2 = 0))
+SELECT scope, count(*) AS shots, count(*) FILTER (WHERE k.stem IS NULL) AS new_shots, scope IN (SELECT scope FROM k) AS seen_before FROM f LEFT JOIN k USING (scope, stem) GROUP BY scope HAVING count(*) FILTER (WHERE k.stem IS NULL) > 0""")
+def cards_to_announce(spark: SparkSession, d: str) -> DataFrame:
+    """Cards with shots that are not known yet."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select((k % 60).alias("scope"), k.alias("k"))
+    known = rows.where("scope < 30 AND (scope < 15 OR k % 2 = 0)").select("scope", F.concat(F.lit("IMG"), "k").alias("stem"))
+    return shots.worth_announcing(shots.card_summaries(rows.select("scope", F.concat(F.lit("img"), "k").alias("stem")), known))
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'preview' WHEN p_partkey % 3 = 0 THEN 'system' WHEN p_partkey % 5 = 0 THEN 'decoder' END AS rung, CASE WHEN p_partkey % 2 = 0 THEN p_size WHEN p_partkey % 3 = 0 THEN p_size + 100 WHEN p_partkey % 5 = 0 THEN p_size + 200 END AS value,
+CASE WHEN p_partkey % 2 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN 'preview: none' WHEN p_partkey % 5 = 0 THEN 'preview: none' ELSE 'preview: none; decoder: failed' END AS reasons FROM part""")
+def first_rung(spark: SparkSession, d: str) -> DataFrame:
+    """The first of several ways to a picture that gave one, and why those before it did not."""
+    k, size, null = F.col("p_partkey"), F.col("p_size"), F.lit(None).cast("string")
+    rung = shots.first_rung({"preview": (F.when(k % 2 == 0, size), F.lit("none")), "system": (F.when(k % 3 == 0, size + 100), null), "decoder": (F.when(k % 5 == 0, size + 200), F.lit("failed"))})
+    return table(spark, d, "part").select(k.alias("k"), rung.alias("r")).select("k", "r.rung", "r.value", "r.reasons")
+
+
+@query("SELECT concat('Look ', c_custkey) AS name, c_custkey / 10.0 AS exposure FROM customer WHERE c_custkey % 50 = 7")
+def presets(spark: SparkSession, d: str) -> DataFrame:
+    """Presets written and listed again, without those whose name or body cannot be used."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").where(k % 50 < 10).select(F.concat(F.when(k % 50 == 7, "Look ").when(k % 50 == 8, "a/").otherwise("bad "), k).alias("name"), F.when(k % 50 == 7, F.concat(F.lit('{"exposure": '), (k / 10).cast("string"), F.lit("}"))).otherwise("{").alias("body"))
+    path = f"{shared_dir(spark)}/presets-{uuid.uuid4().hex}"
+    _STAGED[path] = spark
+    tables.write_presets(rows, path)
+    found = spark.read.text(path).select("name", tables.recipe(F.col("value")).alias("recipe")).where("recipe.problem is null")
+    return found.select("name", F.col("recipe.exposure").alias("exposure"))

@@ -75,6 +75,36 @@ def geo_status(has_date: Column, has_position: Column, is_video: Column) -> Colu
     return F.when(is_video, "not_supported").when(has_date & has_position, "ok").when(has_date, "no_location").when(has_position, "no_date").otherwise("no_date_or_location")
 
 
+def stored_place(x: Column, y: Column, width: Column, height: Column, turns: Column, flip_x: Column, flip_y: Column, orientation: Column, degrees: Column | float = 0.0) -> Column:
+    """struct<x, y>: where a pixel of the edited picture lies in the stored one.
+
+    width and height are those of the picture after its quarter turns; the edit
+    turned it by degrees around its centre, flipped it, turned it by quarters,
+    and the file's orientation (1 to 8) came first.
+    """
+    t = F.radians(degrees if isinstance(degrees, Column) else F.lit(float(degrees)))
+    rx, ry = x - width / 2, y - height / 2
+    ax, ay = width / 2 + rx * F.cos(t) + ry * F.sin(t), height / 2 - rx * F.sin(t) + ry * F.cos(t)
+    ax, ay = F.when(flip_x, width - ax).otherwise(ax), F.when(flip_y, height - ay).otherwise(ay)
+    odd = turns % 2 == 1
+    w, h = F.when(odd, height).otherwise(width), F.when(odd, width).otherwise(height)  # before the quarter turns
+
+    def pick(key: Column, *cases: tuple[Column, Column]) -> tuple[Column, Column]:
+        out = []
+        for side in (0, 1):
+            c = F.lit(None).cast("double")
+            for k, case in enumerate(cases):
+                c = F.when(key == k, case[side]).otherwise(c)
+            out.append(c)
+        return out[0], out[1]
+
+    ux, uy = pick(turns, (ax, ay), (ay, h - ax), (w - ax, h - ay), (w - ay, ax))
+    tall = orientation >= 5
+    sw, sh = F.when(tall, h).otherwise(w), F.when(tall, w).otherwise(h)
+    sx, sy = pick(orientation - 1, (ux, uy), (sw - ux, uy), (sw - ux, sh - uy), (ux, sh - uy), (uy, ux), (uy, sh - ux), (sw - uy, sh - ux), (sw - uy, ux))
+    return F.struct(sx.alias("x"), sy.alias("y"))
+
+
 def inscribed(width: Column, height: Column, degrees: Column) -> Column:
     """struct<width, height> of the largest upright rectangle inside a rotated one."""
     s, c = F.abs(F.sin(F.radians(degrees))), F.abs(F.cos(F.radians(degrees)))

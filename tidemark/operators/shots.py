@@ -56,6 +56,34 @@ def set_hash(line: Column) -> Column:
     return F.sha2(F.concat_ws(":", part(0), part(1)), 256)
 
 
+def card_summaries(files: DataFrame, known: DataFrame, scope: str = "scope", stem: str = "stem") -> DataFrame:
+    """scope, shots, new_shots, seen_before of cards; stems are compared whatever their case. known has the same two columns."""
+    mine = files.select(F.col(scope), F.upper(stem).alias("_stem")).distinct()
+    held = known.select(F.col(scope).alias("_scope"), F.upper(stem).alias("_held")).distinct()
+    rows = mine.join(held, F.col(scope).eqNullSafe(F.col("_scope")) & (F.col("_stem") == F.col("_held")), "left")
+    counted = rows.groupBy(scope).agg(F.count("*").alias("shots"), F.count_if(F.col("_held").isNull()).alias("new_shots"))
+    seen = held.select("_scope").distinct()
+    return counted.join(seen, F.col(scope).eqNullSafe(F.col("_scope")), "left").select(scope, "shots", "new_shots", F.col("_scope").isNotNull().alias("seen_before"))
+
+
+def worth_announcing(summaries: DataFrame) -> DataFrame:
+    """Cards with something new on them."""
+    return summaries.where("new_shots > 0")
+
+
+def first_rung(rungs: dict[str, tuple[Column, Column]]) -> Column:
+    """struct<rung, value, reasons> of the first rung, in order, that has a value; rungs: name to (value, why not). Reasons of all that had none before it."""
+    none = F.lit(None)
+    value, name = none, none.cast("string")
+    for k, (v, _) in reversed(list(rungs.items())):
+        value, name = F.coalesce(v, value), F.when(v.isNotNull(), k).otherwise(name)
+    tried, open_ = [], F.lit(True)
+    for k, (v, why) in rungs.items():
+        tried.append(F.when(open_ & v.isNull() & why.isNotNull(), F.concat(F.lit(f"{k}: "), why)))
+        open_ = open_ & v.isNull()
+    return F.struct(name.alias("rung"), value.alias("value"), F.array_join(F.array(*tried), "; ").alias("reasons"))
+
+
 def content_copies(rows: DataFrame, content: str, ident: str) -> DataFrame:
     """ident, sha256, first_id and n of rows that share their content."""
     hashed = rows.select(ident, F.sha2(content, 256).alias("sha256"))

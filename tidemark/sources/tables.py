@@ -157,3 +157,26 @@ def look_of(key: Column) -> Column:
     after = F.regexp_replace(key, "^(film|builtin):", "")
     source = F.when(key == "neutral", "neutral").when(key.startswith("film:"), "film").when(key.startswith("builtin:"), "builtin").otherwise("library")
     return F.struct(source.alias("source"), F.when(key != "neutral", after).alias("name"))
+
+
+def read_presets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(presets, errors): name and recipe of the .json files of a folder, and name and problem of those that cannot be used."""
+    from ..functions.text import name_problem
+
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    named = files.select(F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]*)\.json$", 1)).alias("name"), recipe(F.col("value")).alias("recipe"))
+    rows = named.withColumn("problem", F.coalesce(name_problem(F.col("name")), F.col("recipe.problem")))
+    return rows.where("problem is null").select(F.trim("name").alias("name"), "recipe"), rows.where("problem is not null").select("name", "problem")
+
+
+def write_presets(presets: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """Each preset (name, body) as one line of a folder of its own under path; those whose name may not be used, with their problem.
+
+    Without overwrite an existing folder is an error, and nothing is written.
+    """
+    from ..functions.text import name_problem
+
+    rows = presets.withColumn("problem", name_problem(F.col("name")))
+    good = rows.where("problem is null").select(F.trim("name").alias("name"), "body")
+    good.repartition("name").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("name").text(path)
+    return rows.where("problem is not null").select("name", "problem")
