@@ -254,4 +254,5 @@ def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """link_embeddings of all vectors at a cosine of 0.95; unusable vectors link with nothing."""
     return link_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

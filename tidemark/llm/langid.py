@@ -189,6 +189,7 @@ def learned_from(id_col: str = "doc_id") -> Column:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify of all documents by a model that two thirds of the labelled ones train; und for texts without a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs, where=learned_from())
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))

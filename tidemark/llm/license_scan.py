@@ -257,4 +257,5 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_licenses of all documents with production parameters; null texts have no words."""
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))

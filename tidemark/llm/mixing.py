@@ -166,5 +166,6 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_sources of all documents with production parameters; null texts have size 0, a null source is the last."""
     docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -295,4 +295,5 @@ def _across(wide: DataFrame, postings: DataFrame, found: DataFrame, percent: int
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """link_documents of all documents by five-word shingles at 80 percent; null texts have empty sets."""
     return link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

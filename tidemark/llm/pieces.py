@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +38,8 @@ from .common import table
 from .words import U64, give_back, mix, text_buffer
 from .words import pieces as slices
 
-MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: Where the vocabulary file lies unless a caller says otherwise.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 ESCAPED = 0x110000  # stands for a U+2581 that the text itself has
 LONG = 64
@@ -468,4 +468,5 @@ def decode(encoded: DataFrame, *, ids_col: str = "ids", text_col: str = "text",
 
 
 def op5_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode of all documents with dropout 0.1; null texts have no pieces."""
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -263,4 +263,5 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_secrets of all documents with production parameters; null texts count as empty."""
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("found")

@@ -348,5 +348,6 @@ def _resolve(blocks: Blocks, marks: DataFrame, window: int, anchor: int, ranges:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats of all documents, kept words as a digest; null texts have no words."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
