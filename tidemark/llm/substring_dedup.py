@@ -254,7 +254,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     index = FingerprintIndex(docs.sparkSession, window=window, anchor=anchor, block_bytes=block_bytes)
     index.add(docs, id_col, text_col, batches)
-    return index.results().withColumnRenamed("id", id_col)
+    out = index.results().withColumnRenamed("id", id_col)
+    for path in (index.run, *index.marks):  # all that is read from now on is the blocks and what results() has staged
+        _delete(index.spark, path)
+    return out
 
 
 def _resolve(blocks: Blocks, marks: DataFrame, window: int, anchor: int, ranges: int) -> DataFrame:
