@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import partitions, stage, unstage
+
+
+#: Links that a task of a round takes at least; a small graph needs no more tasks than that makes, however many partitions the session has.
+PER_TASK = 100_000
 
 
-def _is_star(edges: DataFrame) -> bool:
+def _is_star(edges: DataFrame, tasks: int) -> bool:
     """Whether every node is either a centre or hangs on one centre only."""
     ends = edges.select(F.col("big").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("small", F.lit(0), F.lit(1)))
     roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return roles.where("up > 1 or (up = 1 and down = 1)").limit(1).count() == 0
+    return roles.where("up > 1 or (up = 1 and down = 1)").coalesce(tasks).limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,14 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     tidy = edges.where("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct()
     now = stage(tidy, "links")
-    while not _is_star(now):
+    tasks = max(1, min(partitions(edges.sparkSession), math.ceil(now.count() / PER_TASK)))  # no round has more links than the one before
+    while not _is_star(now, tasks):
         both = now.select(F.col("big").alias("x"), F.col("small").alias("y")).union(now.select(F.col("small").alias("x"), F.col("big").alias("y")))
-        least = stage(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
-        large = stage(both.where("y > x").join(least, "x").select(F.col("y").alias("big"), F.col("m").alias("small")).distinct(), "large-star")
-        down = stage(large.groupBy("big").agg(F.min("small").alias("m")), "least")
+        least = stage(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")).coalesce(tasks), "least")
+        large = stage(both.where("y > x").join(least, "x").select(F.col("y").alias("big"), F.col("m").alias("small")).distinct().coalesce(tasks), "large-star")
+        down = stage(large.groupBy("big").agg(F.min("small").alias("m")).coalesce(tasks), "least")
         met = large.join(down, "big")
         small = met.select("big", F.col("m").alias("small")).union(met.where("small <> m").select(F.col("small").alias("big"), F.col("m").alias("small"))).distinct()
-        after = stage(small, "small-star")
+        after = stage(small.coalesce(tasks), "small-star")
         unstage(now, least, large, down)
         now = after
     roots = now.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct()

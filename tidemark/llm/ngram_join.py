@@ -269,28 +269,29 @@ def _across(wide: DataFrame, postings: DataFrame, found: DataFrame, percent: int
         search(pick(sets, True), pick(sets, False), percent, forest, pick(names, True), pick(names, False), False)
         return _links([(c, r) for c in sorted(set(comp)) if (r := forest.root(c)) != c])
 
-    def searched(asking: DataFrame, labelled: DataFrame) -> DataFrame:
-        """asking: members with the part that they ask and a chunk; each chunk against that part of its family."""
+    def searched(asking: DataFrame, tasks: DataFrame, labelled: DataFrame) -> DataFrame:
+        """asking: members with the part that they ask and a chunk; each chunk against that part of its family. tasks: what asks what."""
         columns = ["family", "chunk", "target", "asks", "rep", "tokens", "component"]
-        asking = stage(asking.withColumn("asks", F.lit(True)).select(columns), "asking")
-        theirs = labelled.withColumnRenamed("part", "target").join(asking.select("family", "target", "chunk").distinct(), ["family", "target"]).withColumn("asks", F.lit(False)).select(columns)
-        return asking.union(theirs).groupBy("family", "chunk", "target").applyInArrow(cross, "a long, b long")
+        mine = asking.withColumn("asks", F.lit(True)).select(columns)
+        theirs = labelled.withColumnRenamed("part", "target").join(tasks, ["family", "target"]).withColumn("asks", F.lit(False)).select(columns)
+        return mine.union(theirs).groupBy("family", "chunk", "target").applyInArrow(cross, "a long, b long")
 
     once = label(found)
-    first = searched(once.where("part > 0").withColumn("target", F.lit(0)).withColumnRenamed("part", "chunk"), once)
+    asking = once.where("part > 0").withColumn("target", F.lit(0)).withColumnRenamed("part", "chunk")
+    first = searched(asking, asking.select("family", "target", "chunk").distinct(), once)
     both = stage(found.union(first), "links")
     twice = label(both)
     main = twice.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     outside = stage(twice.join(stage(main, "main"), "family").where("component <> main").drop("main", "part"), "outside")
     # A member asks the parts that hold a token of its prefix, not all: any two that link share one.
-    spots = stage(wide.select("rep", "family", "part").join(postings, "rep").select("family", "token", F.col("part").alias("target")).distinct(), "spots")
+    spots = wide.select("rep", "family", "part").join(postings, "rep").select("family", "token", F.col("part").alias("target")).distinct()
     asked = outside.select("rep", "family", "size").join(postings, "rep").join(spots, ["family", "token"]).select("rep", "family", "target", "size").distinct()
     asked = stage(asked, "asked")
     chunks = F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / part_tokens)).alias("chunks")
-    loads = stage(asked.groupBy("family", "target").agg(chunks), "loads")
+    loads = asked.groupBy("family", "target").agg(chunks)
     chunk = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int")
-    placed = asked.drop("size").join(loads, ["family", "target"]).withColumn("chunk", chunk).drop("chunks")
-    second = searched(outside.join(placed, ["rep", "family"]), twice)
+    placed = stage(asked.drop("size").join(loads, ["family", "target"]).withColumn("chunk", chunk).drop("chunks"), "chunks")
+    second = searched(outside.join(placed, ["rep", "family"]), placed.select("family", "target", "chunk").distinct(), twice)
     return stage(both.union(second), "links")
 
 
