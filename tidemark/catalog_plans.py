@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import BYTES_LIMIT, CHECKS, DATE_LIMIT, EPOCH, EV, NOW, PIXELS, events, order_shots, query, shot_checks, table
 from .functions import dates, geo
-from .operators import asof, checks, publishing, reads, repair
+from .operators import asof, checks, ledger, publishing, reads, repair
 
 #: Ledger tables by role, as SQL and as columns of the driver's tables.
 JOBS = "j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'pending' END AS state, epoch_us(o_orderdate) // 1000000 AS started_at, o_orderpriority AS kind, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS summary FROM orders)"
@@ -123,6 +123,20 @@ def recover_interrupted_jobs(spark: SparkSession, d: str) -> DataFrame:
     return publishing.recover_jobs(jobs(spark, d)).select("id", "state")
 
 
+@query(f"""WITH {TRACKS}, {GONE}, d AS (SELECT id FROM t WHERE id % 7 = 0), p AS (SELECT o_custkey AS track_id FROM orders), tn AS (SELECT id, 5000 AS deleted_at FROM d UNION ALL SELECT id, deleted_at FROM g WHERE id NOT IN (SELECT id FROM d))
+SELECT 'tracks' AS part, count(*) AS n, sum(id) AS total FROM t WHERE id % 7 <> 0 UNION ALL SELECT 'points', count(*), sum(track_id) FROM p WHERE track_id NOT IN (SELECT id FROM d) UNION ALL SELECT 'removed', count(*), sum(track_id) FROM p WHERE track_id IN (SELECT id FROM d)
+UNION ALL SELECT 'tombstones', count(*), sum(deleted_at) FROM tn""")
+def delete_track(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh track deleted with its points; what is left, what went, and the tombstones."""
+    points = table(spark, d, "orders").select(F.col("o_custkey").alias("track_id"))
+    mine = tracks(spark, d)
+    left = ledger.delete_tracks(mine, points, points.limit(0), tombstones(spark, d), mine.where("id % 7 = 0").union(mine.where("id = 7").withColumn("id", F.lit(-1).cast("long"))), 5000)
+    total = lambda rows, part, n, x: rows.agg(n.alias("n"), F.sum(x).alias("total")).select(F.lit(part).alias("part"), "n", "total")
+    one = F.count("*")
+    out = total(left["tracks"], "tracks", one, "id").union(total(left["points"], "points", one, "track_id")).union(total(left["tombstones"], "tombstones", one, "deleted_at"))
+    return out.union(total(left["removed"], "removed", F.sum("n"), F.col("track_id") * F.col("n")))
+
+
 # Repairs
 
 

@@ -63,6 +63,24 @@ def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, key
     return parents.join(ids, F.col(key) == F.col("_gone"), "left_anti"), children.join(ids, F.col(foreign_key) == F.col("_gone"), "left_anti")
 
 
+def delete_tracks(tracks: DataFrame, points: DataFrame, conflicts: DataFrame, tombstones: DataFrame, gone: DataFrame, now: int) -> dict[str, DataFrame]:
+    """All four tables without the tracks in gone (id), which get a tombstone (id, deleted_at); removed: track_id and n of the points that go.
+
+    A track that is not there gets no tombstone; one that has a tombstone gets a new one.
+    """
+    ids = gone.select(F.col("id").alias("_gone")).distinct()
+    without = lambda rows, key: rows.join(ids, F.col(key) == F.col("_gone"), "left_anti")
+    fresh = tracks.join(ids, F.col("id") == F.col("_gone"), "left_semi").select("id", F.lit(now).cast("long").alias("deleted_at"))
+    removed = points.join(ids, F.col("track_id") == F.col("_gone"), "left_semi").groupBy("track_id").agg(F.count("*").alias("n"))
+    return {
+        "tracks": without(tracks, "id"),
+        "points": without(points, "track_id"),
+        "conflicts": without(conflicts, "track_id"),
+        "tombstones": insert_or_replace(tombstones.select("id", "deleted_at"), fresh, ["id"], ["id"]),
+        "removed": removed,
+    }
+
+
 def fold_states(log: DataFrame, key: str, seq: str, columns: Sequence[str]) -> DataFrame:
     """The latest values of each key of an event log."""
     return log.groupBy(key).agg(F.max_by(F.struct(*columns), seq).alias("_s"), F.count("*").alias("n_events")).select(key, "_s.*", "n_events")
