@@ -123,21 +123,26 @@ def asof_bracket_window(spark: SparkSession, d: str) -> DataFrame:
 OFFSETS = ", ".join(f"({o})" for o in asof.UTC_OFFSETS)
 
 
-@query(f"""WITH {EV}, o(off) AS (VALUES {OFFSETS}), p AS (SELECT user_id, off, t_at - off * 60 AS t_at FROM ev, o WHERE event_type = 'purchase'), f AS (SELECT DISTINCT user_id, t_at FROM ev WHERE event_type = 'error'),
+#: Gaps of each user's purchases to the nearest error under each offset, in order.
+SCORES = f"""WITH {EV}, o(off) AS (VALUES {OFFSETS}), p AS (SELECT user_id, off, t_at - off * 60 AS t_at FROM ev, o WHERE event_type = 'purchase'), f AS (SELECT DISTINCT user_id, t_at FROM ev WHERE event_type = 'error'),
 a AS (SELECT p.*, f.t_at AS before FROM p ASOF LEFT JOIN f ON p.user_id = f.user_id AND p.t_at >= f.t_at), b AS (SELECT a.*, f.t_at AS after FROM a ASOF LEFT JOIN f ON a.user_id = f.user_id AND a.t_at <= f.t_at),
-g AS (SELECT user_id, off, least(t_at - before, after - t_at) AS gap FROM b),
-l AS (SELECT user_id, off, list_sort(list(gap)) AS gaps FROM g WHERE gap IS NOT NULL GROUP BY user_id, off)
-SELECT user_id, off AS offset_minutes, len(gaps) AS n, gaps[len(gaps) // 2 + 1] AS median_gap FROM l""")
+g AS (SELECT user_id, off, least(t_at - before, after - t_at) AS gap FROM b), l AS (SELECT user_id, off, list_sort(list(gap)) AS gaps FROM g WHERE gap IS NOT NULL GROUP BY user_id, off)"""
+
+
+@query(f"{SCORES} SELECT user_id, off AS offset_minutes, len(gaps) AS n, gaps[len(gaps) // 2 + 1] AS median_gap FROM l")
 def offset_scores(spark: SparkSession, d: str) -> DataFrame:
     """Median gap to the nearest error of every user's purchases under each clock offset."""
     return asof.score_offsets(*probes_and_fixes(spark, d), ["user_id"])
 
 
-@query()
+@query(f"""{SCORES}, s AS (SELECT user_id, off, gaps[len(gaps) // 2 + 1] AS mg FROM l WHERE len(gaps) >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mg, abs(off), off) AS k FROM s),
+w AS (SELECT user_id, t_at - lag(t_at) OVER (PARTITION BY user_id ORDER BY t_at) AS gap FROM ev WHERE event_type = 'error'), r AS (SELECT user_id, list_sort(list(gap)) AS v FROM w WHERE gap IS NOT NULL GROUP BY user_id), t AS (SELECT user_id, greatest(60, v[len(v) // 2 + 1]) AS step FROM r)
+SELECT k.user_id, k.off AS offset_minutes, k.mg AS median_gap, string_agg(CAST(s.off AS VARCHAR), ',' ORDER BY s.off) AS plausible, count(*) = 1 AND k.mg <= 1800 AS confident FROM k JOIN s USING (user_id) LEFT JOIN t USING (user_id) WHERE k.k = 1 AND s.mg <= k.mg + coalesce(step, 60) GROUP BY k.user_id, k.off, k.mg""")
 def offset_estimate(spark: SparkSession, d: str) -> DataFrame:
     """The offset that fits each user best, and whether it stands alone."""
     probes, fixes = probes_and_fixes(spark, d)
-    return asof.estimate_offset(probes.drop("event_id"), fixes, ["user_id"])
+    got = asof.estimate_offset(probes.drop("event_id"), fixes, ["user_id"])
+    return got.withColumn("plausible", F.array_join("plausible", ","))
 
 
 @query("SELECT e.event_id, e.user_id, c.c_name AS source FROM events e JOIN customer c ON c.c_custkey = e.user_id WHERE e.value BETWEEN 10 AND 60")

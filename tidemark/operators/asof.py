@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import duration
 from ..functions.geo import in_range
+from ..staging import stage
 from .sequence import with_neighbour
 
 
@@ -105,7 +106,7 @@ def score_offsets(captures: DataFrame, fixes: DataFrame, keys: Sequence[str], *,
     from .stats import upper_median
 
     probes = captures.withColumn("offset_minutes", F.explode(F.array(*(F.lit(o) for o in offsets)))).withColumn(at, F.col(at) - F.col("offset_minutes") * 60)
-    near = match(probes, fixes, keys, at=at, method="nearest").where("gap is not null")
+    near = stage(match(probes, fixes, keys, at=at, method="nearest").where("gap is not null").select(*keys, "offset_minutes", "gap"), "gaps")  # read twice below
     return upper_median(near, [*keys, "offset_minutes"], "gap").withColumnRenamed("gap", "median_gap")
 
 
@@ -113,7 +114,7 @@ def estimate_offset(captures: DataFrame, fixes: DataFrame, keys: Sequence[str],
     """keys, offset_minutes, median_gap, plausible (offsets within the track's resolution of the best), confident."""
     from .stats import resolution_seconds
 
-    scored = score_offsets(captures, fixes, keys, at=at, offsets=offsets).where(F.col("n") >= least_captures)
+    scored = stage(score_offsets(captures, fixes, keys, at=at, offsets=offsets).where(F.col("n") >= least_captures), "scores")
     best = scored.groupBy(*keys).agg(F.min_by(F.struct("median_gap", "offset_minutes"), F.struct("median_gap", F.abs("offset_minutes"), "offset_minutes")).alias("best"))
     step = resolution_seconds(fixes, keys, at).select(*keys, F.col("gap").alias("step"))
     near = scored.join(best, list(keys)).join(step, list(keys), "left").where(F.col("median_gap") <= F.col("best.median_gap") + F.coalesce("step", F.lit(60)))
