@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import first_of
 from .common import table
 from .words import NOT_ALNUM, Words, pieces, words_of
 
@@ -187,17 +188,19 @@ def scan(w: Words, index: Index, least_votes: int = 2) -> dict[str, list]:
         each = np.repeat(np.arange(len(hit)), count)
         post = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + index.first[word][each]
         template, origin = index.template[post], hit[each] - index.position[post]
-        # of each text's words that a template has, the rarest
-        pair = np.stack([w.doc[hit[each]], template, index.rarity[word[each]]], 1)
-        ranked, back = np.unique(pair, axis=0, return_inverse=True)
-        head = np.flatnonzero(np.r_[True, (ranked[1:, :2] != ranked[:-1, :2]).any(1)])
+        # of each text's words that a template has, the rarest; (text, template) and word in one number
+        n_words, longest = len(index.vocabulary), max(map(len, index.templates))
+        pair = w.doc[hit[each]].astype(np.int64) * len(index.templates) + template
+        ranked, back = np.unique(pair * n_words + index.rarity[word[each]], return_inverse=True)
+        head = np.flatnonzero(first_of(ranked // n_words))
         place = np.arange(len(ranked)) - np.repeat(head, np.diff(np.r_[head, len(ranked)]))
-        rare = place[back.ravel()] < index.rare_words
-        key = np.stack([w.doc[hit[each]], template, origin, word[each]], 1)[rare]
-        key = np.unique(key, axis=0)
-        start = np.flatnonzero(np.r_[True, (key[1:, :3] != key[:-1, :3]).any(1)])
+        rare = place[back] < index.rare_words
+        pairs, which = np.unique(pair[rare], return_inverse=True)
+        key = np.unique((which * (len(w.hash) + longest) + origin[rare] + longest) * n_words + word[each][rare])
+        start = np.flatnonzero(first_of(key // n_words))
         votes = np.diff(np.r_[start, len(key)])
-        for d, k, at, _ in key[start[votes >= least_votes]]:
+        for x in key[start[votes >= least_votes]] // n_words:
+            (d, k), at = divmod(int(pairs[x // (len(w.hash) + longest)]), len(index.templates)), int(x % (len(w.hash) + longest)) - longest
             seq = index.templates[k]
             lo, hi = max(bounds[d], at), min(bounds[d + 1], at + len(seq))
             if not all(len(phrase_places(w, p, h, r, lo, hi)) for p, h, r in index.keys[k]):

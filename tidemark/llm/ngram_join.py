@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import ROW_BITS, Blocks, first_of, ids_of, planes, split_ranges, unplanes
+from .blocks import ROW_BITS, Blocks, first_of, planes, split_ranges, unplanes
 from .common import partitions, stage, table, unstage
 from .embedding_dedup import _Forest
 from .graph import components
