@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op13_byte_bpe
 from .embedding_dedup import op6_embedding_dedup
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op4_exact_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES = {
