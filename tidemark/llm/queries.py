@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op13_byte_bpe
+from .conversations import op12_conversation_repair
 from .embedding_dedup import op6_embedding_dedup
 from .exact_dedup import ORACLE as EXACT_DEDUP_SQL
 from .exact_dedup import op4_exact_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
