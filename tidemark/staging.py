@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it from there: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df once to the shared folder (with the writer's options) and read it from there: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _STAGED[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # noqa: SLF001
