@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_cross_tokenizer
 from .byte_bpe import op13_byte_bpe
 from .conversations import op12_conversation_repair
 from .embedding_dedup import op6_embedding_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_byte_bpe": op13_byte_bpe,
 }
