@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,9 +41,11 @@ from .words import pieces as slices
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Words, and tokens of words, that a worker remembers at most.
-WORDS, TOKENS = 1 << 19, 1 << 23
+WORDS, TOKENS = 1 << 18, 1 << 22
+#: Words that are encoded together.
+TOGETHER = 1 << 12
 #: Bytes of a page's texts, unless one text is longer.
-PAGE = 1 << 22
+PAGE = 1 << 21
 #: Pairs of ids that are broadcast at most.
 PAIRS = 1 << 20
 _CUT, _BLANK = re.compile(r"(?<=\S)(?= )").split, re.compile(r"\s ").search
@@ -81,7 +84,7 @@ class _Side:
         self.clear()
 
     def clear(self) -> None:
-        self.flat, self.used, self.lens, self.starts = np.zeros(1 << 16, np.int32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used, self.lens, self.starts = np.zeros(1 << 16, np.int32), 0, array("q"), array("q")
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of all words encoded as one text and how many each word has, if no word's encoding can depend on the next one."""
@@ -117,16 +120,20 @@ class _Side:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.r_[self.starts, self.used + np.cumsum(lens) - lens]
-        self.lens = np.r_[self.lens, lens]
+        self.starts.frombytes((self.used + np.cumsum(lens) - lens).tobytes())
+        self.lens.frombytes(lens.tobytes())
         self.used += len(ids)
         return self.bytes.joined(ids), _sum_by(self.bytes.size[ids], lens)
 
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        """How many tokens each of the words has."""
+        return np.array(self.lens)[numbers]
+
     def lists(self, numbers: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """The words' ids and end bytes."""
-        lens = self.lens[numbers]
+        lens = self.sizes(numbers)
         total = np.cumsum(lens)
-        at = np.repeat(self.starts[numbers] - total + lens, lens) + np.arange(total[-1] if len(total) else 0)
+        at = np.repeat(np.array(self.starts)[numbers] - total + lens, lens) + np.arange(total[-1] if len(total) else 0)
         ids = self.flat[at]
         ends, bounds = np.cumsum(self.bytes.size[ids]), np.r_[0, total]
         ends = ends - np.repeat(np.r_[0, ends][bounds[:-1]], lens)
@@ -165,8 +172,9 @@ class _Tokenizers:
         counts = np.array([len(x) for x in cut], np.int64)
         numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         if self.index.new:
-            self._add(self.index.new)
-            self.index.new = []
+            new, self.index.new = self.index.new, []
+            for i in range(0, len(new), TOGETHER):
+                self._add(new[i : i + TOGETHER])
         return numbers, counts
 
     def _add(self, words: list[str]) -> None:
@@ -248,7 +256,7 @@ def tokenise(docs: DataFrame, *, text_col: str = "text", keep: list[str], a_file
                 numbers, counts = numbers[np.repeat(good, counts)], np.where(good, counts, 0)
                 distinct, own = np.unique(numbers, return_inverse=True)
                 words = pa.StructArray.from_arrays([x for side in (tools.a, tools.b) for x in side.lists(distinct)], names=SIDES)
-                totals = [pa.array(_sum_by(side.lens[numbers], counts)) for side in (tools.a, tools.b)]
+                totals = [pa.array(_sum_by(side.sizes(numbers), counts)) for side in (tools.a, tools.b)]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(own.astype(np.int32)))
                 each = pa.StructArray.from_arrays([*(part.column(c) for c in keep), *totals, lists], names=[*keep, "n_a", "n_b", "words"])
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
