@@ -22,9 +22,15 @@ def ignored(name: str, is_folder: bool = True) -> bool:
     return name.startswith(".") or (is_folder and name.lower() in IGNORED)
 
 
+def file_system(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI that pyarrow reads, and the path in it."""
+    local = path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+    return FileSystem.from_uri(local if ":/" in local else f"file://{os.path.abspath(local)}")
+
+
 def entries(root: str, rel: str = "") -> tuple[list[str], list[str]]:
     """(folders, files) of one folder, as sorted paths relative to root; neither ignored entries nor links. root is a path or a URI that pyarrow reads."""
-    fs, base = FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+    fs, base = file_system(root)
     folders, files = [], []
     for e in fs.get_file_info(FileSelector(f"{base}/{rel}" if rel else base)):
         is_folder = e.type == FileType.Directory
@@ -69,7 +75,7 @@ class _Reader(DataSourceReader):
         return out + [_Part(rel, []) for rel in level] or [_Part(None, [])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        fs, base = FileSystem.from_uri(self.root if "://" in self.root else f"file://{os.path.abspath(self.root)}")
+        fs, base = file_system(self.root)
         for rel in partition.files if partition.folder is None else walk(self.root, partition.folder):
             try:
                 digest, size = hashlib.sha256(), 0

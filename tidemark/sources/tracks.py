@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import instant
 from ..functions.geo import in_range
 from ..session import ship
+from .documents import GPX_FOOTER, GPX_HEADER, gpx_point
 
 _POINTS = ("trkpt", "wpt", "rtept")
 _RAW = "file string, ordinal int, lat string, lon string, ele string, time string, problem string"
@@ -126,12 +127,10 @@ def route_reports(lines: DataFrame, column: str = "value") -> DataFrame:
 def write_gpx(points: DataFrame, key: str) -> DataFrame:
     """key, gpx (document text, the same for the same points) and track_id (its SHA-256).
 
-    A document is one value, so a key should be a track or a day, not a device.
+    A document is one value here, so a key should be a track or a day;
+    documents.write_tracks streams documents of any length to files.
     """
-    from ..functions.dates import rfc3339
-
-    ele = F.coalesce(F.concat(F.lit("<ele>"), F.format_string("%.2f", F.col("ele")), F.lit("</ele>")), F.lit(""))
-    line = F.concat(F.format_string('<trkpt lat="%.7f" lon="%.7f">', F.col("lat"), F.col("lon")), ele, F.lit("<time>"), rfc3339(F.col("at")), F.lit("</time></trkpt>"))
+    line = gpx_point(F.col("at"), F.col("lat"), F.col("lon"), F.col("ele"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "")
-    text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>'), body, F.lit("</trkseg></trk></gpx>"))
+    text = F.concat(F.lit(GPX_HEADER), body, F.lit(GPX_FOOTER))
     return points.groupBy(key).agg(text.alias("gpx")).withColumn("track_id", F.sha2("gpx", 256))

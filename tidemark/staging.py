@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for what other writers put there; clean() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED[path] = spark
+    return path
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df once to the shared folder (with the writer's options) and read it from there: cuts lineage, survives lost executors."""
     spark = df.sparkSession
