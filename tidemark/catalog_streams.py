@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import drained, event_stream, query, table
+from .operators.intervals import nested_intervals
 from .sources import documents, feed
 from .staging import kept_path
 from .streaming import timers
@@ -62,3 +63,12 @@ def track_documents(spark: SparkSession, d: str) -> DataFrame:
     folder = kept_path(spark, "tracks")
     documents.write_tracks(points, folder, key="user_id")
     return documents.read_documents(spark, folder).select("document", F.sha2("text", 256).alias("sha256"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type = 'view' AS o FROM events WHERE user_id IS NOT NULL AND event_type IN ('view', 'click')),
+s AS (SELECT *, sum(CASE WHEN o THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM e)
+SELECT a.user_id, a.event_id AS start, min(b.event_id) AS "end" FROM s a JOIN s b ON a.user_id = b.user_id AND b.event_id > a.event_id AND b.s = a.s - 1 AND NOT b.o WHERE a.o GROUP BY ALL""")
+def nested_views(spark: SparkSession, d: str) -> DataFrame:
+    """Views of each user that a click ends, the newest first."""
+    e = table(spark, d, "events").where("event_type IN ('view', 'click')")
+    return nested_intervals(e.withColumn("opens", F.col("event_type") == "view"), "user_id", "event_id", "opens").select("user_id", "start", "end")
