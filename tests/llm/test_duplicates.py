@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import Union, kept_words, shingles
 from pyspark.sql import functions as F
@@ -194,3 +195,25 @@ def test_words_are_cut_and_hashed_alike_wherever_they_stand():
         w.BLOCK_BYTES, w._POWERS = old, None  # noqa: SLF001
     table = pa.table({"t": texts})
     assert sum(len(p) for p in pieces(table, "t", 3)) == len(texts)
+
+
+def alike(letters=10):
+    """Two words that every polynomial with an odd base takes for one, modulo 2**64."""
+    word = "a"
+    for _ in range(letters):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [5, 6, 9, 10, 12])
+def test_words_that_polynomials_take_for_one(spark, letters):
+    a, b = alike(letters)
+    w = words_of(pa.array([a, b, a]))
+    assert w.hash[0] != w.hash[1] and w.hash[0] == w.hash[2]
+    assert w.second()[0] != w.second()[1] and w.second()[0] == w.second()[2] != w.hash[0]
+    same = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"{same} {a}")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    five = spark.createDataFrame([(1, f"{a} p q r s"), (2, f"{b} p q r s"), (3, f"{a} p q r s")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.link_documents(five).collect()} == {1: 1, 2: 2, 3: 1}

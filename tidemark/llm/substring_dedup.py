@@ -14,7 +14,7 @@ alike. Both runs are then compacted into one. The index is a folder that can be
 opened again, so that batches may come days apart.
 
 Contested anchors are verified: all windows over them, and only those, are
-compared by 96 bits of two independent fingerprints of their words, and the least id
+compared by 96 bits of two fingerprints whose words are hashed independently, and the least id
 of each window is handed back to the blocks that hold it. Questions and answers
 travel by block (blocks.py), with one entry per block however often a passage
 occurs in it.
@@ -65,7 +65,7 @@ def fingerprints(w: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray,
     """Two independent fingerprints of the windows: 64 bits, and 32 more."""
     total = max(0, len(w.doc) - window + 1)
     a, b = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
-    other = mix(w.hash ^ U64(0xA24BAED4963EE407))
+    other = w.second()
     for k in range(window):
         a *= U64(0xD1342543DE82EF95)
         a += w.hash[k : k + total]

@@ -1,9 +1,12 @@
 """Vectorised words and word n-gram fingerprints of Arrow text columns.
 
 Words are runs of bytes that are not separators; every separator is ASCII, so a
-UTF-8 text is cut at the same places as its code points are. A word's
+UTF-8 text is cut at the same places as its code points are. A short word's
 fingerprint is a polynomial over randomly tabulated bytes modulo 2**64 with a
-final mix; an n-gram's is a polynomial over its words' fingerprints. All work is
+final mix. Such polynomials collide on long words of a certain build, whatever
+the table, so a word of over SHORT bytes gets a keyed cryptographic hash. A
+second fingerprint has its own table, base and key. An n-gram's fingerprint is a
+polynomial over its words' fingerprints. All work on short words is
 numpy over the column's own buffer, in blocks of a fixed number of bytes, so
 that memory beyond the column itself stays flat however long a text is.
 """
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +24,9 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
+#: Bytes of the longest word whose fingerprint is a polynomial.
+SHORT = 32
+_BASES = (U64(0x9E3779B97F4A7C15 | 1), U64(0xC2B2AE3D27D4EB4F | 1))
 _STEP = U64(0xD1342543DE82EF95)
 
 SPACE = np.zeros(256, bool)
@@ -45,24 +51,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+_TABLES = tuple(mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) for k in range(2))
 
 
 def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
-_POWERS: tuple[np.ndarray, np.ndarray] | None = None
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS
     if _POWERS is None:
-        up = np.full(BLOCK_BYTES + 1, _BASE, np.uint64)
-        down = np.full(BLOCK_BYTES + 1, U64(_inverse(int(_BASE))), np.uint64)
+        _POWERS = {}
+    if which not in _POWERS:
+        base = _BASES[which]
+        up = np.full(BLOCK_BYTES + 1, base, np.uint64)
+        down = np.full(BLOCK_BYTES + 1, U64(_inverse(int(base))), np.uint64)
         up[0] = down[0] = 1
-        _POWERS = np.cumprod(up), np.cumprod(down)
-    return _POWERS
+        _POWERS[which] = np.cumprod(up), np.cumprod(down)
+    return _POWERS[which]
 
 
 @dataclass
@@ -80,6 +89,10 @@ class Words:
         """First word of each text, and the number of all words."""
         return np.searchsorted(self.doc, np.arange(self.n_docs + 1))
 
+    def second(self) -> np.ndarray:
+        """Fingerprints of the words that do not depend on `hash`."""
+        return _hash_words(self.data, self.start, self.end, 1)
+
     def index_in_doc(self) -> np.ndarray:
         return np.arange(len(self.doc)) - self.bounds()[self.doc]
 
@@ -93,8 +106,10 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = _powers()
+def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Fingerprints of the words data[start:end], the first or the second one."""
+    up, down = _powers(which)
+    table = _TABLES[which]
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
@@ -104,7 +119,7 @@ def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
             total, scale = U64(0), U64(1)
             for p in range(int(a), int(end[i]), BLOCK_BYTES):
                 piece = data[p : min(p + BLOCK_BYTES, int(end[i]))]
-                part = (_BYTES[piece] * up[: len(piece)]).sum(dtype=np.uint64)
+                part = (table[piece] * up[: len(piece)]).sum(dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     total, scale = total + part * scale, scale * up[BLOCK_BYTES]
             out[i] = total
@@ -112,11 +127,15 @@ def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
             continue
         piece = data[a : end[j - 1]]
         prefix = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_BYTES[piece] * up[: len(piece)], out=prefix[1:])
+        np.cumsum(table[piece] * up[: len(piece)], out=prefix[1:])
         s, e = start[i:j] - a, end[i:j] - a
         out[i:j] = (prefix[e] - prefix[s]) * down[s]
         i = j
-    return mix(out + (end - start).astype(np.uint64) * _STEP)
+    out = mix(out + (end - start).astype(np.uint64) * _STEP)
+    key = which.to_bytes(8, "little")
+    for i in np.flatnonzero(end - start > SHORT):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=key).digest(), "little")
+    return out
 
 
 def words_of(column: pa.Array, *, fold: bool = False, separators: np.ndarray = SPACE) -> Words:
