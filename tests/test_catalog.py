@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark import catalog, catalog_expr, catalog_plans, catalog_streams  # noqa: F401  they add queries
+from tidemark import catalog, catalog_expr, catalog_pixels, catalog_plans, catalog_streams  # noqa: F401  they add queries
 
 SF = "/root/testdata/sf0.001"
 

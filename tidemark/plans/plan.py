@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +45,10 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
     return out
 
 
+class PlanMoved(RuntimeError):
+    """What a plan was made from is no longer what is there."""
+
+
 class Snapshots:
     """Several tables replaced at once: each version is a folder, and numbered manifests name the tables' folders.
 
@@ -76,8 +80,29 @@ class Snapshots:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.current()[table])
 
-    def commit(self, **tables: DataFrame) -> None:
-        n = self._last() + 1
+    def version(self) -> int:
+        """The last manifest's number, -1 before the first."""
+        return self._last()
+
+    def apply(self, plan: Callable[[Snapshots], Plan], seen: tuple[int, str], order: Sequence[str], effect: Callable[[Snapshots, Plan], dict[str, DataFrame]]) -> None:
+        """Commit what a plan does, if the plan is still the one that was seen: (n, plan_hash) of its fingerprint over `order`.
+
+        The plan is made again from the snapshot that is there now. If it
+        differs, or if another writer commits before this one does, PlanMoved is
+        raised and nothing is written that a reader could see.
+        """
+        at = self.version()
+        again = plan(self)
+        now = again.fingerprint(order).first()
+        if (now["n"], now["plan_hash"]) != tuple(seen):
+            raise PlanMoved(f"the plan had {seen[0]} actions, now it has {now['n']}" if now["n"] != seen[0] else "the plan has other actions now")
+        self.commit(expected=at, **effect(self, again))
+
+    def commit(self, *, expected: int | None = None, **tables: DataFrame) -> None:
+        """Replace tables; with `expected`, only if that is still the last version."""
+        if expected is not None and self._last() != expected:
+            raise PlanMoved(f"version {self._last()} has come after {expected}")
+        n = (self._last() if expected is None else expected) + 1
         held = self.current()
         version = uuid.uuid4().hex
         for name, rows in tables.items():
@@ -90,4 +115,5 @@ class Snapshots:
         out.close()
         fs.mkdirs(at.getParent())
         if fs.exists(at) or not fs.rename(fresh, at):
-            raise RuntimeError(f"another writer has committed version {n}")
+            fs.delete(path(f"{self.root}/{version}"), True)
+            raise (RuntimeError if expected is None else PlanMoved)(f"another writer has committed version {n}")
