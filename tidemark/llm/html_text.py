@@ -66,8 +66,10 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | {b: ("p",) for b in _BLOCKS}
 _LIMITS = frozenset("ul ol dl table article section div body main blockquote td th".split())
-#: Cells of an alignment's table above which it is filled by rows, and at most.
-WIDE, CELLS = 1 << 12, 1 << 24
+#: Cells of an alignment's table above which it is filled by rows, and above which halves are aligned instead.
+WIDE, CELLS = 1 << 12, 1 << 22
+#: Pairs of forms whose weights are remembered at most.
+REMEMBERED = 1 << 20
 #: Distinct pages that a constant block of marked articles stands on at least.
 INSIDE = 8
 
@@ -208,9 +210,10 @@ def align(a: Shape, b: Shape) -> dict[int, int]:
     Two nodes with equal labels weigh one and what their kids weigh in the best
     ordered matching; subtrees that are equal with their texts weigh double.
     Equal subtrees at either end of two lists of kids are paired at once, which
-    no other matching can better. What is left of two lists that would need a
-    table of over CELLS cells (thousands of elements side by side) is paired in
-    order.
+    no other matching can better. Two lists that would need a table of over CELLS
+    cells (thousands of elements side by side) are cut where a best matching of
+    both halves of the first meets, until tables are small: the result is a best
+    matching too, in memory that grows with the lists and not with their product.
     """
     memo: dict[tuple[int, int], int] = {}
 
@@ -221,9 +224,20 @@ def align(a: Shape, b: Shape) -> dict[int, int]:
             return 0
         key = (a.form[x], b.form[y])
         if (found := memo.get(key)) is None:
-            found = memo[key] = 1 + (int(table(a.kids[x], b.kids[y], weight)[-1][-1]) if a.kids[x] and b.kids[y] else 0)
+            found = 1 + (best(a.kids[x], b.kids[y]) if a.kids[x] and b.kids[y] else 0)
+            if len(memo) >= REMEMBERED:
+                memo.clear()
+            memo[key] = found
         return found
 
+    def best(xs: list[int], ys: list[int]) -> int:
+        if len(xs) * len(ys) <= WIDE:
+            return table(xs, ys, weight)[-1][-1]
+        last = None
+        for last in rows_of(xs, ys, weight):
+            pass
+        return int(last[-1])
+
     def with_texts(x: int, y: int) -> int:
         return 2 * a.size[x] if a.whole[x] == b.whole[y] else weight(x, y)
 
@@ -242,21 +256,40 @@ def align(a: Shape, b: Shape) -> dict[int, int]:
             rows.append(row)
         return rows
 
-    def wide_table(xs: list[int], ys: list[int], weigh: Callable[[int, int], int]) -> np.ndarray:
-        """The same row by row; equal pairs of forms are weighed once."""
-        fx, cx = np.unique([a.form[x] for x in xs], return_inverse=True)
-        fy, cy = np.unique([b.form[y] for y in ys], return_inverse=True)
-        one = lambda codes, of: [of[i] for i in np.unique(codes, return_index=True)[1]]
-        by_form = np.array([[weight(x, y) for y in one(cy, ys)] for x in one(cx, xs)], np.int32)
-        wx, wy = np.array([a.whole[x] for x in xs]), np.array([b.whole[y] for y in ys])
-        rows = np.zeros((len(xs) + 1, len(ys) + 1), np.int32)
-        for i, x in enumerate(xs):
-            w = by_form[cx[i]][cy]
+    def rows_of(xs: list[int], ys: list[int], weigh: Callable[[int, int], int]):
+        """The table's rows one after another; equal forms are weighed once for a row."""
+        forms, cy = np.unique([b.form[y] for y in ys], return_inverse=True)
+        some = [ys[i] for i in np.unique(cy, return_index=True)[1]]
+        wy = np.array([b.whole[y] for y in ys])
+        held: dict[int, np.ndarray] = {}
+        row = np.zeros(len(ys) + 1, np.int32)
+        yield row
+        for x in xs:
+            by_form = held.get(a.form[x])
+            if by_form is None:
+                if len(held) * len(forms) >= REMEMBERED:
+                    held.clear()
+                by_form = held[a.form[x]] = np.array([weight(x, y) for y in some], np.int32)
+            w = by_form[cy]
             if weigh is with_texts:
-                w = np.where(wy == wx[i], 2 * a.size[x], w)
-            best = np.maximum(rows[i, 1:], np.where(w > 0, rows[i, :-1] + w, 0))
-            rows[i + 1, 1:] = np.maximum.accumulate(best)
-        return rows
+                w = np.where(wy == a.whole[x], 2 * a.size[x], w)
+            out = np.zeros_like(row)
+            out[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(w > 0, row[:-1] + w, 0)))
+            row = out
+            yield row
+
+    def wide_table(xs: list[int], ys: list[int], weigh: Callable[[int, int], int]) -> np.ndarray:
+        return np.stack(list(rows_of(xs, ys, weigh)))
+
+    def cut(xs: list[int], ys: list[int]) -> tuple[int, int]:
+        """Where a best matching of both lists can be cut in two: half of the first, and a place in the second."""
+        half = len(xs) // 2
+        front = back = None
+        for front in rows_of(xs[:half], ys, with_texts):
+            pass
+        for back in rows_of(xs[half:][::-1], ys[::-1], with_texts):
+            pass
+        return half, int(np.argmax(front.astype(np.int64) + back[::-1]))
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(a.keys) + 1000))
     pairs: dict[int, int] = {}
@@ -279,19 +312,25 @@ def align(a: Shape, b: Shape) -> dict[int, int]:
         xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
         if not xs or not ys:
             continue
-        if len(xs) * len(ys) > CELLS:
-            waiting += [(x, y) for x, y in zip(xs, ys, strict=False) if a.keys[x] == b.keys[y]]
-            continue
-        rows = table(xs, ys, with_texts)
-        i, j = len(xs), len(ys)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                waiting.append((xs[i], ys[j]))
+        parts = [(xs, ys)]
+        while parts:
+            xs, ys = parts.pop()
+            if not xs or not ys:
+                continue
+            if len(xs) * len(ys) > CELLS and len(xs) > 1:
+                half, place = cut(xs, ys)
+                parts += [(xs[:half], ys[:place]), (xs[half:], ys[place:])]
+                continue
+            rows = table(xs, ys, with_texts)
+            i, j = len(xs), len(ys)
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    waiting.append((xs[i], ys[j]))
     return pairs
 
 
