@@ -32,8 +32,8 @@ def test_names(spark):
     assert [one(spark, text.name_problem(lit(n))) for n in (" ", "x" * 65, "a:b", ".a", " a b ")] == ["empty", "longer than 64 characters", "a sign that is not allowed", "starts with a dot", None]
     assert one(spark, text.seed_of(lit("f" * 64))) == 2**64 - 1 and one(spark, text.seed_of(lit("x"))) is None
     none = lit(None).cast("string")
-    assert one(spark, text.run_summary(lit(0), "files written", lit(0), lit(0), none, ["jpg"])) == "Nothing to do: nothing matched. This tool reads .jpg. If the files are inside a subfolder, tick Include subfolders."
-    assert one(spark, text.run_summary(lit(0), "files written", lit(0), lit(2), lit("no date"))) == 'Nothing to do: 2 input(s) skipped, the first because "no date".'
+    assert one(spark, text.run_summary(lit(0), "files written", lit(0), lit(0), none, ["jpg"])) == "No work: no file matched. Accepted: .jpg. Subfolders are read only on request."
+    assert one(spark, text.run_summary(lit(0), "files written", lit(0), lit(2), lit("no date"))) == 'No work: 2 skipped; first reason: "no date".'
     assert one(spark, text.run_summary(lit(3), "files written", lit(1), lit(2), lit("no date"))) == "3 files written, 1 failed, 2 skipped"
     assert one(spark, text.page_name(lit("a"), lit(2), lit(3))) == "a_p002.jpg"
 

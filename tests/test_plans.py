@@ -29,9 +29,9 @@ def test_bulk_repairs(spark):
     assert {k: r["new_date"] for k, r in plans(spark, rows, "no_date", "enter_date_manually", date=5)[0].items()} == dict.fromkeys([1, 2, 3, 4], 5)
     assert {k: r["new_date"] for k, r in plans(spark, rows, "no_date", "derive_from_batch_median")[0].items()} == {1: 200, 2: 200, 3: 200, 4: 300}
     done, left = plans(spark, rows, "no_date", "use_file_modification_time")
-    assert set(done) == {1, 4} and left == {2: "The file's modification time predates 1970", 3: "Could not read the modification time"}
+    assert set(done) == {1, 4} and left == {2: "modified before the epoch", 3: "modification time missing"}
     done, left = plans(spark, rows, "date_out_of_range_batch", "bulk_shift")
-    assert {k: r["new_date"] for k, r in done.items()} == {1: 100 + 40 * 86_400 - 200, 3: 40 * 86_400, 4: 40 * 86_400} and left == {2: "A frame with no date cannot be shifted"}
+    assert {k: r["new_date"] for k, r in done.items()} == {1: 100 + 40 * 86_400 - 200, 3: 40 * 86_400, 4: 40 * 86_400} and left == {2: "undated, so nothing to move"}
     done, left = plans(spark, rows, "too_many_pixels", "resize")
     assert {k: (r["target_width"], r["target_height"], r["destination"]) for k, r in done.items()} == {1: (1414, 707, "out/s1.jpg"), 4: (1000, 1000, "out/s4.jpg")}
     assert set(left) == {3}  # the second fits: nothing to do, and nothing wrong

@@ -155,8 +155,8 @@ _FIT = f"CASE WHEN width * height > {PIXELS} * 1e6 THEN greatest(1, CAST(floor({
 
 @query(f"""{CHECKS}, f AS (SELECT DISTINCT c.failure, x.*, CASE WHEN shot % 13 = 0 THEN NULL WHEN shot % 17 = 0 THEN -5 ELSE shot * 1000 END AS modified FROM c JOIN x USING (shot) WHERE c.failure IS NOT NULL),
 r AS (SELECT shot, 'enter_date_manually' AS action, CAST(1700000000 AS BIGINT) AS new_date, CAST(NULL AS INTEGER) AS target_width, CAST(NULL AS INTEGER) AS target_height, CAST(NULL AS VARCHAR) AS destination, CAST(NULL AS BIGINT) AS max_bytes, CAST(NULL AS VARCHAR) AS reason FROM f WHERE failure = 'no_date'
-UNION ALL SELECT shot, 'derive_from_batch_median', median, NULL, NULL, NULL, NULL, CASE WHEN median IS NULL THEN 'The card has no dated frame to take a median from' END FROM f WHERE failure = 'no_date'
-UNION ALL SELECT shot, 'use_file_modification_time', modified, NULL, NULL, NULL, NULL, CASE WHEN modified IS NULL THEN 'Could not read the modification time' WHEN modified < 0 THEN 'The file''s modification time predates 1970' END FROM f WHERE failure = 'no_date'
+UNION ALL SELECT shot, 'derive_from_batch_median', median, NULL, NULL, NULL, NULL, CASE WHEN median IS NULL THEN 'no capture date on this card to derive one from' END FROM f WHERE failure = 'no_date'
+UNION ALL SELECT shot, 'use_file_modification_time', modified, NULL, NULL, NULL, NULL, CASE WHEN modified IS NULL THEN 'modification time missing' WHEN modified < 0 THEN 'modified before the epoch' END FROM f WHERE failure = 'no_date'
 UNION ALL SELECT shot, 'bulk_shift', capture + {NOW} - median, NULL, NULL, NULL, NULL, NULL FROM f WHERE failure = 'date_out_of_range_batch'
 UNION ALL SELECT shot, 'publish_anyway', NULL, NULL, NULL, NULL, NULL, NULL FROM f WHERE failure = 'date_out_of_range'
 UNION ALL SELECT shot, 'resize', NULL, {_FIT.format("width")}, {_FIT.format("height")}, concat('out/S', shot, '.jpg'), {BYTES_LIMIT}, NULL FROM f WHERE failure = 'too_many_pixels'
@@ -175,8 +175,8 @@ def repair_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS capture, CASE o_orderkey % 4 WHEN 0 THEN make_timestamp(o_orderkey * 1000000) WHEN 1 THEN make_timestamp((o_orderkey + 7) * 1000000) END AS sidecar_date FROM orders),
-r AS (SELECT path, 'manual' AS mode, TIMESTAMP '2020-05-06 07:08:09' AS new_date, CAST(NULL AS VARCHAR) AS shift, 'No date was supplied' AS why FROM f UNION ALL SELECT path, 'auto', capture, NULL, 'No metadata date to copy' FROM f
-UNION ALL SELECT path, 'shift', capture - INTERVAL 14 MONTH - INTERVAL 3 DAY - INTERVAL 14706 SECOND, '-1:2:3 4:5:6', 'No metadata date to shift' FROM f UNION ALL SELECT path, 'sidecar', sidecar_date, NULL, 'No Takeout sidecar found' FROM f)
+r AS (SELECT path, 'manual' AS mode, TIMESTAMP '2020-05-06 07:08:09' AS new_date, CAST(NULL AS VARCHAR) AS shift, 'no date given' AS why FROM f UNION ALL SELECT path, 'auto', capture, NULL, 'the file holds no date' FROM f
+UNION ALL SELECT path, 'shift', capture - INTERVAL 14 MONTH - INTERVAL 3 DAY - INTERVAL 14706 SECOND, '-1:2:3 4:5:6', 'the file holds no date that could move' FROM f UNION ALL SELECT path, 'sidecar', sidecar_date, NULL, 'no sidecar beside the file' FROM f)
 SELECT path, mode, epoch_us(new_date) // 1000000 AS at_s, CASE WHEN new_date IS NOT NULL THEN shift END AS shift, CASE WHEN new_date IS NULL THEN why END AS reason FROM r""")
 def date_repair_plan(spark: SparkSession, d: str) -> DataFrame:
     """New dates by hand, from the file, moved, and from JSON sidecars."""
