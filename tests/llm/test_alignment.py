@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -101,13 +102,29 @@ def test_pages_and_memory_change_nothing(spark, libraries, monkeypatch, page, wo
 
 def test_words_encoded_together_or_alone(libraries):
     tools = A._tools(A._read(None, A.A_FILE), A._read(None, A.B_FILE))
-    words = ["plain", "words", "", "ends ", "\n", "a▁b", "x" * 500, "é漢", "it's", "\x1c"]
-    for side, whole in ((tools.a, lambda w: libraries[0].encode(" " + w, add_special_tokens=False).ids), (tools.b, lambda w: libraries[1].encode(w) if w else libraries[1].encode("x ")[-1:])):
-        at = len(side.lens)
-        side.add(words)
-        for k, w in enumerate(words):
-            s, n = side.starts[at + k], side.lens[at + k]
-            assert side.flat[s : s + n].tolist() == whole(w)
+    for words in (["plain", "words", "x" * 500, "é漢", "it's"], ["plain", "words", "", "ends ", "\n", "a▁b", "\x1c", "é"], ["one"], ["ends\n"], [" two", "x"], ["a", "\n b", "c"]):
+        tools.index.clear()
+        tools.whole = []
+        tools.a.clear()
+        tools.b.clear()
+        list(map(tools.index.__getitem__, words))
+        tools._add(tools.index.new)
+        tools.index.new = []
+        for side, whole in ((tools.a, lambda w: libraries[0].encode(" " + w, add_special_tokens=False).ids), (tools.b, lambda w: libraries[1].encode(w) if w else libraries[1].encode("x ")[-1:])):
+            assert len(side.lens) == len(words)
+            for s, n, w in zip(side.starts, side.lens, words, strict=True):
+                assert side.flat[s : s + n].tolist() == whole(w)
+        assert np.concatenate(tools.whole).tolist() == ["▁" not in w for w in words]
+
+
+def test_layouts_that_share_a_fingerprint(monkeypatch):
+    ends = np.array([1, 2, 1, 3, 1, 2], np.int32)
+    sides = [(ends, np.array([0, 2, 4, 6]))] * 2
+    first, which = A._layouts(sides)
+    assert which[0] == which[2] != which[1] and len(first) == 2
+    monkeypatch.setattr(A, "mix", lambda x: x * np.uint64(0))
+    first, which = A._layouts(sides)
+    assert which.tolist() == [0, 1, 2]
 
 
 def test_a_long_word_with_large_groups(spark):
@@ -115,12 +132,13 @@ def test_a_long_word_with_large_groups(spark):
     a = sorted(rng.sample(range(1, 4000), 900)) + [4000]
     b = sorted(rng.sample([x for x in range(1, 4000) if x not in set(a)], 700)) + [4000]
     cut = sorted({*a, 1000, 2000})
-    rows = [([*range(len(x))], x, [*range(len(y))], y) for x, y in ((a, b), (cut, sorted({*b, 1000, 2000})))]
+    rows = [([*range(len(x))], x, [*range(len(y))], y) for x, y in ((a, b), (cut, sorted({*b, 1000, 2000})), (a, a), ([4], [1, 2, 4]), ([1, 4], [4]))]
     df = spark.createDataFrame(rows, "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-    got = df.select(A._aligned(F.struct("*"), lambda x, y: x * 10000 + y).alias("x")).select("x.*").collect()
+    filled = A._let(A._layout(F.struct("a_ends", "b_ends")), lambda x: A._filled(x, F.col("a_ids"), F.col("b_ids"), lambda i, j: i * 10000 + j))
+    got = df.select(filled.alias("x")).select("x.*").collect()
     for (ai, ae, bi, be), r in zip(rows, got, strict=True):
         groups, links = aligned(((ai, ae), (bi, be)))
-        assert (r.n_groups, r.groups, sorted(r.links)) == (len(groups), ";".join(groups), sorted(x * 10000 + y for x, y in links))
+        assert (r.n_groups, r.groups, sorted(r.links)) == (len(groups), ";".join(groups) + ";", sorted(x * 10000 + y for x, y in links))
 
 
 def test_empty_table(spark):

@@ -6,13 +6,14 @@ Within a group, tokens whose bytes overlap are linked.
 
 Neither side has tokens across a space that follows something else, so a text is
 cut into words there, and each is tokenised once for a page of documents. A page
-is a row with the ids and end bytes of its distinct words and, for each
-document, the numbers of its words. All else is higher-order functions of Spark:
-a word's cuts are the intersection of its two arrays of ends; a cut's place among
-a side's tokens is its place in the sorted union of both less the cuts before
-it; groups are slices between places, links come from the groups, and a
-document's groups and links are those of its words in turn. Every step is linear
-in the tokens or sorts them, also in a long word without cuts.
+is a row with the distinct pairs of arrays of end bytes (a layout), the layout
+and ids of its distinct words and, for each document, the numbers of its words.
+All else is higher-order functions of Spark: a layout's cuts are the
+intersection of its two arrays of ends; a cut's place among a side's tokens is
+its place in the sorted union of both less the cuts before it; groups are slices
+between places, links come from the groups; a word fills its ids into its layout,
+and a document's groups and links are those of its words in turn. Every step is
+linear in the tokens or sorts them, also in a long word without cuts.
 
 A pair of ids counts once for each document that links it. Pairs are counted with
 partial sums before the shuffle; the counts meet the documents' links by a
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from .common import sized, stage, table
-from .words import give_back
+from .words import U64, give_back, mix
 from .words import pieces as slices
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -45,7 +46,7 @@ WORDS, TOKENS = 1 << 18, 1 << 22
 #: Words that are encoded together.
 TOGETHER = 1 << 12
 #: Bytes of a page's texts, unless one text is longer.
-PAGE = 1 << 21
+PAGE = 1 << 22
 #: Pairs of ids that are broadcast at most.
 PAIRS = 1 << 20
 _CUT, _BLANK = re.compile(r"(?<=\S)(?= )").split, re.compile(r"\s ").search
@@ -86,59 +87,77 @@ class _Side:
     def clear(self) -> None:
         self.flat, self.used, self.lens, self.starts = np.zeros(1 << 16, np.int32), 0, array("q"), array("q")
 
-    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of all words encoded as one text and how many each word has, if no word's encoding can depend on the next one."""
-        if any(not w or w[-1].isspace() or "▁" in w for w in words):
-            return None
-        ids = np.array(self.encode([" ".join(words)])[0], np.int32)
-        ends, stops = np.cumsum(self.bytes.size[ids]), np.cumsum([len(w.encode()) + 1 for w in words])
-        last = np.searchsorted(ends, stops)
-        if len(ids) == 0 or ends[-1] != stops[-1] or not np.array_equal(ends[np.minimum(last, len(ends) - 1)], stops):
-            return None
-        return ids, np.diff(np.r_[0, last + 1])
-
-    def add(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes that the words' ids spell, and how many for each word."""
-        plain = [i for i, w in enumerate(words) if w and not w[-1].isspace() and "▁" not in w]
-        ids, lens = [], np.zeros(len(words), np.int64)
-        found = self._together([words[i] for i in plain]) if len(plain) > 1 else None
-        if found is None:
-            lists = self.encode(words)
-            lens[:] = [len(x) for x in lists]
-            ids = np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum()))
-        else:
-            lens[plain] = found[1]
-            odd = np.setdiff1d(np.arange(len(words)), plain)
-            lists = self.encode([words[i] for i in odd]) if len(odd) else []
-            lens[odd] = [len(x) for x in lists]
-            ids = np.empty(int(lens.sum()), np.int32)
-            is_odd = np.zeros(len(words), bool)
-            is_odd[odd] = True
-            at = np.repeat(is_odd, lens)
-            ids[~at] = found[0]
-            ids[at] = np.fromiter(chain.from_iterable(lists), np.int32, int(at.sum()))
+    def keep(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        """Ids of words, and how many each word has."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts.frombytes((self.used + np.cumsum(lens) - lens).tobytes())
         self.lens.frombytes(lens.tobytes())
         self.used += len(ids)
-        return self.bytes.joined(ids), _sum_by(self.bytes.size[ids], lens)
+
+    def forget(self, held: int, most: int) -> None:
+        """Drop what has been kept beyond `held` words."""
+        del self.starts[held:], self.lens[held:]
+        self.used = self.starts[-1] + self.lens[-1] if held else 0
+
+    def add_together(self, joined: str, text: np.ndarray, stops: np.ndarray) -> bool:
+        """Keep the words of a text that end at the bytes `stops`; nothing if tokens reach over them or do not spell the text."""
+        ids = np.array(self.encode([joined])[0], np.int32)
+        ends = np.cumsum(self.bytes.size[ids])
+        if len(ids) == 0 or ends[-1] != len(text):
+            return False
+        last = np.searchsorted(ends, stops)
+        if not np.array_equal(ends[last], stops) or not np.array_equal(self.bytes.joined(ids), text):
+            return False
+        self.keep(ids, np.diff(np.r_[-1, last]))
+        return True
 
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
         """How many tokens each of the words has."""
         return np.array(self.lens)[numbers]
 
-    def lists(self, numbers: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """The words' ids and end bytes."""
+    def flat_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' ids, end bytes, and bounds of each word in both."""
         lens = self.sizes(numbers)
         total = np.cumsum(lens)
         at = np.repeat(np.array(self.starts)[numbers] - total + lens, lens) + np.arange(total[-1] if len(total) else 0)
         ids = self.flat[at]
         ends, bounds = np.cumsum(self.bytes.size[ids]), np.r_[0, total]
-        ends = ends - np.repeat(np.r_[0, ends][bounds[:-1]], lens)
-        bounds = pa.array(bounds.astype(np.int32))
-        return pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.ListArray.from_arrays(bounds, pa.array(ends.astype(np.int32)))
+        return ids, (ends - np.repeat(np.r_[0, ends][bounds[:-1]], lens)).astype(np.int32), bounds
+
+
+def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def _taken(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at the places `which`, and their bounds."""
+    lens = np.diff(bounds)[which]
+    total = np.cumsum(lens)
+    at = np.repeat(bounds[which] - total + lens, lens) + np.arange(total[-1] if len(total) else 0)
+    return values[at], np.r_[0, total]
+
+
+def _layouts(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that have each layout, and every word's layout; sides are (ends, bounds).
+
+    Layouts are told by a fingerprint and then compared with the one that stands for them.
+    """
+    n = len(sides[0][1]) - 1
+    told = np.zeros(n, np.uint64)
+    for k, (ends, bounds) in enumerate(sides):
+        lens = np.diff(bounds)
+        step = mix(ends.astype(np.uint64) * U64(2) + U64(k + 1))
+        place = np.arange(len(ends)) - np.repeat(bounds[:-1], lens)
+        sums = np.r_[U64(0), np.cumsum(mix(step + place.astype(np.uint64)))]
+        told = mix(told + sums[bounds[1:]] - sums[bounds[:-1]])
+    _, first, which = np.unique(told, return_index=True, return_inverse=True)
+    for ends, bounds in sides:
+        other, own = _taken(ends, bounds, first[which])
+        if not (np.array_equal(own, bounds) and np.array_equal(other, ends)):
+            return np.arange(n), np.arange(n)  # two layouts under one fingerprint: each word gets its own
+    return first, which
 
 
 class _Tokenizers:
@@ -178,17 +197,27 @@ class _Tokenizers:
         return numbers, counts
 
     def _add(self, words: list[str]) -> None:
-        """Encode new words; `whole` tells whether both sides spell a word's bytes."""
+        """Encode new words; `whole` tells whether both sides spell a word's bytes.
+
+        Words that end in no white space are encoded together as one text, for
+        no word's tokens depend on the next word.
+        """
+        joined = " ".join(words)
+        if len(words) > 1 and "▁" not in joined and words[0] and words[0][0] != " " and words[-1] and not words[-1][-1].isspace() and _BLANK(joined) is None:
+            text = np.frombuffer((" " + joined).encode(), np.uint8)
+            stops = np.r_[np.flatnonzero(text == 0x20)[1:], len(text)]
+            if len(stops) == len(words) and all(side.add_together(joined, text, stops) for side in (self.a, self.b)):
+                self.whole.append(np.ones(len(words), bool))
+                return
+            for side in (self.a, self.b):
+                side.forget(len(self.index) - sum(map(len, self.whole)), len(words))
         bodies = [(" " + w).encode() for w in words]
-        sizes = np.array([len(x) for x in bodies], np.int64)
-        text = np.frombuffer(b"".join(bodies), np.uint8)
         whole = np.ones(len(words), bool)
         for side in (self.a, self.b):
-            spelt, lens = side.add(words)
-            if len(spelt) == len(text) and np.array_equal(lens, sizes) and np.array_equal(spelt, text):
-                continue
-            ends = np.cumsum(lens)
-            whole &= [spelt[e - n : e].tobytes() == x for e, n, x in zip(ends, lens, bodies, strict=True)]
+            for i, (ids, body) in enumerate(zip(side.encode(words), bodies, strict=True)):
+                own = np.array(ids, np.int32)
+                side.keep(own, np.array([len(own)], np.int64))
+                whole[i] &= side.bytes.joined(own).tobytes() == body
         self.whole.append(whole)
 
 
@@ -228,13 +257,13 @@ def _sum_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(values)][np.r_[0, np.cumsum(counts)]])
 
 
-SIDES = ["a_ids", "a_ends", "b_ids", "b_ends"]
 NUMBERS = T.ArrayType(T.IntegerType(), False)
-WORD = T.StructType([T.StructField(c, NUMBERS, False) for c in SIDES])
+LAYOUT = T.StructType([T.StructField(c, NUMBERS, False) for c in ("a_ends", "b_ends")])
+WORD = T.StructType([T.StructField("layout", T.IntegerType(), False), *(T.StructField(c, NUMBERS, False) for c in ("a_ids", "b_ids"))])
 
 
 def tokenise(docs: DataFrame, *, text_col: str = "text", keep: list[str], a_file: str | None = None, b_file: str | None = None) -> DataFrame:
-    """Pages (words, docs): ids and end bytes of each distinct word; the kept columns, n_a, n_b and word numbers of each document.
+    """Pages (layouts, words, docs): distinct end bytes; layout and ids of each distinct word; the kept columns, n_a, n_b and word numbers of each document.
 
     A page holds a few megabytes of text, or one long text. Null and empty
     texts, and those whose tokens' bytes on either side are not the text's, have
@@ -255,15 +284,18 @@ def tokenise(docs: DataFrame, *, text_col: str = "text", keep: list[str], a_file
                 good = _sum_by(~whole[numbers], counts) == 0
                 numbers, counts = numbers[np.repeat(good, counts)], np.where(good, counts, 0)
                 distinct, own = np.unique(numbers, return_inverse=True)
-                words = pa.StructArray.from_arrays([x for side in (tools.a, tools.b) for x in side.lists(distinct)], names=SIDES)
+                (a_ids, a_ends, a_bounds), (b_ids, b_ends, b_bounds) = (side.flat_of(distinct) for side in (tools.a, tools.b))
+                first, which = _layouts([(a_ends, a_bounds), (b_ends, b_bounds)])
+                layouts = pa.StructArray.from_arrays([_list(*_taken(a_ends, a_bounds, first)), _list(*_taken(b_ends, b_bounds, first))], names=["a_ends", "b_ends"])
+                words = pa.StructArray.from_arrays([pa.array(which.astype(np.int32)), _list(a_ids, a_bounds), _list(b_ids, b_bounds)], names=["layout", "a_ids", "b_ids"])
                 totals = [pa.array(_sum_by(side.sizes(numbers), counts)) for side in (tools.a, tools.b)]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(own.astype(np.int32)))
                 each = pa.StructArray.from_arrays([*(part.column(c) for c in keep), *totals, lists], names=[*keep, "n_a", "n_b", "words"])
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([one(words), one(each)], names=["words", "docs"])
+                yield pa.RecordBatch.from_arrays([one(layouts), one(words), one(each)], names=["layouts", "words", "docs"])
             give_back()
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("words", T.ArrayType(WORD, False)), T.StructField("docs", T.ArrayType(doc, False))]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("layouts", T.ArrayType(LAYOUT, False)), T.StructField("words", T.ArrayType(WORD, False)), T.StructField("docs", T.ArrayType(doc, False))]))
 
 
 # --- alignment ---------------------------------------------------------------------------------------------------------
@@ -300,50 +332,50 @@ def overlaps(a_ends: Column, b_ends: Column) -> Column:
     return _let(last, lambda n: F.transform(n, lambda j, i: F.struct(F.when(i == 0, 0).otherwise(F.get(n, i - 1)).alias("first"), j.alias("last"))))
 
 
-def _names(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
+def _layout(ends: Column) -> Column:
+    """What words of a layout have in common: n_groups, order and marks (tokens as the groups' text has them, A's first, and what follows each), from and to (the places of each link).
 
+    A token of B is numbered after all of A's.
+    """
+    a_ends, b_ends = ends["a_ends"], ends["b_ends"]
+    made = lambda n, order, marks, a, b: F.struct(n.alias("n_groups"), order.alias("order"), marks.alias("marks"), a.alias("from"), b.alias("to"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
 
-def _aligned(w: Column, pair) -> Column:
-    """n_groups, groups (text) and links of a word, or of any tokens with their ends."""
-    a_ids, a_ends, b_ids, b_ends = (w[c] for c in SIDES)
-    made = lambda n, groups, links: F.struct(n.alias("n_groups"), groups.alias("groups"), links.alias("links"))
-
-    def one_a(a: Column, b: Column) -> Column:
-        return F.transform(b, lambda y: pair(a[0], y))
+    def even(n: Column) -> Column:
+        pairs = F.flatten(F.transform(upto(n), lambda i: F.array(i, n + i)))
+        marks = F.array_repeat(F.array(F.lit("|"), F.lit(";")), n)
+        return made(n, pairs, F.flatten(marks), upto(n), upto(n))
 
-    def one_b(a: Column, b: Column) -> Column:
-        return F.transform(a, lambda x: pair(x, b[0]))
+    def group(p: Column, k: Column) -> Column:
+        start = lambda at: F.when(k == 0, 0).otherwise(F.get(at, k - 1))
+        return F.struct(start(p["a"]).alias("a0"), F.get(p["a"], k).alias("a1"), start(p["b"]).alias("b0"), F.get(p["b"], k).alias("b1"))
 
     def several(g: Column) -> Column:
-        ends = [F.slice(e, g[first] + 1, F.size(g[own])) for e, first, own in ((a_ends, "a0", "a"), (b_ends, "b0", "b"))]
-        return F.flatten(F.transform(overlaps(*ends), lambda o, i: F.transform(F.sequence(o["first"], o["last"]), lambda j: pair(F.get(g["a"], i), F.get(g["b"], j)))))
+        own = lambda e, x, y: F.slice(e, x + 1, y - x)
+        spans = overlaps(own(a_ends, g["a0"], g["a1"]), own(b_ends, g["b0"], g["b1"]))
+        return F.flatten(F.transform(spans, lambda o, i: F.transform(F.sequence(o["first"], o["last"]), lambda j: F.struct((g["a0"] + i).alias("a"), (g["b0"] + j).alias("b")))))
 
     def linked(g: Column) -> Column:
-        return F.when(F.size(g["a"]) == 1, one_a(g["a"], g["b"])).when(F.size(g["b"]) == 1, one_b(g["a"], g["b"])).otherwise(several(g))
+        one_a = F.transform(F.sequence(g["b0"], g["b1"] - 1), lambda j: F.struct(g["a0"].alias("a"), j.alias("b")))
+        one_b = F.transform(F.sequence(g["a0"], g["a1"] - 1), lambda i: F.struct(i.alias("a"), g["b0"].alias("b")))
+        return F.when(g["a1"] - g["a0"] == 1, one_a).when(g["b1"] - g["b0"] == 1, one_b).otherwise(several(g))
 
-    def grouped(p: Column) -> Column:
-        def one(k: Column) -> Column:
-            start = lambda at: F.when(k == 0, 0).otherwise(F.get(at, k - 1))
-            a0, b0 = start(p["a"]), start(p["b"])
-            own = lambda ids, at, first: F.slice(ids, first + 1, F.get(at, k) - first)
-            return F.struct(own(a_ids, p["a"], a0).alias("a"), own(b_ids, p["b"], b0).alias("b"), a0.alias("a0"), b0.alias("b0"))
+    def general(gs: Column) -> Column:
+        n = F.size(a_ends)
+        order = F.flatten(F.transform(gs, lambda g: F.concat(F.sequence(g["a0"], g["a1"] - 1), F.sequence(n + g["b0"], n + g["b1"] - 1))))
+        commas = lambda x, y: F.array_repeat(F.lit(","), y - x - 1)
+        marks = F.flatten(F.transform(gs, lambda g: F.concat(commas(g["a0"], g["a1"]), F.array(F.lit("|")), commas(g["b0"], g["b1"]), F.array(F.lit(";")))))
+        return _let(F.flatten(F.transform(gs, linked)), lambda x: made(F.size(gs), order, marks, x["a"], x["b"]))
 
-        return F.transform(F.sequence(F.lit(0), F.size(p["a"]) - 1), one)
+    found = lambda cuts: _let(F.struct(places(a_ends, cuts).alias("a"), places(b_ends, cuts).alias("b")), lambda p: _let(F.transform(upto(F.size(p["a"])), lambda k: group(p, k)), general))
+    return F.when(a_ends == b_ends, even(F.size(a_ends))).otherwise(_let(F.array_intersect(a_ends, b_ends), found))
 
-    def general(cuts: Column) -> Column:
-        groups = _let(F.struct(places(a_ends, cuts).alias("a"), places(b_ends, cuts).alias("b")), grouped)
-        text = lambda g: F.concat(_names(g["a"]), F.lit("|"), _names(g["b"]))
-        return _let(groups, lambda gs: made(F.size(gs), F.array_join(F.transform(gs, text), ";"), F.flatten(F.transform(gs, linked))))
 
-    sole = F.concat(_names(a_ids), F.lit("|"), _names(b_ids))
-    even = F.array_join(F.zip_with(a_ids.cast("array<string>"), b_ids.cast("array<string>"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-    return (
-        F.when(F.size(a_ids) == 1, made(F.lit(1), sole, one_a(a_ids, b_ids)))  # the general way gives the same in these three
-        .when(F.size(b_ids) == 1, made(F.lit(1), sole, one_b(a_ids, b_ids)))
-        .when(a_ends == b_ends, made(F.size(a_ids), even, F.zip_with(a_ids, b_ids, pair)))
-        .otherwise(_let(F.array_intersect(a_ends, b_ends), general))
-    )
+def _filled(layout: Column, a_ids: Column, b_ids: Column, pair) -> Column:
+    """n_groups, groups (text) and links of a word."""
+    text = _let(F.concat(a_ids, b_ids).cast("array<string>"), lambda ids: F.array_join(F.zip_with(layout["order"], layout["marks"], lambda k, mark: F.concat(F.get(ids, k), mark)), ""))
+    links = F.zip_with(layout["from"], layout["to"], lambda i, j: pair(F.get(a_ids, i), F.get(b_ids, j)))
+    return F.struct(layout["n_groups"].alias("n_groups"), text.alias("groups"), links.alias("links"))
 
 
 def align(pages: DataFrame, pair) -> DataFrame:
@@ -354,11 +386,16 @@ def align(pages: DataFrame, pair) -> DataFrame:
         def one(d: Column) -> Column:
             own = lambda c: F.transform(d["words"], lambda i: F.get(found, i)[c])
             n = F.aggregate(d["words"], F.lit(0).cast("long"), lambda total, i: total + F.get(found, i)["n_groups"])
-            return F.struct(*(d[c].alias(c) for c in kept), n.alias("n_groups"), F.array_join(own("groups"), ";").alias("groups"), F.flatten(own("links")).alias("links"))
+            text = F.array_join(own("groups"), "")  # a word's text ends with a semicolon
+            return F.struct(*(d[c].alias(c) for c in kept), n.alias("n_groups"), F.left(text, F.length(text) - 1).alias("groups"), F.flatten(own("links")).alias("links"))
 
         return F.transform("docs", one)
 
-    return pages.select(_let(F.transform("words", lambda w: _aligned(w, pair)), documents).alias("docs")).select(F.inline("docs"))
+    def words(layouts: Column) -> Column:
+        return F.transform("words", lambda w: _let(F.get(layouts, w["layout"]), lambda x: _filled(x, w["a_ids"], w["b_ids"], pair)))
+
+    found = _let(F.transform("layouts", _layout), lambda layouts: _let(words(layouts), documents))
+    return pages.select(found.alias("docs")).select(F.inline("docs"))
 
 
 def align_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, a_file: str | None = None, b_file: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -378,16 +415,18 @@ def align_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str]
     keep = [c for c in (keep if keep is not None else ["doc_id"]) if c not in made]
     own = [F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)]
     import sentencepiece
+    from tokenizers import Tokenizer
 
     width = sentencepiece.SentencePieceProcessor(model_proto=_read(b_file, B_FILE)).get_piece_size()
+    small = Tokenizer.from_str(_read(a_file, A_FILE).decode()).get_vocab_size() * width < 1 << 31
     pages = tokenise(docs.select(*own, F.col(text_col).alias("__text")), text_col="__text", keep=[f"__c{i}" for i in range(len(keep))], a_file=a_file, b_file=b_file)
-    found = align(pages, lambda a, b: a.cast("long") * width + b)
+    found = align(pages, lambda a, b: (a if small else a.cast("long")) * width + b)
     sha = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
     texts = stage(found.select(F.monotonically_increasing_id().alias("__row"), *(f"__c{i}" for i in range(len(keep))), "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), sha.alias("groups_sha256"), "links"), "aligned", compression="zstd")
     counts = texts.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
-    counts = stage(counts.select(F.floor(F.col("pair") / width).alias("a"), "pair", "n_docs"), "pairs")
+    counts = stage(counts.select(F.expr(f"cast(pair div {width} as int)").alias("a"), "pair", "n_docs"), "pairs")
     tops = counts.groupBy("a").agg(F.max("n_docs").alias("top"))  # as many rows as A has ids at most
-    pairs = stage(counts.join(F.broadcast(tops), "a").select("pair", "a", (F.col("pair") % width).alias("b"), "n_docs", (F.col("n_docs") == F.col("top")).alias("is_best")), "pair-counts")
+    pairs = stage(counts.join(F.broadcast(tops), "a").select("pair", "a", (F.col("pair") % width).cast("int").alias("b"), "n_docs", (F.col("n_docs") == F.col("top")).alias("is_best")), "pair-counts")
     links = texts.select("__row", F.explode("links").alias("pair"))
     met = links.join(sized(pairs.select("pair", "n_docs", "is_best"), PAIRS), "pair")
     sums = met.groupBy("__row").agg(F.sum(F.col("is_best").cast("long")).alias("n_best"), F.sum("n_docs").alias("count_sum"))
