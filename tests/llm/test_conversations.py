@@ -130,3 +130,15 @@ def test_query(spark, tmp_path):
         got = QUERIES["op12_conversation_repair"](spark, sf).collect()
         assert len(got) == len({r[0] for r in rows})
         assert {r.conv_id: tuple(r[n] for n in NAMES) for r in got} == {c: want.get(c, nothing) for c in {r[0] for r in rows}}
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from tidemark.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    want = con.sql(ORACLES["op12_conversation_repair"])
+    got = QUERIES["op12_conversation_repair"](spark, "/root/testdata/sf0.001")
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())

@@ -13,7 +13,7 @@ from .langid import op7_language_id
 from .license_scan import op9_license_scan
 from .mixing import op3_mix_sources
 from .ngram_join import op10_ngram_join
-from .oracles import NEAR, SUBSTRINGS, VECTORS
+from .oracles import NEAR, REPAIRS, SUBSTRINGS, VECTORS
 from .pieces import op5_piece_encode
 from .secret_scan import op1_secret_scan
 from .substring_dedup import op2_substring_dedup
@@ -39,4 +39,5 @@ ORACLES = {
     "op4_exact_dedup": EXACT_DEDUP_SQL,
     "op6_embedding_dedup": VECTORS,
     "op10_ngram_join": NEAR,
+    "op12_conversation_repair": REPAIRS,
 }
