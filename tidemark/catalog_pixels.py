@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import EMB, PIX, colours, query, rasters, table
-from .operators import coverage, fit
+from .catalog import EMB, ORACLES, PIX, RGB, colours, query, rasters, table
+from .functions import colour
+from .operators import arrays, coverage, fit, stats
+from .sources import tables
 
 W, H, RADIUS = 20, 16, 0.04
 _R = RADIUS * W
@@ -103,3 +107,119 @@ def look_fit(spark: SparkSession, d: str) -> DataFrame:
     """The colour matrix of each chart; held against a dense fit in the tests."""
     got = fit.fit_matrices(look_patches(spark, d))
     return got.select("chart", F.transform("matrix", lambda x: F.round(x, 6)).alias("matrix"))
+
+
+# Colour functions on their own
+
+
+def _dot(row: tuple, names: tuple) -> str:
+    return " + ".join(f"({k}) * {n}" for k, n in zip(row, names, strict=True))
+
+
+def _rows(matrix: tuple, into: str, names: tuple, wrap: str = "{}") -> str:
+    return ", ".join(f"{wrap.format(_dot(row, names))} AS {n}" for row, n in zip(matrix, into, strict=True))
+
+
+_TURN = math.radians(30)
+
+
+@query(f"""WITH {RGB}, m AS (SELECT vec_id, {_rows(colour.TO_LMS, "uvw", ("r", "g", "b"), "cbrt({})")} FROM c), o AS (SELECT vec_id, {_rows(colour.LMS_TO_LAB, "lxy", ("u", "v", "w"))} FROM m),
+t AS (SELECT vec_id, l, x * {math.cos(_TURN)!r} - y * {math.sin(_TURN)!r} AS x, x * {math.sin(_TURN)!r} + y * {math.cos(_TURN)!r} AS y FROM o), p AS (SELECT vec_id, {_rows(colour.LAB_TO_LMS, "uvw", ("l", "x", "y"), "pow({}, 3)")} FROM t)
+SELECT vec_id, {", ".join(f"round({_dot(row, ('u', 'v', 'w'))}, 5) AS {n}" for row, n in zip(colour.FROM_LMS, ("turned_r", "turned_g", "turned_b"), strict=True))} FROM p""")
+def hue_turn(spark: SparkSession, d: str) -> DataFrame:
+    """Colours with their hue turned by 30 degrees in a perceptual space, and back."""
+    turned = colour.from_oklab(*colour.rotate_hue(*colour.oklab(F.col("r"), F.col("g"), F.col("b")), 30.0))
+    return colours(spark, d).select("vec_id", *(F.round(v, 5).alias(f"turned_{n}") for v, n in zip(turned, "rgb", strict=True)))
+
+
+def _f(v: str, n: float) -> str:
+    return f"CASE WHEN {v} / {n} > {colour.LAB_EPS!r} THEN cbrt({v} / {n}) ELSE ({colour.LAB_KAPPA!r} * ({v} / {n}) + 16) / 116 END"
+
+
+@query(f"WITH {RGB}, f AS (SELECT vec_id, {', '.join(f'{_f(v, n)} AS f{v}' for v, n in zip('rgb', colour.D50, strict=True))} FROM c) SELECT vec_id, round(116 * fg - 16, 5) AS light, round(500 * (fr - fg), 5) AS a, round(200 * (fg - fb), 5) AS b FROM f")
+def xyz_lab(spark: SparkSession, d: str) -> DataFrame:
+    """Three components read as XYZ, in Lab."""
+    lab = colour.xyz_to_lab(F.col("r"), F.col("g"), F.col("b"))
+    return colours(spark, d).select("vec_id", *(F.round(v, 5).alias(n) for v, n in zip(lab, ("light", "a", "b"), strict=True)))
+
+
+_BANDS = (0, 30, 60, 120, 180, 240, 280, 320)
+
+
+def _band(k: int) -> str:
+    c, left, right = _BANDS[k], (_BANDS[k] - _BANDS[k - 1]) % 360, (_BANDS[(k + 1) % 8] - _BANDS[k]) % 360
+    up, down = f"((h - {c} + 360) % 360)", f"(({c} - h + 720) % 360)"
+    return f"CASE WHEN {up} < {right} THEN 0.5 + 0.5 * cos(pi() * {up} / {right}) WHEN {down} < {left} THEN 0.5 + 0.5 * cos(pi() * {down} / {left}) ELSE 0 END"
+
+
+@query(f"WITH {RGB}, h AS (SELECT vec_id, r * 360 AS h FROM c) SELECT vec_id, {', '.join(f'round({_band(k)}, 6) AS w{k}' for k in range(8))} FROM h")
+def hue_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the eight hue bands."""
+    w = colour.band_weights(F.col("r") * 360, _BANDS)
+    return colours(spark, d).select("vec_id", *(F.round(w[k], 6).alias(f"w{k}") for k in range(8)))
+
+
+@query(f"WITH {RGB} SELECT vec_id, round(1 + (b - 0.5) * {_smooth(0.5, 1.0, 'sqrt(r * r + g * g)')}, 6) AS gain FROM c")
+def vignette_gain(spark: SparkSession, d: str) -> DataFrame:
+    gain = colour.radial_gain(F.col("r"), F.col("g"), F.col("b") - 0.5)
+    return colours(spark, d).select("vec_id", F.round(gain, 6).alias("gain"))
+
+
+_TABLE = (0.0, 0.1, 0.35, 0.8, 1.0)
+
+
+@query(f"WITH {RGB}, p AS (SELECT vec_id, greatest(0, least(1, r)) * 4 AS at, CAST(least(floor(greatest(0, least(1, r)) * 4), 4) AS INTEGER) AS k FROM c), t AS (SELECT [{', '.join(f'{v}::DOUBLE' for v in _TABLE)}] AS t) SELECT vec_id, round(t[k + 1] + (t[least(k + 1, 4) + 1] - t[k + 1]) * (at - k), 6) AS value FROM p, t")
+def evenly_spaced_table(spark: SparkSession, d: str) -> DataFrame:
+    """Values through a small table, interpolated."""
+    value = colour.lookup_lerp(F.array(*map(F.lit, _TABLE)), F.col("r"))
+    return colours(spark, d).select("vec_id", F.round(value, 6).alias("value"))
+
+
+@query(f"WITH {RGB} SELECT vec_id, round(greatest(greatest(0, r) * (1 - g), 0.25) * b, 6) AS coverage FROM c")
+def mask_components(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of a mask's components in order: add, subtract, add, intersect."""
+    one = lambda op, v: F.struct(F.lit(op).alias("op"), v.cast("double").alias("value"))
+    made = arrays.compose_mask(F.array(one("add", F.col("r")), one("subtract", F.col("g")), one("add", F.lit(0.25)), one("intersect", F.col("b"))))
+    return colours(spark, d).select("vec_id", F.round(made, 6).alias("coverage"))
+
+
+@query(f"WITH {PIX} SELECT vec_id, CAST(len(p) - list_position(list_reverse(p), list_max(p)) AS INTEGER) AS chosen FROM px")
+def object_mask(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate with the best score, the last of several."""
+    return rasters(spark, d).select("vec_id", arrays.arg_max_last(F.col("p")).cast("int").alias("chosen"))
+
+
+@query(f"""WITH {PIX}, u AS (SELECT vec_id % 20 AS image, unnest(range(1, len(p) - 1)) AS i, p FROM px), x AS (SELECT image, p[i] AS r, p[i + 1] AS g, p[i + 2] AS b FROM u),
+v AS (SELECT image, 'r' AS channel, r AS v FROM x UNION ALL SELECT image, 'g', g FROM x UNION ALL SELECT image, 'b', b FROM x UNION ALL SELECT image, 'luma', (2126 * r + 7152 * g + 722 * b + 5000) // 10000 FROM x)
+SELECT image, channel, list_transform(range(256), lambda k: len(list_filter(list(v), lambda y: y = k))) AS histogram, count(*) FILTER (WHERE v <= 100) AS shadows, count(*) FILTER (WHERE v >= 155) AS highlights FROM v GROUP BY image, channel""")
+def histogram_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Four channels at once, with their clip counts: neighbouring values of embeddings as red, green and blue."""
+    px = rasters(spark, d).select((F.col("vec_id") % 20).alias("image"), "p")
+    three = px.select("image", F.explode(F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.struct(F.get("p", i).alias("r"), F.get("p", i + 1).alias("g"), F.get("p", i + 2).alias("b")))).alias("x"))
+    return stats.histogram_channels(three.select("image", "x.*"), ["image"], low=100, high=155)
+
+
+# SQL of queries that had none
+
+
+def _curve(points: list[tuple[float, float]]) -> str:
+    """A monotone cubic as SQL, of r."""
+    xs, ys, ms = (v.tolist() for v in tables.monotone_cubic(points))
+    out = f"CASE WHEN r <= {xs[0]!r} THEN {ys[0]!r}"
+    for k in range(len(xs) - 1):
+        h = xs[k + 1] - xs[k]
+        t = f"((r - {xs[k]!r}) / {h!r})"
+        out += f" WHEN r < {xs[k + 1]!r} THEN {ys[k]!r} + {t} * ({h!r} * {ms[k]!r} + {t} * (3 * ({ys[k + 1] - ys[k]!r}) - {h!r} * ({2 * ms[k] + ms[k + 1]!r}) + {t} * ({h!r} * ({ms[k] + ms[k + 1]!r}) - 2 * ({ys[k + 1] - ys[k]!r}))))"
+    return f"greatest(0, least(1, {out} ELSE {ys[-1]!r} END))"
+
+
+ORACLES["curve_eval"] = f"WITH {RGB} SELECT vec_id, round({_curve([(0, 0), (0.25, 0.2), (0.75, 0.85), (1, 1)])}, 6) AS value FROM c"
+
+ORACLES["colour_difference"] = f"""WITH {EMB}, p AS (SELECT vec_id, a[1] * 100 AS l1, a[2] * 100 AS a1, a[3] * 100 AS b1, a[4] * 100 AS l2, a[5] * 100 AS a2, a[6] * 100 AS b2 FROM e),
+g AS (SELECT *, (sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2 AS cm FROM p), h AS (SELECT *, 0.5 * (1 - sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25.0::DOUBLE, 7)))) AS g FROM g),
+q AS (SELECT vec_id, l1, l2, b1, b2, a1 * (1 + g) AS a1, a2 * (1 + g) AS a2 FROM h), c AS (SELECT *, sqrt(a1 * a1 + b1 * b1) AS c1, sqrt(a2 * a2 + b2 * b2) AS c2, (degrees(atan2(b1, a1)) + 360) % 360 AS h1, (degrees(atan2(b2, a2)) + 360) % 360 AS h2 FROM q),
+d AS (SELECT *, l2 - l1 AS dl, c2 - c1 AS dc, CASE WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh, (l1 + l2) / 2 AS lm, (c1 + c2) / 2 AS cc,
+CASE WHEN abs(h1 - h2) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS hm FROM c),
+s AS (SELECT vec_id, dl / (1 + 0.015 * pow(lm - 50, 2) / sqrt(20 + pow(lm - 50, 2))) AS x, dc / (1 + 0.045 * cc) AS y,
+2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * cc * (1 - 0.17 * cos(radians(hm - 30)) + 0.24 * cos(radians(2 * hm)) + 0.32 * cos(radians(3 * hm + 6)) - 0.20 * cos(radians(4 * hm - 63)))) AS z,
+-sin(radians(60 * exp(-pow((hm - 275) / 25, 2)))) * 2 * sqrt(pow(cc, 7) / (pow(cc, 7) + pow(25.0::DOUBLE, 7))) AS rt FROM d) SELECT vec_id, round(sqrt(greatest(0, x * x + y * y + z * z + rt * y * z)), 4) AS difference FROM s"""

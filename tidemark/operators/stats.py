@@ -98,3 +98,21 @@ def extent(df: DataFrame, at: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def bounds(df: DataFrame, keys: Sequence[str] = (), lat: str = "lat", lon: str = "lon") -> DataFrame:
     return df.groupBy(*keys).agg(F.min(lat).alias("south"), F.min(lon).alias("west"), F.max(lat).alias("north"), F.max(lon).alias("east"))
+
+
+def histogram_channels(pixels: DataFrame, keys: Sequence[str], channels: Sequence[str] = ("r", "g", "b"), low: int = 0, high: int = 255) -> DataFrame:
+    """keys, channel (also `luma`), histogram (256 counts), shadows and highlights of 8-bit pixels, in one pass.
+
+    shadows and highlights count the values at or beyond each end. Pixels are
+    summed by value first, so a task sends at most 256 counts for each channel.
+    Nulls count for nothing.
+    """
+    from ..functions.colour import luma_709
+
+    named = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("int").alias("v")) for c in channels), F.struct(F.lit("luma").alias("channel"), luma_709(*(F.col(c) for c in channels)).cast("int").alias("v")))
+    values = pixels.select(*keys, F.explode(named).alias("x")).select(*keys, "x.channel", "x.v").where("v between 0 and 255")
+    counts = values.groupBy(*keys, "channel", "v").agg(F.count("*").alias("n"))
+    at = F.map_from_entries(F.collect_list(F.struct("v", "n")))
+    sums = counts.groupBy(*keys, "channel").agg(at.alias("m"), F.sum(F.when(F.col("v") <= low, F.col("n")).otherwise(0)).alias("shadows"), F.sum(F.when(F.col("v") >= high, F.col("n")).otherwise(0)).alias("highlights"))
+    histogram = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long")))
+    return sums.select(*keys, "channel", histogram.alias("histogram"), "shadows", "highlights")
