@@ -168,7 +168,7 @@ def vignette_gain(spark: SparkSession, d: str) -> DataFrame:
 _TABLE = (0.0, 0.1, 0.35, 0.8, 1.0)
 
 
-@query(f"WITH {RGB}, p AS (SELECT vec_id, greatest(0, least(1, r)) * 4 AS at, CAST(least(floor(greatest(0, least(1, r)) * 4), 4) AS INTEGER) AS k FROM c), t AS (SELECT [{', '.join(f'{v}::DOUBLE' for v in _TABLE)}] AS t) SELECT vec_id, round(t[k + 1] + (t[least(k + 1, 4) + 1] - t[k + 1]) * (at - k), 6) AS value FROM p, t")
+@query(f"WITH {RGB}, p AS (SELECT vec_id, greatest(0, least(1, r)) * 4 AS spot, CAST(least(floor(greatest(0, least(1, r)) * 4), 4) AS INTEGER) AS k FROM c), t AS (SELECT [{', '.join(f'{v}::DOUBLE' for v in _TABLE)}] AS t) SELECT vec_id, round(t[k + 1] + (t[least(k + 1, 4) + 1] - t[k + 1]) * (spot - k), 6) AS value FROM p, t")
 def evenly_spaced_table(spark: SparkSession, d: str) -> DataFrame:
     """Values through a small table, interpolated."""
     value = colour.lookup_lerp(F.array(*map(F.lit, _TABLE)), F.col("r"))
