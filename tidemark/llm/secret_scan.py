@@ -209,6 +209,20 @@ def thresholds(counts: dict[tuple[int, int], int], fdr: float) -> list[int]:
     return out
 
 
+def _below(values: Column, marks: Column) -> Column:
+    """For each of ascending marks, how many of the values are below it: its place in the sorted union less the marks before it."""
+    merged = F.sort_array(F.concat(F.transform(values, lambda v: v * 2 + 1), F.transform(marks, lambda m: m * 2)))
+    at = F.array_remove(F.transform(merged, lambda v, p: F.when(v % 2 == 0, p).otherwise(-1)), -1)
+    return F.transform(at, lambda p, i: p - i)
+
+
+def _clear_of(runs: Column, base: Column) -> Column:
+    """Runs (ascending, apart from each other) that overlap no base span: as many spans have ended before a run as have begun before its end."""
+    begun = _below(F.transform(base, lambda b: b["start"]), F.transform(runs, lambda r: r["end"]))
+    ended = _below(F.transform(base, lambda b: b["end"]), F.transform(runs, lambda r: r["start"] + 1))
+    return _let(F.struct(begun.alias("begun"), ended.alias("ended")), lambda n: F.filter(runs, lambda r, i: F.get(n["begun"], i) == F.get(n["ended"], i)))
+
+
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 20, alpha: float = 1e-3, fdr: float = 0.01) -> DataFrame:
     """One row per row of docs: id_col, n_assign, n_access, n_hex, base_sha256, spans, n_random, found.
 
@@ -224,8 +238,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     runs = _spans(text, rf"[A-Za-z0-9+/_-]{{{least},}}={{0,2}}")
     base = F.array_sort(F.concat(_tagged(assign, 0), _tagged(access, 1), _tagged(hexes, 2)))
     rows = docs.select(F.col(id_col).alias("id"), base.alias("base"), runs.alias("runs"))
-    clear = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    rows = rows.select("id", "base", clear.alias("runs"))
+    rows = rows.select("id", "base", _clear_of(F.col("runs"), F.col("base")).alias("runs"))
 
     def tested(r: Column) -> Column:
         steps = _let(F.regexp_replace(r["match"], "=+$", ""), lambda token: _steps(token, alpha))
