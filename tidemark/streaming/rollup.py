@@ -12,6 +12,8 @@ from ..operators.shots import set_hash
 from ..staging import stage, unstage
 
 GRACE = "2 hours"
+#: Files that a day's rows are spread over at most, by device: a day is no single task's, however many devices report.
+SPREAD = 16
 
 
 def once_each(stream: DataFrame, keys: list[str], ts: str = "ts", grace: str = GRACE) -> DataFrame:
@@ -42,7 +44,7 @@ def daily_tracks(fixes: DataFrame, offset_seconds: int = 0) -> DataFrame:
 
 
 class Days:
-    """Fixes and tracks in folders by local day; a batch rewrites the days that it touches and no others."""
+    """Fixes and tracks in folders by local day; a batch rewrites the days that it touches and no others. The driver gets the list of those days."""
 
     def __init__(self, spark: SparkSession, root: str, offset_seconds: int = 0):
         self.spark, self.root, self.offset = spark, root.rstrip("/"), offset_seconds
@@ -61,7 +63,7 @@ class Days:
         days = [r["day"] for r in fresh.select("day").distinct().collect()]
         fixes = stage(merge_fixes(self._held(fresh, days), fresh), "fixes")
         for name, rows in (("fixes", fixes), ("tracks", daily_tracks(fixes, self.offset))):
-            rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.root}/{name}")
+            rows.repartition(F.col("day"), F.pmod(F.hash("device"), F.lit(SPREAD))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.root}/{name}")
         unstage(fixes)
 
 
