@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import partitions, sized, stage, table, unstage
 from .graph import components
 
@@ -151,6 +152,7 @@ def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     name no component while another id is there. Other columns are ignored, and
     an empty table gives an empty result.
     """
+    ship(vectors.sparkSession)
     spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType.elementType
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))

@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .common import sized, stage, table
 
 _TOKEN = re.compile(
@@ -501,6 +502,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     an empty table gives an empty result. Elements may be nested as deep as they
     like.
     """
+    ship(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
     templates = constants(rows)
