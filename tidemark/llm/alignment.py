@@ -395,7 +395,8 @@ def align(pages: DataFrame, pair) -> DataFrame:
         return F.transform("words", lambda w: _let(F.get(layouts, w["layout"]), lambda x: _filled(x, w["a_ids"], w["b_ids"], pair)))
 
     found = _let(F.transform("layouts", _layout), lambda layouts: _let(words(layouts), documents))
-    return pages.select(found.alias("docs")).select(F.inline("docs"))
+    # pages have documents always; `inline` would add a filter on their number, for which all would be worked out twice
+    return pages.select(found.alias("docs")).select(F.inline_outer("docs"))
 
 
 def align_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, a_file: str | None = None, b_file: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -423,7 +424,7 @@ def align_documents(docs: DataFrame, *, text_col: str = "text", keep: list[str]
     found = align(pages, lambda a, b: (a if small else a.cast("long")) * width + b)
     sha = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
     texts = stage(found.select(F.monotonically_increasing_id().alias("__row"), *(f"__c{i}" for i in range(len(keep))), "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), sha.alias("groups_sha256"), "links"), "aligned", compression="zstd")
-    counts = texts.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
+    counts = texts.select(F.explode_outer(F.array_distinct("links")).alias("pair")).where("pair is not null").groupBy("pair").agg(F.count("*").alias("n_docs"))
     counts = stage(counts.select(F.expr(f"cast(pair div {width} as int)").alias("a"), "pair", "n_docs"), "pairs")
     tops = counts.groupBy("a").agg(F.max("n_docs").alias("top"))  # as many rows as A has ids at most
     pairs = stage(counts.join(F.broadcast(tops), "a").select("pair", "a", (F.col("pair") % width).cast("int").alias("b"), "n_docs", (F.col("n_docs") == F.col("top")).alias("is_best")), "pair-counts")
