@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment against the libraries' own tokens of whole texts, aligned byte by byte."""
 
 import hashlib
+import json
 import random
 from collections import Counter
 from itertools import accumulate
@@ -117,6 +118,19 @@ def test_words_encoded_together_or_alone(libraries):
         assert np.concatenate(tools.whole).tolist() == ["▁" not in w for w in words]
 
 
+def test_ranks_encode_as_the_file_says(libraries, spark):
+    file = A._read(None, A.A_FILE)
+    tools = A._tools(file, A._read(None, A.B_FILE))
+    every = "".join(chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)])
+    own = texts() + [every[i : i + 5000] for i in range(0, len(every), 5000)] + [f"a{c}1{c}! {c}" for c in "՘֋꟎\U00011de1½²ⅷ\u0085\u2028\u200b"]
+    own += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    got = A._by_ranks(file, [tools.a.bytes.body[s : s + n].tobytes() for s, n in zip(tools.a.bytes.start, tools.a.bytes.size, strict=True)])
+    assert got(own) == [e.ids for e in libraries[0].encode_batch(own, add_special_tokens=False)]
+    changed = json.loads(file)
+    changed["model"]["merges"][:2] = changed["model"]["merges"][1::-1]
+    assert A._by_ranks(json.dumps(changed).encode(), [b"x"] * 256) is None
+
+
 def test_layouts_that_share_a_fingerprint(monkeypatch):
     ends = np.array([1, 2, 1, 3, 1, 2], np.int32)
     sides = [(ends, np.array([0, 2, 4, 6]))] * 2

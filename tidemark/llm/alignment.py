@@ -22,6 +22,7 @@ broadcast if they are few enough (counted), else by a shuffled join.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -160,6 +161,30 @@ def _layouts(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return first, which
 
 
+def _by_ranks(a_json: bytes, of_id: list[bytes]):
+    """An encoder of A that works by ranks, many times faster on words that are new; none for a file that it would not be the same for.
+
+    A byte-level vocabulary whose merges make the ids in order is one whose ids
+    are ranks. Its words are cut by the same pattern, for which both libraries
+    follow one version of Unicode.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    told = json.loads(a_json)
+    model, cut = told["model"], told["pre_tokenizer"] or {}
+    plain = told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and model["type"] == "BPE"
+    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    first = 256
+    if any(model["vocab"].get("".join(m)) != first + k for k, m in enumerate(merges)) or sorted(map(len, of_id[:first])) != [1] * first:
+        return None
+    ranks = {of_id[i]: i for i in range(first + len(merges))}
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+
+
 class _Tokenizers:
     def __init__(self, a_json: bytes, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -174,7 +199,8 @@ class _Tokenizers:
             a_bytes[i] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
         b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         b_bytes = [bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
-        self.a = _Side(lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], a_bytes)
+        own = _by_ranks(a_json, a_bytes) or (lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)])
+        self.a = _Side(lambda texts: own([" " + t for t in texts]), a_bytes)
         space = [b.piece_to_id("▁")]  # a text's last space; alone, no text, it would get nothing
         self.b = _Side(lambda texts: [ids if t else space for t, ids in zip(texts, b.encode(texts, num_threads=1), strict=True)], b_bytes)
         self.whole: list[np.ndarray] = []
