@@ -309,7 +309,9 @@ def tokenise(docs: DataFrame, *, text_col: str = "text", keep: list[str], a_file
                 whole = np.concatenate([*tools.whole, np.zeros(0, bool)])
                 good = _sum_by(~whole[numbers], counts) == 0
                 numbers, counts = numbers[np.repeat(good, counts)], np.where(good, counts, 0)
-                distinct, own = np.unique(numbers, return_inverse=True)
+                used = np.zeros(len(tools.index), bool)
+                used[numbers] = True
+                distinct, own = np.flatnonzero(used), (np.cumsum(used) - 1)[numbers]
                 (a_ids, a_ends, a_bounds), (b_ids, b_ends, b_bounds) = (side.flat_of(distinct) for side in (tools.a, tools.b))
                 first, which = _layouts([(a_ends, a_bounds), (b_ends, b_bounds)])
                 layouts = pa.StructArray.from_arrays([_list(*_taken(a_ends, a_bounds, first)), _list(*_taken(b_ends, b_bounds, first))], names=["a_ends", "b_ends"])
@@ -366,11 +368,12 @@ def _layout(ends: Column) -> Column:
     a_ends, b_ends = ends["a_ends"], ends["b_ends"]
     made = lambda n, order, marks, a, b: F.struct(n.alias("n_groups"), order.alias("order"), marks.alias("marks"), a.alias("from"), b.alias("to"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
+    ended = lambda marks: F.concat(F.slice(marks, F.lit(1), F.size(marks) - 1), F.array(F.lit("")))  # noqa: E731  nothing follows the last token
 
     def even(n: Column) -> Column:
         pairs = F.flatten(F.transform(upto(n), lambda i: F.array(i, n + i)))
         marks = F.array_repeat(F.array(F.lit("|"), F.lit(";")), n)
-        return made(n, pairs, F.flatten(marks), upto(n), upto(n))
+        return made(n, pairs, ended(F.flatten(marks)), upto(n), upto(n))
 
     def group(p: Column, k: Column) -> Column:
         start = lambda at: F.when(k == 0, 0).otherwise(F.get(at, k - 1))
@@ -391,7 +394,7 @@ def _layout(ends: Column) -> Column:
         order = F.flatten(F.transform(gs, lambda g: F.concat(F.sequence(g["a0"], g["a1"] - 1), F.sequence(n + g["b0"], n + g["b1"] - 1))))
         commas = lambda x, y: F.array_repeat(F.lit(","), y - x - 1)
         marks = F.flatten(F.transform(gs, lambda g: F.concat(commas(g["a0"], g["a1"]), F.array(F.lit("|")), commas(g["b0"], g["b1"]), F.array(F.lit(";")))))
-        return _let(F.flatten(F.transform(gs, linked)), lambda x: made(F.size(gs), order, marks, x["a"], x["b"]))
+        return _let(F.flatten(F.transform(gs, linked)), lambda x: made(F.size(gs), order, ended(marks), x["a"], x["b"]))
 
     found = lambda cuts: _let(F.struct(places(a_ends, cuts).alias("a"), places(b_ends, cuts).alias("b")), lambda p: _let(F.transform(upto(F.size(p["a"])), lambda k: group(p, k)), general))
     return F.when(a_ends == b_ends, even(F.size(a_ends))).otherwise(_let(F.array_intersect(a_ends, b_ends), found))
@@ -409,13 +412,13 @@ def align(pages: DataFrame, pair) -> DataFrame:
     kept = [c for c in pages.schema["docs"].dataType.elementType.names if c != "words"]
 
     def documents(found: Column) -> Column:
-        def one(d: Column) -> Column:
-            own = lambda c: F.transform(d["words"], lambda i: F.get(found, i)[c])
-            n = F.aggregate(d["words"], F.lit(0).cast("long"), lambda total, i: total + F.get(found, i)["n_groups"])
-            text = F.array_join(own("groups"), "")  # a word's text ends with a semicolon
-            return F.struct(*(d[c].alias(c) for c in kept), n.alias("n_groups"), F.left(text, F.length(text) - 1).alias("groups"), F.flatten(own("links")).alias("links"))
+        def one(of: Column, d: Column) -> Column:
+            own = lambda values: F.transform(d["words"], lambda i: F.get(values, i))
+            n = F.aggregate(d["words"], F.lit(0).cast("long"), lambda total, i: total + F.get(of["n_groups"], i))
+            return F.struct(*(d[c].alias(c) for c in kept), n.alias("n_groups"), F.array_join(own(of["groups"]), ";").alias("groups"), F.flatten(own(of["links"])).alias("links"))
 
-        return F.transform("docs", one)
+        columns = F.struct(*(found[c].alias(c) for c in ("n_groups", "groups", "links")))  # an array for each, in place of structs
+        return _let(columns, lambda of: F.transform("docs", lambda d: one(of, d)))
 
     def words(layouts: Column) -> Column:
         return F.transform("words", lambda w: _let(F.get(layouts, w["layout"]), lambda x: _filled(x, w["a_ids"], w["b_ids"], pair)))
