@@ -137,6 +137,15 @@ def test_presets_and_looks(spark, tmp_path):
     assert {r["name"]: r["problem"] for r in bad.collect()} == {"New": "unsupported version", "Broken": "malformed"}
 
 
+def test_a_library_of_presets_is_few_files(spark, tmp_path):
+    """Names that look like numbers and bodies of several lines come back as they were."""
+    body = '{"exposure":\n0.5}'
+    rows = spark.range(100, numPartitions=2).select(F.format_string("%03d", "id").alias("name"), F.lit(body).alias("body"))
+    tables.write_presets(rows, str(tmp_path / "p"))
+    assert len([f for f in (tmp_path / "p").rglob("*") if f.name.startswith("part-")]) == 2 and not [f for f in (tmp_path / "p").iterdir() if f.is_dir()]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).select("name", "body").collect()) == [(f"{i:03d}", body) for i in range(100)]
+
+
 def test_places_in_stored_pictures_come_back(spark):
     """Orientation 6 is a quarter turn: four of them give the place again; no edit gives it at once."""
     place = lambda *a: tuple(spark.range(1).select(geo.stored_place(*(F.lit(x) for x in a)).alias("p")).first()["p"])
