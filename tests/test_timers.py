@@ -114,3 +114,60 @@ def test_rows_without_key_or_time(spark, tmp_path, time_mode):
         assert drain(stream, tmp_path, "none") == []
     else:
         assert stream.isStreaming
+
+
+class Held:
+    """A state that counts what it is asked."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def called(self, out=None):
+        self.calls += 1
+        return out
+
+    def getValueState(self, *_):  # noqa: N802
+        return type("Value", (), {"get": lambda _: self.called(self.rows[0] if self.rows else None), "exists": lambda _: self.called(bool(self.rows)), "update": lambda _, x: self.called(self.rows.__setitem__(slice(None), [x])), "clear": lambda _: self.called(self.rows.clear())})()
+
+    def getListState(self, *_):  # noqa: N802
+        rows: list = []
+        return type("List", (), {"get": lambda _: self.called(iter(list(rows))), "exists": lambda _: self.called(bool(rows)), "put": lambda _, x: self.called(rows.__setitem__(slice(None), x)), "appendValue": lambda _, x: self.called(rows.append(x)), "appendList": lambda _, x: self.called(rows.extend(x)), "clear": lambda _: self.called(rows.clear())})()
+
+    def listTimers(self):  # noqa: N802
+        return self.called(iter(sorted(self.timers)))
+
+    def registerTimer(self, t):  # noqa: N802
+        self.called(self.timers.add(t))
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.called(self.timers.discard(t))
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getCurrentProcessingTimeInMs = lambda: ms
+
+
+class At:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = lambda: ms
+
+
+def fired(processor, held, key, now):
+    out = []
+    while due := sorted(t for t in held.timers if t <= now):
+        out += list(processor.handleExpiredTimer(key, Now(now), At(due[0])))
+        held.timers.discard(due[0])
+    return out
+
+
+def test_calls_to_the_state_do_not_grow_with_bursts(spark):
+    calls = []
+    for n in (20, 200):
+        held, bursts_of = Held(), timers.QuietKeys(1000, False)
+        bursts_of.init(held)
+        bursts_of.handleInputRows(("k",), iter([{"__at": i * 5_000_000} for i in range(n)]), Now(0))
+        assert len(fired(bursts_of, held, ("k",), (n - 1) * 5_000)) == n - 1 and len(held.timers) == 1
+        assert [r.n for r in fired(bursts_of, held, ("k",), n * 5_000)] == [1] and not held.timers
+        calls.append(held.calls)
+    assert calls[0] == calls[1]
