@@ -171,3 +171,15 @@ def test_calls_to_the_state_do_not_grow_with_bursts(spark):
         assert [r.n for r in fired(bursts_of, held, ("k",), n * 5_000)] == [1] and not held.timers
         calls.append(held.calls)
     assert calls[0] == calls[1]
+
+
+def test_a_devices_week_is_one_key(spark, tmp_path):
+    """Seven days are written up in one pass; the day that is not over yet stays, with its own timer."""
+    day = 86_400
+    held, days = Held(), timers.DueDays(7_200_000, False)
+    days.init(held)
+    rows = [{"day": d * day, "at": d * day + s, "lat": 1.0, "lon": 2.0, "received_at": 9 - s} for d in range(7) for s in (1, 2, 1)]
+    days.handleInputRows(("p", 0), iter(rows), Now(0))
+    before = held.calls
+    assert [(r.day, r.track, r.n) for r in fired(days, held, ("p", 0), 6 * day * 1000 + 7_200_000)] == [(d * day, 1, 2) for d in range(6)]
+    assert held.timers == {7 * day * 1000 + 7_200_000} and held.calls - before < 12
