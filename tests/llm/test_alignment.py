@@ -141,6 +141,20 @@ def test_layouts_that_share_a_fingerprint(monkeypatch):
     assert which.tolist() == [0, 1, 2]
 
 
+def test_words_share_groups(spark, libraries):
+    parts = ["alpha", "misaligned", "x9", "漢", "unbelievably", "é!", "tion", "42"]
+    rows = [(k, " ".join("-".join((x, y, z)) for y in parts for z in parts)) for k, x in enumerate(parts)]
+    (page,) = A.tokenise(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), keep=["doc_id"]).collect()
+    groups = [(tuple(g.a_ids), tuple(g.b_ids)) for g in page.groups]
+    assert len(page.words) == len(parts) ** 3 and len(groups) == len(set(groups)) < len(page.words) // 4
+    assert len(page.layouts) == len({(tuple(x.a_ends), tuple(x.b_ends)) for x in page.layouts}) < len(groups)
+    assert all(set(x.a_ends) & set(x.b_ends) == {x.a_ends[-1]} for x in page.layouts)
+    text = lambda g: ",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1]))
+    for d in page.docs:
+        want, _ = aligned(tokens(libraries, rows[d.doc_id][1]))
+        assert d.n_groups == len(want) and [text(groups[g]) for w in d.words for g in page.words[w]] == want
+
+
 def test_a_long_word_with_large_groups(spark):
     rng = random.Random(1)
     a = sorted(rng.sample(range(1, 4000), 900)) + [4000]

@@ -5,15 +5,17 @@ the same byte, the text can be cut; the tokens between two cuts are a group.
 Within a group, tokens whose bytes overlap are linked.
 
 Neither side has tokens across a space that follows something else, so a text is
-cut into words there, and each is tokenised once for a page of documents. A page
-is a row with the distinct pairs of arrays of end bytes (a layout), the layout
-and ids of its distinct words and, for each document, the numbers of its words.
-All else is higher-order functions of Spark: a layout's cuts are the
-intersection of its two arrays of ends; a cut's place among a side's tokens is
-its place in the sorted union of both less the cuts before it; groups are slices
-between places, links come from the groups; a word fills its ids into its layout,
-and a document's groups and links are those of its words in turn. Every step is
-linear in the tokens or sorts them, also in a long word without cuts.
+cut into words there, and each is tokenised once for a page of documents. Words
+share most of their groups, so these are told apart too. A page is a row with the
+distinct pairs of arrays of end bytes (a layout), the layout and ids of its
+distinct groups, the numbers of each distinct word's groups and, for each
+document, the numbers of its words. All else is higher-order functions of Spark:
+a layout's cuts are the intersection of its two arrays of ends; a cut's place
+among a side's tokens is its place in the sorted union of both less the cuts
+before it; groups are slices between places, links come from the groups. A group
+fills its ids into its layout, a word's text and links are those of its groups in
+turn, and a document's those of its words. Every step is linear in the tokens or
+sorts them, also in a long word without cuts.
 
 A pair of ids counts once for each document that links it. Pairs are counted with
 partial sums before the shuffle; the counts meet the documents' links by a
@@ -119,13 +121,12 @@ class _Side:
         return np.array(self.lens)[numbers]
 
     def flat_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' ids, end bytes, and bounds of each word in both."""
+        """The words' ids, their end bytes when the words stand one after another, and bounds of each word in both."""
         lens = self.sizes(numbers)
         total = np.cumsum(lens)
         at = np.repeat(np.array(self.starts)[numbers] - total + lens, lens) + np.arange(total[-1] if len(total) else 0)
         ids = self.flat[at]
-        ends, bounds = np.cumsum(self.bytes.size[ids]), np.r_[0, total]
-        return ids, (ends - np.repeat(np.r_[0, ends][bounds[:-1]], lens)).astype(np.int32), bounds
+        return ids, np.cumsum(self.bytes.size[ids]), np.r_[0, total]
 
 
 def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -140,8 +141,24 @@ def _taken(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[n
     return values[at], np.r_[0, total]
 
 
+def _groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Both sides' end bytes counted from the start of their group, and bounds of the groups among them.
+
+    The ends ascend and stop at the same byte; a group ends where both sides have one.
+    """
+    size = int(a_ends[-1]) + 1 if len(a_ends) else 0
+    found, bounds = [], []
+    for own, other in ((a_ends, b_ends), (b_ends, a_ends)):
+        is_end = np.zeros(size, bool)
+        is_end[other] = True
+        last = np.flatnonzero(is_end[own])
+        bounds.append(np.r_[0, last + 1])
+        found.append((own - np.repeat(np.r_[0, own[last]][:-1], np.diff(bounds[-1]))).astype(np.int32))
+    return found, bounds
+
+
 def _layouts(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words that have each layout, and every word's layout; sides are (ends, bounds).
+    """Places that have each layout, and every place's layout; sides are (ends, bounds). Groups of ids are told apart likewise.
 
     Layouts are told by a fingerprint and then compared with the one that stands for them.
     """
@@ -157,7 +174,7 @@ def _layouts(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     for ends, bounds in sides:
         other, own = _taken(ends, bounds, first[which])
         if not (np.array_equal(own, bounds) and np.array_equal(other, ends)):
-            return np.arange(n), np.arange(n)  # two layouts under one fingerprint: each word gets its own
+            return np.arange(n), np.arange(n)  # two layouts under one fingerprint: each place gets its own
     return first, which
 
 
@@ -285,11 +302,11 @@ def _sum_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 NUMBERS = T.ArrayType(T.IntegerType(), False)
 LAYOUT = T.StructType([T.StructField(c, NUMBERS, False) for c in ("a_ends", "b_ends")])
-WORD = T.StructType([T.StructField("layout", T.IntegerType(), False), *(T.StructField(c, NUMBERS, False) for c in ("a_ids", "b_ids"))])
+GROUP = T.StructType([T.StructField("layout", T.IntegerType(), False), *(T.StructField(c, NUMBERS, False) for c in ("a_ids", "b_ids"))])
 
 
 def tokenise(docs: DataFrame, *, text_col: str = "text", keep: list[str], a_file: str | None = None, b_file: str | None = None) -> DataFrame:
-    """Pages (layouts, words, docs): distinct end bytes; layout and ids of each distinct word; the kept columns, n_a, n_b and word numbers of each document.
+    """Pages (layouts, groups, words, docs): distinct end bytes; layout and ids of each distinct group; group numbers of each distinct word; the kept columns, n_a, n_b, n_groups and word numbers of each document.
 
     A page holds a few megabytes of text, or one long text. Null and empty
     texts, and those whose tokens' bytes on either side are not the text's, have
@@ -298,7 +315,7 @@ def tokenise(docs: DataFrame, *, text_col: str = "text", keep: list[str], a_file
     ship(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kept = T.StructType([rows.schema[c] for c in keep])
-    doc = T.StructType([*kept.fields, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("words", NUMBERS)])
+    doc = T.StructType([*kept.fields, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("n_groups", T.LongType(), False), T.StructField("words", NUMBERS)])
     shared = docs.sparkSession.sparkContext.broadcast((_read(a_file, A_FILE), _read(b_file, B_FILE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,17 +330,23 @@ def tokenise(docs: DataFrame, *, text_col: str = "text", keep: list[str], a_file
                 used[numbers] = True
                 distinct, own = np.flatnonzero(used), (np.cumsum(used) - 1)[numbers]
                 (a_ids, a_ends, a_bounds), (b_ids, b_ends, b_bounds) = (side.flat_of(distinct) for side in (tools.a, tools.b))
-                first, which = _layouts([(a_ends, a_bounds), (b_ends, b_bounds)])
-                layouts = pa.StructArray.from_arrays([_list(*_taken(a_ends, a_bounds, first)), _list(*_taken(b_ends, b_bounds, first))], names=["a_ends", "b_ends"])
-                words = pa.StructArray.from_arrays([pa.array(which.astype(np.int32)), _list(a_ids, a_bounds), _list(b_ids, b_bounds)], names=["layout", "a_ids", "b_ids"])
-                totals = [pa.array(_sum_by(side.sizes(numbers), counts)) for side in (tools.a, tools.b)]
+                ends, bounds = _groups(a_ends, b_ends)
+                held = np.searchsorted(bounds[0], a_bounds)  # a word ends where a group does
+                first, which = _layouts([(a_ids, bounds[0]), (b_ids, bounds[1])])
+                (a_ids, a_bounds), (b_ids, b_bounds) = _taken(a_ids, bounds[0], first), _taken(b_ids, bounds[1], first)
+                sides = [_taken(e, b, first) for e, b in zip(ends, bounds, strict=True)]
+                first, layout = _layouts(sides)
+                layouts = pa.StructArray.from_arrays([_list(*_taken(e, b, first)) for e, b in sides], names=["a_ends", "b_ends"])
+                groups = pa.StructArray.from_arrays([pa.array(layout.astype(np.int32)), _list(a_ids, a_bounds), _list(b_ids, b_bounds)], names=["layout", "a_ids", "b_ids"])
+                words = _list(which.astype(np.int32), held)
+                totals = [pa.array(_sum_by(n, counts)) for n in (tools.a.sizes(numbers), tools.b.sizes(numbers), np.diff(held)[own])]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(own.astype(np.int32)))
-                each = pa.StructArray.from_arrays([*(part.column(c) for c in keep), *totals, lists], names=[*keep, "n_a", "n_b", "words"])
+                each = pa.StructArray.from_arrays([*(part.column(c) for c in keep), *totals, lists], names=[*keep, "n_a", "n_b", "n_groups", "words"])
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([one(layouts), one(words), one(each)], names=["layouts", "words", "docs"])
+                yield pa.RecordBatch.from_arrays([one(layouts), one(groups), one(words), one(each)], names=["layouts", "groups", "words", "docs"])
             give_back()
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("layouts", T.ArrayType(LAYOUT, False)), T.StructField("words", T.ArrayType(WORD, False)), T.StructField("docs", T.ArrayType(doc, False))]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("layouts", T.ArrayType(LAYOUT, False)), T.StructField("groups", T.ArrayType(GROUP, False)), T.StructField("words", T.ArrayType(NUMBERS, False)), T.StructField("docs", T.ArrayType(doc, False))]))
 
 
 # --- alignment ---------------------------------------------------------------------------------------------------------
@@ -361,7 +384,7 @@ def overlaps(a_ends: Column, b_ends: Column) -> Column:
 
 
 def _layout(ends: Column) -> Column:
-    """What words of a layout have in common: n_groups, order and marks (tokens as the groups' text has them, A's first, and what follows each), from and to (the places of each link).
+    """What groups of a layout have in common, or words of several groups: n_groups, order and marks (tokens as the groups' text has them, A's first, and what follows each), from and to (the places of each link).
 
     A token of B is numbered after all of A's.
     """
@@ -401,7 +424,7 @@ def _layout(ends: Column) -> Column:
 
 
 def _filled(layout: Column, a_ids: Column, b_ids: Column, pair) -> Column:
-    """n_groups, groups (text) and links of a word."""
+    """n_groups, groups (text) and links of a group or word with this layout."""
     text = _let(F.concat(a_ids, b_ids).cast("array<string>"), lambda ids: F.array_join(F.zip_with(layout["order"], layout["marks"], lambda k, mark: F.concat(F.get(ids, k), mark)), ""))
     links = F.zip_with(layout["from"], layout["to"], lambda i, j: pair(F.get(a_ids, i), F.get(b_ids, j)))
     return F.struct(layout["n_groups"].alias("n_groups"), text.alias("groups"), links.alias("links"))
@@ -410,20 +433,25 @@ def _filled(layout: Column, a_ids: Column, b_ids: Column, pair) -> Column:
 def align(pages: DataFrame, pair) -> DataFrame:
     """Documents of the pages: kept columns, n_a, n_b, n_groups, groups (`a1,a2|b1;a3|b2,b3`) and links (pair(a, b) of every two tokens that overlap)."""
     kept = [c for c in pages.schema["docs"].dataType.elementType.names if c != "words"]
+    taken = lambda values, numbers: F.transform(numbers, lambda i: F.get(values, i))
+
+    def text_and_links(of: Column, numbers: Column) -> list[Column]:
+        return [F.array_join(taken(of["groups"], numbers), ";").alias("groups"), F.flatten(taken(of["links"], numbers)).alias("links")]
+
+    def columns(rows: Column, use) -> Column:
+        """use(rows) as an array for each column, in place of structs."""
+        return _let(rows, lambda found: _let(F.struct(*(found[c].alias(c) for c in ("groups", "links"))), use))
 
-    def documents(found: Column) -> Column:
-        def one(of: Column, d: Column) -> Column:
-            own = lambda values: F.transform(d["words"], lambda i: F.get(values, i))
-            n = F.aggregate(d["words"], F.lit(0).cast("long"), lambda total, i: total + F.get(of["n_groups"], i))
-            return F.struct(*(d[c].alias(c) for c in kept), n.alias("n_groups"), F.array_join(own(of["groups"]), ";").alias("groups"), F.flatten(own(of["links"])).alias("links"))
+    def groups(layouts: Column) -> Column:
+        return F.transform("groups", lambda g: _let(F.get(layouts, g["layout"]), lambda x: _filled(x, g["a_ids"], g["b_ids"], pair)))
 
-        columns = F.struct(*(found[c].alias(c) for c in ("n_groups", "groups", "links")))  # an array for each, in place of structs
-        return _let(columns, lambda of: F.transform("docs", lambda d: one(of, d)))
+    def words(of: Column) -> Column:
+        return F.transform("words", lambda numbers: F.struct(*text_and_links(of, numbers)))
 
-    def words(layouts: Column) -> Column:
-        return F.transform("words", lambda w: _let(F.get(layouts, w["layout"]), lambda x: _filled(x, w["a_ids"], w["b_ids"], pair)))
+    def documents(of: Column) -> Column:
+        return F.transform("docs", lambda d: F.struct(*(d[c].alias(c) for c in kept), *text_and_links(of, d["words"])))
 
-    found = _let(F.transform("layouts", _layout), lambda layouts: _let(words(layouts), documents))
+    found = _let(F.transform("layouts", _layout), lambda layouts: columns(groups(layouts), lambda of: columns(words(of), documents)))
     # pages have documents always; `inline` would add a filter on their number, for which all would be worked out twice
     return pages.select(found.alias("docs")).select(F.inline_outer("docs"))
 
