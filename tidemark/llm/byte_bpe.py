@@ -13,9 +13,12 @@ Whether two tokens stay side by side is decided by undoing their merges, the
 youngest first, while looking at the pair at the border: if that pair could have
 been merged before the merge that is undone, it does not stay.
 
-Candidates for a prefix come from an Aho-Corasick automaton over the vocabulary.
-Each worker keeps the encodings of a bounded number of words. There is no
-shuffle: documents do not depend on each other.
+`encode` does this for all different words of a slice of rows at once: a trie
+over the vocabulary gives the tokens that start at each byte, and prefixes of
+equal length are settled together. Where a word is long or a text is edited,
+candidates come from an Aho-Corasick automaton instead, a word at a time. Each
+worker remembers a bounded number of pairs of tokens. There is no shuffle:
+documents do not depend on each other.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -35,31 +39,43 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from .common import table
-from .words import give_back
+from .words import give_back, text_buffer
 from .words import pieces as slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words and pairs of tokens that a worker remembers at most, and the longest word that it remembers.
-REMEMBERED, LONGEST = 1 << 19, 128
+#: Pairs of tokens that a worker remembers at most, and bytes of the longest word that is encoded together with others.
+REMEMBERED, LONGEST = 1 << 19, 512
+#: Bytes of words whose prefixes are worked out together, about.
+BLOCK = 1 << 17
+#: Places of the table that answers for pairs of many words at once, as a power of two.
+PLACES = 20
 #: A match of the pattern can depend on so many characters after its end ("'" followed by two letters).
 AHEAD = 2
 
 
-def odd_characters() -> dict[int, str]:
-    """Code points that the rank files' library and this splitter's put into different classes, with a character of the class that counts.
+#: Classes of characters, and a character that stands for each.
+REST, LETTER, NUMBER, BLANK = range(4)
+SIGNS = "!a1 "
 
-    Both follow Unicode, in different versions. 'a' stands for letters, '1' for
-    numbers and '!' for the rest.
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def classes() -> tuple[np.ndarray, dict[int, str]]:
+    """The class of each code point in the rank files' library, and the code points that this splitter's puts into another, with the sign of the class that counts.
+
+    Both follow Unicode, in different versions.
     """
     import tiktoken
 
     every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
     single = {bytes([i]): i for i in range(256)}
-    theirs, ours = dict.fromkeys(every, "!"), dict.fromkeys(every, "!")
-    for kind, sign in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"\s", " ")):
-        theirs |= dict.fromkeys(bytes(tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode(), sign)
-        ours |= dict.fromkeys(regex.findall(kind, every), sign)
-    return {ord(c): theirs[c] for c in every if theirs[c] != ours[c]}
+    theirs, ours = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
+    for kind, sign in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
+        theirs[_points(bytes(tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode())] = sign
+        ours[_points("".join(regex.findall(kind, every)))] = sign
+    return theirs, {int(c): SIGNS[theirs[c]] for c in np.flatnonzero(theirs != ours)}
 
 
 def _class_of(points: list[int]) -> str:
@@ -70,10 +86,15 @@ def _class_of(points: list[int]) -> str:
 
 
 class Splitter:
-    """Words of texts by a pattern; characters of `odd` count as the character that stands for them."""
+    """Words of texts by a pattern; characters of `odd` count as the character that stands for them.
 
-    def __init__(self, pattern: str, odd: dict[int, str]):
+    With the classes of all code points given, whole columns are cut at once, by
+    the rules of the public pattern.
+    """
+
+    def __init__(self, pattern: str, odd: dict[int, str], kinds: np.ndarray | None = None):
         self.words = regex.compile(pattern)
+        self.kinds = kinds
         self.odd = odd
         self.any_odd = regex.compile(_class_of(sorted(odd))).search if odd else None
         self.latin = min(odd, default=0x100) > 0xFF
@@ -92,6 +113,48 @@ class Splitter:
             return self.words.findall(text)
         return [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.odd))]
 
+    def column(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts (null: none) in their order, as bytes, and each text's bounds among them."""
+        if self.kinds is None:
+            rows = [self.split(t) if t else [] for t in texts.to_pylist()]
+            return pa.array([w.encode() for w in chain.from_iterable(rows)], pa.large_binary()), np.cumsum([0, *map(len, rows)])
+        data, offsets = text_buffer(texts)
+        at = self._starts(data, offsets)
+        ends = np.append(at, len(data))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        return words, np.searchsorted(at, offsets)
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the public pattern's matches start, which leave out nothing, in texts that lie end to end."""
+        if not len(data):
+            return np.zeros(0, np.int64)
+        char, kind, at = data, self.kinds[data], None
+        firsts = offsets[:-1][np.diff(offsets) > 0]
+        if (wide := np.flatnonzero(data >= 0xC0)).size:
+            kind[wide] = self.kinds[_points(data[data >= 0x80].tobytes().decode())]
+            at = np.flatnonzero((data & 0xC0) != 0x80)
+            char, kind, firsts = data[at], kind[at], np.searchsorted(at, firsts)
+        first = np.zeros(len(char) + 3, bool)
+        first[firsts] = True
+        start = first.copy()
+        start[1 : len(char)] |= kind[1:] != kind[:-1]
+        # The last of some white space stands alone before something else, which a space is joined to.
+        blank = kind == BLANK
+        turn = blank[:-1] & ~blank[1:] & ~first[1 : len(char)]
+        start[: len(char) - 1] |= turn
+        start[1 : len(char)] &= ~(turn & (char[:-1] == 0x20))
+        # An apostrophe that starts a word takes one of the endings along, and nothing else.
+        quote = np.flatnonzero((char == 0x27) & start[: len(char)])
+        one, two = (np.append(char, np.zeros(3, np.uint8))[quote + k] for k in (1, 2))
+        one = np.where(first[quote + 1], 0, one)
+        short = quote[np.isin(one, list(b"stmd"))]
+        pair = (one.astype(np.int64) << 8) | two
+        long = quote[np.isin(pair, [int.from_bytes(e, "big") for e in (b"re", b"ve", b"ll")]) & ~first[quote + 2]]
+        start[np.concatenate([short + 1, long + 1, long + 2])] = False
+        start[np.concatenate([short + 2, long + 3])] = True
+        found = np.flatnonzero(start[: len(char)])
+        return found if at is None else at[found]
+
     def spans_from(self, text: str, start: int) -> Iterator[tuple[int, int]]:
         """Spans of the words from `start` on, which has to be the start of a word."""
         if not self._plain(text):
@@ -99,35 +162,63 @@ class Splitter:
         return (m.span() for m in self.words.finditer(text, start))
 
 
-class PrefixEncoder(dict):
-    """Encodings of words (a dict that fills itself, within bounds), by the last tokens of their prefixes."""
+def _last_merge(rank: dict[bytes, int], token: bytes) -> tuple[int, int] | None:
+    """The two tokens that are merged last when the bytes of a token are."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        found = [(rank.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+        least, i = min(found)
+        if least == 1 << 40:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    if len(parts) > 2:
+        raise ValueError(f"the merges never reach the token {token!r}")
+    return (rank[parts[0]], rank[parts[1]]) if len(parts) == 2 else None
+
+
+def last_merges(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
+    return {r: h for t, r in ranks.items() if (h := _last_merge(ranks, t))}
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        import ahocorasick
 
+class PrefixEncoder:
+    """Encodings of words, by the last tokens of their prefixes."""
+
+    def __init__(self, ranks: dict[bytes, int], halves: dict[int, tuple[int, int]] | None = None):
         self.rank = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.halves = {r: h for t, r in ranks.items() if (h := self._last_merge(t))}
+        self.halves = last_merges(ranks) if halves is None else halves
         self.longest = max(map(len, ranks))
-        self.ends = ahocorasick.Automaton()
-        for t, r in ranks.items():
-            self.ends.add_word(t.decode("latin-1"), (r, len(t)))
-        self.ends.make_automaton()
         self.known: dict[tuple[int, int], bool] = {}
+        self.answers = np.full(1 << PLACES, -1)  # pairs, each with whether it stays, at places that their hashes give
+        by_id = [self.bytes_of.get(r) for r in range(max(self.bytes_of) + 1)]
+        self.body = pa.array(by_id, pa.large_binary())
+        self.number = pa.array([f"{r} " for r in range(len(by_id))], pa.large_binary())
+        self.size = np.array([len(t or b"") for t in by_id])
+
+    @cached_property
+    def ends(self):
+        """The automaton that finds the tokens which end at each byte."""
+        import ahocorasick
 
-    def _last_merge(self, token: bytes) -> tuple[int, int] | None:
-        """The two tokens that are merged last when the bytes of a token are."""
-        parts = [token[i : i + 1] for i in range(len(token))]
-        while len(parts) > 2:
-            found = [(self.rank.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            least, i = min(found)
-            if least == 1 << 40:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        if len(parts) > 2:
-            raise ValueError(f"the merges never reach the token {token!r}")
-        return (self.rank[parts[0]], self.rank[parts[1]]) if len(parts) == 2 else None
+        found = ahocorasick.Automaton()
+        for t, r in self.rank.items():
+            found.add_word(t.decode("latin-1"), (r, len(t)))
+        found.make_automaton()
+        return found
+
+    @cached_property
+    def trie(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each inner node's next nodes by byte (0: none), and each node's token (-1: none); inner nodes come first, the root is 0."""
+        inner = sorted({t[:i] for t in self.rank for i in range(len(t))}, key=len)
+        node = {p: i for i, p in enumerate(inner)}
+        for t in self.rank:
+            node.setdefault(t, len(node))
+        after, token = np.zeros((len(inner), 256), np.int32), np.full(len(node), -1, np.int32)
+        for p, i in node.items():
+            if p:
+                after[node[p[:-1]], p[-1]] = i
+            token[i] = self.rank.get(p, -1)
+        return after, token
 
     def stays(self, left: int, right: int) -> bool:
         """Whether the bytes of both tokens together are encoded as these two tokens."""
@@ -144,6 +235,92 @@ class PrefixEncoder(dict):
             else:
                 return True
 
+    def _remember(self, pair: tuple[int, int]) -> bool:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        found = self.known[pair] = self.stays(*pair)
+        return found
+
+    def stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """`stays` of many pairs."""
+        pairs = left.astype(np.int64) << 31 | right
+        places = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).view(np.int64)
+        answers = self.answers[places]
+        out = (answers & 1).astype(bool)
+        if (new := np.flatnonzero(answers >> 1 != pairs)).size:
+            first, of = np.unique(pairs[new], return_index=True, return_inverse=True)[1:]
+            some = zip(left[new[first]].tolist(), right[new[first]].tolist(), strict=True)
+            found = np.array([self._remember(p) if (stays := self.known.get(p)) is None else stays for p in some])
+            out[new] = found[of]
+            self.answers[places[new[first]]] = pairs[new[first]] << 1 | found
+        return out
+
+    def last_tokens(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each byte of words that lie end to end, the last token of its word's prefix that ends there."""
+        after, token = self.trie
+        begin, stop = (np.repeat(x, np.diff(bounds)) for x in (bounds[:-1], bounds[1:]))
+        at, end, node = np.arange(len(data)), np.arange(1, len(data) + 1), after[0][data]
+        if (token[node] < 0).any():
+            raise ValueError("the vocabulary lacks a byte of the text")
+        last = np.full(len(data), -1, np.int32)
+        found = []
+        while len(at):
+            hit = np.flatnonzero(token[node] >= 0)
+            a, e, t = at[hit], end[hit], token[node[hit]]
+            whole = a == begin[a]  # a prefix that is a token is encoded as itself
+            last[e[whole] - 1] = t[whole]
+            found.append([x[~whole].astype(np.int32) for x in (a, e, t)])
+            on = np.flatnonzero((node < len(after)) & (end < stop[at]))
+            at, end, node = at[on], end[on], node[on]
+            node = after[node, data[end]]
+            on = np.flatnonzero(node)
+            at, end, node = at[on], end[on] + 1, node[on]
+        at, end, final = map(np.concatenate, zip(*found, strict=True))
+        on = np.flatnonzero(last[end - 1] < 0)
+        length = (end[on] - begin[at[on]]).astype(np.uint16)  # of the prefix
+        on = on[np.argsort(length, kind="stable")]
+        at, end, final = at[on], end[on], final[on]
+        steps = np.cumsum(np.bincount(length)).tolist()
+        for i, j in zip(steps, steps[1:], strict=False):
+            if i < j:
+                keep = self.stay(last[at[i:j] - 1], final[i:j])
+                last[end[i:j][keep] - 1] = final[i:j][keep]
+        return last
+
+    def encode_column(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The encodings of all words one after the other, and each word's bounds in them. Different words are encoded once."""
+        coded = words.dictionary_encode()
+        data, offsets = text_buffer_of(coded.dictionary)
+        sizes = np.diff(offsets)
+        short = np.flatnonzero(sizes <= LONGEST)
+        if len(short) < len(sizes):
+            together, near = text_buffer_of(coded.dictionary.take(pa.array(short)))
+        else:
+            together, near = data, offsets
+        cuts = np.unique(np.append(np.searchsorted(near, np.arange(0, near[-1], BLOCK)), len(short)))
+        blocks = [self.last_tokens(together[near[i] : near[j]], near[i : j + 1] - near[i]) for i, j in zip(cuts, cuts[1:], strict=False) if near[i] < near[j]]
+        last = np.concatenate([np.zeros(0, np.int32), *blocks])
+        # Walk back over all words at once; the k-th list has the k-th tokens from the end.
+        at, front, word, back = near[1:] - 1, near[:-1], short, []
+        counts = np.zeros(len(sizes), np.int64)
+        while (on := np.flatnonzero(at >= front)).size:
+            front, word, t = front[on], word[on], last[at[on]]
+            back.append((word, t))
+            counts[word] += 1
+            at = at[on] - self.size[t]
+        alone = {int(i): self.encode(data[offsets[i] : offsets[i + 1]].tobytes()) for i in np.flatnonzero(sizes > LONGEST)}
+        for i, own in alone.items():
+            counts[i] = len(own)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.empty(bounds[-1], np.int32)
+        for k, (word, t) in enumerate(back, 1):
+            ids[bounds[word + 1] - k] = t
+        for i, own in alone.items():
+            ids[bounds[i] : bounds[i + 1]] = own
+        which = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(counts[which])])
+        return ids[np.repeat(bounds[which] - ends[:-1], counts[which]) + np.arange(ends[-1])], ends
+
     def extend(self, last: list[int], word: bytes) -> list[int]:
         """`last` has the last token of each non-empty prefix of a front part of word; adds those of the longer prefixes."""
         size = len(last)
@@ -155,11 +332,7 @@ class PrefixEncoder(dict):
             if length <= end + start:
                 pair = last[end + start - length], token
                 stays = known.get(pair)
-                if stays is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    stays = known[pair] = self.stays(*pair)
-                if not stays:
+                if not (self._remember(pair) if stays is None else stays):
                     continue
             add(token)
             seen += 1
@@ -182,15 +355,6 @@ class PrefixEncoder(dict):
         token = self.rank.get(word)
         return [token] if token is not None else self.read_off(self.extend([], word))
 
-    def __missing__(self, word: str) -> tuple[list[int], str]:
-        ids = self.encode(word.encode())
-        out = ids, " ".join(map(str, ids))
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
-        return out
-
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -198,7 +362,7 @@ class PrefixEncoder(dict):
 class Vocabulary:
     """What workers need: ranks, pattern, odd characters. One encoder is made in each worker."""
 
-    _made: dict[str, tuple[PrefixEncoder, Splitter]] = {}
+    _made: dict[str, tuple[PrefixEncoder, Splitter]] = {}  # in each process
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         import public_tokenizers
@@ -206,17 +370,28 @@ class Vocabulary:
         with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
             self.file = f.read()
         self.pattern = pattern or public_tokenizers.PATTERN
-        self.odd = odd_characters()
+        kinds, self.odd = classes()
+        cuts = np.flatnonzero(np.diff(kinds, prepend=255))
+        self.kinds = (kinds[cuts], np.diff(cuts, append=len(kinds))) if self.pattern == public_tokenizers.PATTERN else None
+        self.halves = last_merges(self._ranks())
         self.key = hashlib.sha256(self.file + self.pattern.encode()).hexdigest()
 
+    def _ranks(self) -> dict[bytes, int]:
+        return {base64.b64decode(t): int(r) for t, r in map(bytes.split, self.file.splitlines())}
+
     def tools(self) -> tuple[PrefixEncoder, Splitter]:
         if self.key not in Vocabulary._made:
             Vocabulary._made.clear()
-            ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, self.file.splitlines())}
-            Vocabulary._made[self.key] = PrefixEncoder(ranks), Splitter(self.pattern, self.odd)
+            kinds = None if self.kinds is None else np.repeat(*self.kinds)
+            Vocabulary._made[self.key] = PrefixEncoder(self._ranks(), self.halves), Splitter(self.pattern, self.odd, kinds)
         return Vocabulary._made[self.key]
 
 
+def text_buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large binary column, and its rows' bounds in them."""
+    return text_buffer(column.view(pa.large_string()))
+
+
 def _lists(rows: list[array], kind: pa.DataType = pa.int32()) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.frombuffer(r, np.int32) for r in rows if r] or [np.zeros(0, np.int32)]), kind))
@@ -256,18 +431,23 @@ def encode(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
 
     def work(tools: tuple[PrefixEncoder, Splitter], part: pa.RecordBatch) -> list[pa.Array]:
         encoder, splitter = tools
-        ids, hashes, decoded = [], [], []
-        for text in part.column("__text").to_pylist():
-            lists, texts = zip(*map(encoder.__getitem__, splitter.split(text)), strict=True) if text else ((), ())
-            own = array("i", chain.from_iterable(lists))
-            hashes.append(hashlib.sha256(" ".join(texts).encode()).hexdigest())
-            decoded.append(hashlib.sha256(encoder.decode(own)).hexdigest())
-            ids.append(own)
-        return [*([_lists(ids)] if with_ids else []), pa.array(list(map(len, ids)), pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+        words, rows = splitter.column(part.column("__text"))
+        ids, ends = encoder.encode_column(words)
+        bounds = ends[rows]
+        numbers, bodies = (_hashes(names.take(pa.array(ids)), bounds, cut) for names, cut in ((encoder.number, 1), (encoder.body, 0)))
+        lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))] if with_ids else []
+        return [*lists, pa.array(np.diff(bounds)), numbers, bodies]
 
     return _mapped(rows, keep, fields, work, vocabulary or Vocabulary(), "__text")
 
 
+def _hashes(parts: pa.Array, bounds: np.ndarray, cut: int) -> pa.Array:
+    """SHA-256 of each row's parts one after the other, without the last `cut` bytes; a row's parts are those between its bounds."""
+    data, offsets = text_buffer_of(parts)
+    ends = offsets[bounds].tolist()
+    return pa.array([hashlib.sha256(data[i : max(i, j - cut)]).hexdigest() for i, j in zip(ends, ends[1:], strict=False)], pa.string())
+
+
 LAST = T.StructField("last", T.ArrayType(T.IntegerType(), False))
 
 
