@@ -11,9 +11,11 @@ batch with the same word and the same skipped pieces are segmented once.
 `variants` above 0 takes the draw of an occurrence modulo that many.
 
 No piece of such a vocabulary reaches across the start of a word, so words are
-independent. Short words of a batch are merged together, one merge of each per
-round, with numpy; a word of over LONG symbols goes through an agenda (a heap)
-of its own. Characters outside the vocabulary, and U+2581 itself where a text
+independent. The pieces that a batch's different short words have anywhere are
+found once, by a trie, and stand in a table by word, place and length: a merge
+is a look into it. Short words of about one length are merged together, one
+merge of each per round, with numpy; a word of over LONG symbols goes through an
+agenda (a heap) of its own. Characters outside the vocabulary, and U+2581 itself where a text
 has it, become byte pieces; decoding therefore gives every text back exactly.
 The vocabulary is read once by the driver and broadcast (its size is fixed).
 """
@@ -45,6 +47,9 @@ SPACE = 0x2581
 ESCAPED = 0x110000  # stands for a U+2581 that the text itself has
 LONG = 64
 NONE = np.int32(2**31 - 1)
+PLACE = 7  # bits of a short word's place beside a rank
+LENGTHS = np.array([4, 6, 8, 10, 12, 16, 24, 40, LONG])  # words up to each are merged together
+CELLS = 1 << 20  # of the tables of words that are merged together
 SEGMENT = 1 << 19
 HASHED = 1 << 17  # characters whose prefix sums are hashed together
 _START = re.compile("(?<=[^ ]) ")
@@ -65,14 +70,49 @@ class Vocabulary:
     body: np.ndarray  # bytes of all pieces as decoded
     body_start: np.ndarray
     body_len: np.ndarray
-    piece_hash: list[np.ndarray]  # by length in characters: hashes of the pieces, sorted
-    piece_id: list[np.ndarray]
+    longest: int  # characters of the longest piece
+    rank_of: np.ndarray  # piece -> rank << PLACE; the last, for -1, is above all
+    root: np.ndarray  # code point -> trie node of the pieces that begin with it, 0: none
+    edges: np.ndarray  # hashed: node << 21 | code point, -1: free
+    below: np.ndarray  # the edge's node
+    piece_of: np.ndarray  # node -> piece of two or more characters, or -1
+    inner: np.ndarray  # node -> longer pieces begin with it
+
+
+@dataclass
+class Found:
+    """The pieces of two or more characters in each different short word, by word, place (from 1) and length; -1: none."""
+
+    points: np.ndarray
+    start: np.ndarray  # by word
+    size: np.ndarray
+    table: np.ndarray
+    base: np.ndarray  # by word, where its part of the table begins
+    first: np.ndarray  # by word, its first piece's number
+    count: np.ndarray
+    cell: np.ndarray  # by piece, where it stands in its word's part
+    salt: np.ndarray
+    blocks: list[tuple[int, int, int, int]]  # words from, to, their places and cells of a place
 
 
 def _codes(points: np.ndarray) -> np.ndarray:
     return mix(points.astype(np.uint64) + U64(1))
 
 
+def _group(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different key stands first, and each key's number among them."""
+    found = pa.array(key).dictionary_encode()
+    back = found.indices.to_numpy()
+    where = np.empty(len(found.dictionary), np.int64)
+    where[back[::-1]] = np.arange(len(key) - 1, -1, -1)
+    return where, back
+
+
+def _slots(edges: np.ndarray, size: int) -> np.ndarray:
+    """Where the search for edges begins in a table of so many."""
+    return (edges.astype(np.uint64) * _C1 >> U64(65 - size.bit_length())).astype(np.int64)
+
+
 @lru_cache(1)
 def load(model: bytes) -> Vocabulary:
     """The model's tables; a worker makes them once, not for each task."""
@@ -111,14 +151,32 @@ def load(model: bytes) -> Vocabulary:
     lens = np.array([len(b) for b in bodies], np.int64)
     cols = [np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int32), strict=True)]
     longest = max(map(len, normal), default=0)
-    found: list[dict[int, int]] = [{} for _ in range(longest + 1)]
-    power = [U64(pow(int(_C1), k, 1 << 64)) for k in range(longest)]
+    rank_of = np.full(size + 1, NONE >> PLACE << PLACE, np.int32)
+    root, nodes = np.zeros(0x110001, np.int32), {(0, -1): 0}
+    piece_of = {}
     for p, i in normal.items():
+        rank_of[i] = order[score[p]] << PLACE
         if len(p) > 1:
-            found[len(p)][int(np.sum(_codes(np.array([ord(c) for c in p])) * power[: len(p)], dtype=np.uint64))] = i
-    hashes = [np.array(sorted(x), np.uint64) for x in found]
-    ids = [np.array([x[int(h)] for h in hs], np.int32) for x, hs in zip(found, hashes, strict=True)]
-    return Vocabulary(size, of_char, *cols, joins, byte_ids, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lens) - lens, lens, hashes, ids)
+            node = 0
+            for c in p:
+                node = nodes.setdefault((node, ord(c)), len(nodes))
+            piece_of[node] = i
+    room = 1 << (4 * len(nodes)).bit_length()
+    edges, below = np.full(room, -1, np.int64), np.zeros(room, np.int32)
+    inner = np.zeros(len(nodes), bool)
+    for (above, c), node in nodes.items():
+        if not above:
+            root[c] = node
+            continue
+        inner[above] = True
+        at = int(_slots(np.array([above << 21 | c]), room)[0])
+        while edges[at] >= 0:
+            at = (at + 1) % room
+        edges[at], below[at] = above << 21 | c, node
+    return Vocabulary(
+        size, of_char, *cols, joins, byte_ids, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lens) - lens, lens,
+        longest, rank_of, root, edges, below, np.array([piece_of.get(k, -1) for k in range(len(nodes))], np.int32), inner,
+    )
 
 
 @lru_cache(1)
@@ -146,40 +204,123 @@ class Encoder:
             ok &= ~((u < self.limit) | self.always)
         return np.where(ok, v.rank[at], NONE), v.merged[at]
 
-    def _merge_short(self, sym: np.ndarray, word: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols and word numbers after all merges; sym is in order of word, keys by word."""
-        done: list[tuple[np.ndarray, np.ndarray]] = [(sym[:0], word[:0])]  # there may be long words only
-        rank = np.full(len(sym), NONE, np.int32)
-        merged = np.zeros(len(sym), np.int32)
-        i = np.flatnonzero(word[1:] == word[:-1])
-        rank[i], merged[i] = self._look(sym[i], sym[i + 1], keys[word[i]], place[i])
-        while len(sym):
-            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(rank, start)
-            count = np.diff(np.r_[start, len(sym)])
-            live = np.repeat(best < NONE, count)
-            if not live.all():
-                done.append((sym[~live], word[~live]))
-                best, count = best[best < NONE], count[best < NONE]
-                sym, word, place, rank, merged = sym[live], word[live], place[live], rank[live], merged[live]
-                if not len(sym):
-                    break
-            hit = np.flatnonzero(rank == np.repeat(best, count))
-            hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]
-            sym[hit] = merged[hit]
-            keep = np.ones(len(sym), bool)
-            keep[hit + 1] = False
-            sym, word, place, rank, merged = sym[keep], word[keep], place[keep], rank[keep], merged[keep]
-            hit = hit - np.arange(len(hit))
-            rank[hit] = NONE
-            near = np.concatenate([hit, hit - 1])
-            near = near[(near >= 0) & (near + 1 < len(sym))]
-            near = near[word[near] == word[near + 1]]
-            rank[near], merged[near] = self._look(sym[near], sym[near + 1], keys[word[near]], place[near])
-        sym = np.concatenate([s for s, _ in done])
-        word = np.concatenate([w for _, w in done])
-        order = np.argsort(word, kind="stable")
-        return sym[order], word[order]
+    def _step(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The trie's nodes one character below; 0: none."""
+        v = self.v
+        edge = node.astype(np.int64) << 21 | point
+        at = _slots(edge, len(v.edges))
+        got = v.edges[at]
+        out = np.where(got == edge, v.below[at], 0)
+        rest = np.flatnonzero((got != edge) & (got >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(v.edges) - 1)
+            got = v.edges[at[rest]]
+            hit = got == edge[rest]
+            out[rest[hit]] = v.below[at[rest[hit]]]
+            rest = rest[~hit & (got >= 0)]
+        return out
+
+    def _find(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray) -> Found:
+        """The pieces in words; kind: their place in LENGTHS, ascending; words beyond have none here."""
+        v = self.v
+        ends = np.searchsorted(kind, np.arange(len(LENGTHS)), "right")
+        stride = np.minimum(LENGTHS, v.longest) + 2  # the last is for all lengths that no piece has
+        blocks = [(int(a), int(b), int(n), int(k)) for a, b, n, k in zip(np.r_[0, ends[:-1]], ends, LENGTHS, stride, strict=True) if a < b]
+        short = int(ends[-1])
+        cells = np.zeros(len(start), np.int64)
+        cells[:short] = ((LENGTHS + 1) * stride)[kind[:short]]
+        base = np.cumsum(cells) - cells
+        table = np.full(cells.sum(), -1, np.int32)
+        count = size[:short]
+        offset = np.cumsum(count) - count
+        at = np.repeat(start[:short] - offset, count) + np.arange(count.sum())  # of each place, its character
+        cell = np.repeat(base[:short] + stride[kind[:short]] * (1 - start[:short]), count) + np.repeat(stride[kind[:short]], count) * at
+        left = np.repeat(start[:short] + count, count) - at
+        node = v.root[points[at]]
+        for n in range(2, v.longest + 1):
+            more = np.flatnonzero(v.inner[node] & (left >= n))
+            if not len(more):
+                break
+            at, cell, left = at[more], cell[more], left[more]
+            node = self._step(node[more], points[at + n - 1])
+            piece = v.piece_of[node]
+            hit = np.flatnonzero(piece >= 0)
+            table[cell[hit] + n] = piece[hit]
+        cell = np.flatnonzero(table >= 0)
+        first = np.searchsorted(cell, base)
+        count = np.diff(np.r_[first, len(cell)])
+        piece = table[cell]
+        cell -= np.repeat(base, count)
+        place = cell // np.repeat(np.r_[stride, 1][kind], count) - 1
+        salt = place.astype(np.uint64) * _C2 + piece.astype(np.uint64) * _C3
+        return Found(points, start, size, table, base, first, count, cell, salt, blocks)
+
+    def _skipped(self, found: Found, word: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (occurrences of words, each with a key of its own) and the numbers of pieces that they skip."""
+        count = found.count[word]
+        order = np.argsort(-count.astype(np.int16), kind="stable")  # the k-th pieces of all rows that have so many are worked on together
+        many = len(count) - np.cumsum(np.bincount(count))
+        at, own = found.first[word[order]], own[order]
+        for m in many[:-1].tolist():
+            u = found.salt[at[:m]]
+            u += own[:m]
+            hit = np.arange(m) if self.always else np.flatnonzero(mix(u) < self.limit)
+            yield order[hit], at[hit]
+            at[:m] += 1
+
+    def _merge_short(self, found: Found, word: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and row numbers after all merges of rows: words, ascending by block, each with a key."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        row = 0
+        for a, b, places, stride in found.blocks:
+            last = row + int(np.count_nonzero((word >= a) & (word < b)))
+            part = (places + 1) * stride
+            table = found.table[found.base[a] : found.base[a] + (b - a) * part].reshape(-1, part)
+            while row < last:
+                end = min(last, row + max(1, CELLS // part))
+                sym, of = self._merge_block(found, table[word[row:end] - a], word[row:end], own[row:end], places, stride)
+                out.append((sym, of + row))
+                row = end
+        return np.concatenate([np.zeros(0, np.int32), *(s for s, _ in out)]), np.concatenate([np.zeros(0, np.int64), *(r for _, r in out)])
+
+    def _merge_block(self, found: Found, table: np.ndarray, word: np.ndarray, own: np.ndarray, places: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of rows of one block; table has their parts, and is changed. Arrays go by place, then row; place 0 is empty."""
+        v = self.v
+        n, part = table.shape
+        if self.limit:
+            for of, k in self._skipped(found, word, own):
+                table[of, found.cell[k]] = -1
+        rank = np.empty((places + 1, n), np.int32)  # with its place, of the merge of the symbols there and after it
+        rank[0] = v.rank_of[-1]
+        rank[1:] = v.rank_of[table.reshape(n, places + 1, stride)[:, 1:, 2].T]
+        rank += np.arange(places + 1, dtype=np.int32)[:, None]
+        after = np.repeat(np.arange(1, places + 3), n)  # where the next symbol begins; 0 where none begins any more
+        before = np.repeat(np.arange(-1, places + 1), n)
+        ranks, flat = rank.reshape(-1), table.reshape(-1)
+
+        def look(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+            return v.rank_of[flat[row * part + begin * stride + np.minimum(end - begin, stride - 1)]] + begin
+
+        while True:
+            best = rank.min(axis=0)
+            row = np.flatnonzero(best < v.rank_of[-1])
+            if not len(row):
+                break
+            here = best[row].astype(np.int64) & ((1 << PLACE) - 1)
+            at = here * n + row
+            gone = after[at] * n + row
+            end = after[gone]
+            to = end * n + row
+            prior = before[at]
+            after[at], after[gone], before[to] = end, 0, here
+            ranks[gone] = v.rank_of[-1]
+            ranks[at] = look(row, here, after[to])
+            ranks[prior * n + row] = look(row, prior, end)
+        left = after.reshape(-1, n)[1 : places + 1].T
+        row, place = np.nonzero((left > 0) & (np.arange(places) < found.size[word][:, None]))
+        length = left[row, place] - place - 1
+        sym = np.where(length > 1, flat[row * part + (place + 1) * stride + length], v.of_char[found.points[found.start[word[row]] + place]])
+        return sym, row
 
     def _merge_long(self, sym: np.ndarray, key: np.uint64) -> np.ndarray:
         """The same by an agenda of candidates in order of rank and place."""
@@ -229,51 +370,13 @@ class Encoder:
                 out[first[at] + k] = v.byte_ids[lead | bits]
         return out, np.repeat(word, lens)
 
-    def _skips(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def _skips(self, found: Found, word: np.ndarray, size: np.ndarray, key: np.ndarray, own: np.ndarray) -> np.ndarray:
         """By occurrence of a word, a hash of the word and of its pieces that the occurrence skips; of a long word its own key."""
-        v = self.v
-        _, where, back = np.unique(key, return_index=True, return_inverse=True)
-        count = np.where(size[where] <= LONG, size[where], 0)
-        offset = np.cumsum(count) - count
-        word = np.repeat(np.arange(len(where)), count)
-        place = np.arange(len(word)) - offset[word]
-        code = _codes(points[start[where][word] + place])
-        left = count[word] - place
-        at, total = np.arange(len(word)), code.copy()
-        words, salts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for n in range(2, len(v.piece_hash)):  # substrings of n characters
-            more = left[at] >= n
-            at, total = at[more], total[more]
-            if not len(at):
-                break
-            total = total + code[at + n - 1] * self.power[n - 1]
-            if not len(v.piece_hash[n]):
-                continue
-            near = np.searchsorted(v.piece_hash[n], total)
-            near[near == len(v.piece_hash[n])] = 0
-            hit = v.piece_hash[n][near] == total
-            words.append(word[at[hit]])
-            salts.append(place[at[hit]].astype(np.uint64) * _C2 + v.piece_id[n][near[hit]].astype(np.uint64) * _C3)
-        order = np.argsort(np.concatenate(words), kind="stable")
-        salt = np.concatenate(salts)[order]
-        mark = mix(salt)
-        count = np.bincount(np.concatenate(words), minlength=len(where))
-        offset = np.cumsum(count) - count
-        each, first = count[back], offset[back]
-        ends = np.cumsum(each)
-        out = np.empty(len(key), np.uint64)
-        i = 0
-        while i < len(key):
-            done = ends[i] - each[i]
-            j = max(i + 1, int(np.searchsorted(ends, done + (1 << 17))))
-            e = ends[i:j] - done
-            of = np.repeat(np.arange(i, j), each[i:j])
-            at = first[of] + np.arange(len(of)) - (e - each[i:j])[of - i]
-            skipped = (mix(own[of] + salt[at]) < self.limit) | self.always
-            sums = np.r_[U64(0), np.cumsum(np.where(skipped, mark[at], U64(0)))]
-            out[i:j] = mix(key[i:j] + sums[e] - sums[e - each[i:j]])
-            i = j
-        return np.where(size > LONG, own, out)
+        mark = mix(found.salt)
+        sums = np.zeros(len(key), np.uint64)
+        for row, piece in self._skipped(found, word, own):
+            sums[row] += mark[piece]
+        return np.where(size > LONG, own, mix(key + sums))
 
     def encode(self, points: np.ndarray, doc: np.ndarray, salt: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece ids, their document numbers, and the number of words of each document.
@@ -307,37 +410,38 @@ class Encoder:
             i = j
         key = mix(key + size.astype(np.uint64) * _C2)
         own = key
+        words = np.bincount(word_doc, minlength=len(salt))
+        where, word = _group(key)
+        kind = np.where(size[where] > LONG, len(LENGTHS), np.searchsorted(LENGTHS, size[where])).astype(np.uint8)
+        order = np.argsort(kind, kind="stable")
+        where, kind = where[order], kind[order]
+        word = np.argsort(order)[word]
+        found = self._find(points, start[where], size[where], kind)
         if self.limit:
-            begin = np.searchsorted(word_doc, word_doc)
-            place = np.arange(len(start)) - begin + first_word[word_doc]
+            place = np.arange(len(start)) + (first_word - np.cumsum(words) + words)[word_doc]
             draw = mix(salt[word_doc] + place.astype(np.uint64) * _C1)
             if self.variants:
                 draw %= U64(self.variants)
             own = mix(mix(key + draw * _C3) + U64(self.seed * int(_C1) % 2**64))
-            key = self._skips(points, start, size, key, own)
-        _, where, back = np.unique(key, return_index=True, return_inverse=True)
-        unique = own[where]
-        count = size[where]
-        offset = np.cumsum(count) - count
-        word = np.repeat(np.arange(len(unique), dtype=np.int32), count)
-        place = (np.arange(len(word)) - offset[word]).astype(np.int32)
-        sym = v.of_char[points[start[where][word] + place]]
-        short = (count <= LONG)[word]
-        sym_, word_ = self._merge_short(sym[short].copy(), word[short], place[short], unique)
-        if not short.all():
+            key = self._skips(found, word, size, key, own)
+        where, back = _group(key)
+        order = np.argsort(kind[word[where]], kind="stable")
+        where = where[order]
+        back = np.argsort(order)[back]
+        unique, count = own[where], size[where]
+        sym_, word_ = self._merge_short(found, word[where], unique)
+        if (count > LONG).any():
             parts, names = [sym_], [word_]
             for k in np.flatnonzero(count > LONG):
-                parts.append(self._merge_long(sym[offset[k] : offset[k] + count[k]], unique[k]))
-                names.append(np.full(len(parts[-1]), k, np.int32))
+                parts.append(self._merge_long(v.of_char[points[start[where[k]] : start[where[k]] + count[k]]], unique[k]))
+                names.append(np.full(len(parts[-1]), k))
             sym_, word_ = np.concatenate(parts), np.concatenate(names)
-            order = np.argsort(word_, kind="stable")
-            sym_, word_ = sym_[order], word_[order]
         sym_, word_ = self._bytes(sym_, word_)
         count = np.bincount(word_, minlength=len(unique))
         offset = np.cumsum(count) - count
         each = count[back]
         at = np.repeat(offset[back] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        return sym_[at], np.repeat(word_doc, each), np.bincount(word_doc, minlength=len(salt))
+        return sym_[at], np.repeat(word_doc, each), words
 
     def encode_texts(self, texts: list[str | None], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and offsets; long texts go in segments that start at words, so that segments change nothing."""
